@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,7 +27,7 @@ def greedy_picks(
     max_sites: int | None = None,
     links: DataFrame | None = None,
     link_weight: float = 0.0,
-    batch: int = 12,
+    batch: int = 16,
 ) -> list[tuple[int, int, int, int]]:
     """(rank, site_id, gain, covered_after) of the exact greedy order, lowest id on ties.
 
@@ -41,7 +42,8 @@ def greedy_picks(
     covered = 0
     if links is not None:
         clear = links.filter("los_clear")
-        links = clear.select("src", "dst").union(clear.select(F.col("dst"), F.col("src"))).distinct().persist()
+        links = clear.select("src", "dst").union(clear.select(F.col("dst"), F.col("src"))).distinct()
+        links = cut_lineage(links)
 
     def done() -> bool:
         return (target_cells is not None and covered >= target_cells) or (max_sites is not None and len(picks) >= max_sites)
@@ -79,20 +81,22 @@ def greedy_picks(
         reach = remaining.filter(F.col("site_id").isin(ids)).groupBy("cell_id").agg(
             F.bit_or(slot[F.col("site_id")].cast("long")).alias("mask")
         )
-        tally = {r["mask"]: r["n"] for r in reach.groupBy("mask").agg(F.count(F.lit(1)).alias("n")).collect()}
+        tally = reach.groupBy("mask").agg(F.count(F.lit(1)).alias("n")).collect()
+        masks = np.array([r["mask"] for r in tally], dtype=np.int64)
+        counts = np.array([r["n"] for r in tally], dtype=np.int64)
         flags = {r["site_id"]: bool(r["linked"]) for r in head}
         neighbours: dict[int, set[int]] = {}
         if links is not None:
             for r in links.filter(F.col("src").isin(ids) & F.col("dst").isin(ids)).collect():
                 neighbours.setdefault(r["src"], set()).add(r["dst"])
 
-        taken, left = [], dict(tally)
+        taken = []
         while len(taken) < len(ids) and not done():
             best = None
             for i, site in enumerate(ids):
                 if site in taken:
                     continue
-                gain = sum(n for mask, n in left.items() if mask >> i & 1)
+                gain = int(counts[(masks >> i) & 1 == 1].sum())
                 if gain == 0 and picks:
                     continue
                 bonus = link_weight * len(picks) if picks and flags[site] else 0.0
@@ -110,7 +114,7 @@ def greedy_picks(
             covered += gain
             picks.append((len(picks) + 1, site, gain, covered))
             taken.append(site)
-            left = {mask: n for mask, n in left.items() if not mask >> i & 1}
+            counts = np.where((masks >> i) & 1 == 1, 0, counts)
             for other in neighbours.get(site, ()):
                 flags[other] = True
         if not done():

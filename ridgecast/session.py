@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,19 +30,26 @@ def build_session(app: str = "ridgecast", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+def _cut_folder(spark: SparkSession) -> str:
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder:
+        return f"{folder}/ridgecast-{context.applicationId}"
+    if not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="ridgecast-checkpoint-"))
+    return f"{context.getCheckpointDir()}/ridgecast-{context.applicationId}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint, so a lost executor never sends a loop back to round one.
+    """Stores a table and reads it back, so a lost executor never sends a loop back to round one.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a
-    local session without that setting gets a temporary folder.
+    Tables go to the folder the cluster names in ``spark.checkpoint.dir``; only a local
+    session without one gets a temporary folder. Unlike a checkpointed plan, whose size
+    estimates multiply from join to join, a stored table has its true size, so each round of
+    a loop is planned from facts and small tables are broadcast on their own.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="ridgecast-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = f"{_cut_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
