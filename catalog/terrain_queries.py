@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from catalog import fixtures as fx
@@ -43,7 +45,7 @@ def pixel_sql(points: str, grid: tuple[str, str, str, str], extra: str = "*") ->
     return f"(select {extra}, (lon - {c}) / {a} as pc, (lat - {f}) / {e} as pr from {points})"
 
 
-def bilinear_sql(points: str, raster: str, out: str, rule: str = "shared", w: str = W, h: str = W, value: str = "elev") -> str:
+def bilinear_sql(points: str, raster: str, out: str, rule: str = "shared", w: str = W, h: str = W, value: str = "elev", expanded: bool = False) -> str:
     """``points`` (pr, pc) with the interpolated value; four left joins, written apart from the block lookups."""
     if rule == "shared":
         ok = f"pc >= 0 and pc <= {w} - 1 and pr >= 0 and pr <= {h} - 1"
@@ -56,8 +58,11 @@ def bilinear_sql(points: str, raster: str, out: str, rule: str = "shared", w: st
         v01 = "case when fy > 0 then c.{v} else a.{v} end"
         v11 = "case when fx > 0 and fy > 0 then d.{v} else a.{v} end"
     v10, v01, v11 = (t.format(v=value) for t in (v10, v01, v11))
+    mixed = "(v00 + (v10 - v00) * fx) + ((v01 + (v11 - v01) * fx) - (v00 + (v10 - v00) * fx)) * fy"
+    if expanded:
+        mixed = "v00 + (v10 - v00) * fx + (v01 - v00) * fy + (v11 - v10 - v01 + v00) * fx * fy"
     return f"""(select * exclude (v00, v10, v01, v11, c0, r0, fx, fy, c1, r1), case when v00 is not null and v10 is not null and v01 is not null and v11 is not null
-        then (v00 + (v10 - v00) * fx) + ((v01 + (v11 - v01) * fx) - (v00 + (v10 - v00) * fx)) * fy end as {out}
+        then {mixed} end as {out}
       from (select q.*, a.{value}::DOUBLE as v00, ({v10})::DOUBLE as v10, ({v01})::DOUBLE as v01, ({v11})::DOUBLE as v11 from
         (select *, {c1} as c1, {r1} as r1 from (select *, case when {ok} then floor(pc)::INT end as c0, case when {ok} then floor(pr)::INT end as r0, pc - floor(pc) as fx, pr - floor(pr) as fy from {points} z0) z1) q
         left join {raster} a on a.row = q.r0 and a.col = q.c0 left join {raster} b on b.row = q.r0 and b.col = q.c1
@@ -103,7 +108,8 @@ TILES = "tiles as materialized (select 1104 + col // 32 as x, 1611 + row // 32 a
   from tiles where x between 1105 and 1106 and y between 1612 and 1613""", ("rough",))
 def _tile_pixels(spark, sf):
     step = 360.0 / 4096
-    box = spark.createDataFrame([(1105.5 * step - 180, 35.5, 1106.5 * step - 180, 35.65)], "west double, south double, east double, north double")
+    north, south = (math.degrees(math.atan(math.sinh(math.pi - 2 * math.pi * y / 4096))) for y in (1612.5, 1613.5))
+    box = spark.createDataFrame([(1105.5 * step - 180, south, 1106.5 * step - 180, north)], "west double, south double, east double, north double")
     return wanted_tiles(tiles(spark, sf), rs.tile_cover(box, fx.ZOOM))
 
 
@@ -156,10 +162,10 @@ def _resample(spark, sf):
     return rs.resample(fx.fixture(spark, sf, "layers"), fx.SIGNAL_GRID, COARSE, "rssi", ("site_id",)).withColumns(r6("rssi"))
 
 
-@query("jn4_resample_page", f"""with g as (select (i // 120)::BIGINT as row, (i % 120)::BIGINT as col, -83::DOUBLE + ((i % 120) + 0.5) / 120 as lon, 35::DOUBLE + ((i // 120) + 0.5) / 120 as lat from range(120 * 120) t(i)),
+@query("jn4_resample_page", f"""with g as (select (i // 120)::BIGINT as row, (i % 120)::BIGINT as col, -83::DOUBLE + ((i % 120) + 0.5) * (1::DOUBLE / 120) as lon, 35::DOUBLE + ((i // 120) + 0.5) * (1::DOUBLE / 120) as lat from range(120 * 120) t(i)),
   p as (select row, col, greatest(0, least((lon - -82.90::DOUBLE) / (0.61::DOUBLE / w), w - 1)) as pc, greatest(0, least((lat - 35.805::DOUBLE) / (-0.51::DOUBLE / w), w - 1)) as pr from g cross join dims),
   filled as materialized (select row, col, coalesce(elev, 0) as elev from rough)
-  select row as page_row, 119 - col as page_col, floor(greatest(-500, least(9000, z)) + 0.5)::BIGINT as elev from {bilinear_sql('p', 'filled', 'z')} t""", ("rough", "dims"))
+  select row as page_row, 119 - col as page_col, floor(greatest(-500, least(9000, z)) + 0.5)::BIGINT as elev from {bilinear_sql('p', 'filled', 'z', expanded=True)} t""", ("rough", "dims"))
 def _page(spark, sf):
     return rs.resample_page(dem(spark, sf, "rough"), fx.region_grid(spark, sf), 36, -83, 120)
 
@@ -240,7 +246,7 @@ def hilltop_sql(min_prominence: float, km: float, rounds: int) -> str:
 ROUGH_KM = 0.16  # five pixels of the fine grid
 
 
-@query("job8_hilltops", f"with {peaks_sql(5)}, {HIGHER}, {PROMINENCE}, {hilltop_sql(20.0, ROUGH_KM, 60)} select ord as site_id, row::BIGINT as row, col::BIGINT as col, elev, {rnd('prominence', 3)} as prominence from k60", ("rough", "dims"))
+@query("job8_hilltops", f"with {peaks_sql(5)}, {HIGHER}, {PROMINENCE}, {hilltop_sql(20.0, ROUGH_KM, 120)} select ord as site_id, row::BIGINT as row, col::BIGINT as col, elev, {rnd('prominence', 3)} as prominence from k120", ("rough", "dims"))
 def _hilltops(spark, sf):
     tops = ter.hilltops(dem(spark, sf, "rough"), fx.fine_grid(spark, sf), 20.0, ROUGH_KM)
     return tops.select("site_id", "row", "col", "elev", round_half_up("prominence", 3).alias("prominence"))
@@ -272,8 +278,8 @@ def _viewshed(spark, sf):
     return ter.viewshed_rank(tops, fine_raster(spark, sf, "rough"), grid.bounds, 12).withColumns(r6("viewshed_rank"))
 
 
-SCOUT = f"""{peaks_sql(5)}, {HIGHER}, {PROMINENCE.replace('ends as', 'pends as').replace('arcs', 'parcs').replace('from ends', 'from pends')}, {hilltop_sql(20.0, ROUGH_KM, 60)},
-  hills as materialized (select ord as site_id, row, col, elev, lat, lon, prominence from k60), {viewshed_sql('hills', 12)},
+SCOUT = f"""{peaks_sql(5)}, {HIGHER}, {PROMINENCE.replace('ends as', 'pends as').replace('arcs', 'parcs').replace('from ends', 'from pends')}, {hilltop_sql(20.0, ROUGH_KM, 120)},
+  hills as materialized (select ord as site_id, row, col, elev, lat, lon, prominence from k120), {viewshed_sql('hills', 12)},
   scouted as materialized (select h.*, viewshed_rank from hills h join ranks using (site_id) order by viewshed_rank desc, site_id limit 20)"""
 
 

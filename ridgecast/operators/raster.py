@@ -128,12 +128,13 @@ class BlockRaster:
         ``shared``: positions beyond the last pixel centre are outside, neighbours are
         clamped, any missing neighbour gives NULL. ``strict``: a neighbour counts only
         when its weight is above zero, and must then exist.
-        ``edge``: as a grid-to-grid resampling, nearest pixel on the border.
+        ``expanded``: as ``shared``, with the product terms written out (last-digit differences).
+        ``edge``: as ``expanded`` for a grid-to-grid resampling, nearest pixel on the border.
         """
         w, h = self.grid.width, self.grid.height
         r, c = F.col(row), F.col(col)
         base_r, base_c = F.floor(r).cast("int"), F.floor(c).cast("int")
-        if rule == "shared":
+        if rule in ("shared", "expanded"):
             inside = (c >= 0) & (c <= w - 1) & (r >= 0) & (r <= h - 1)
             base_r, base_c = F.when(inside, base_r).otherwise(-1), F.when(inside, base_c).otherwise(-1)
         elif rule == "edge":
@@ -161,10 +162,10 @@ class BlockRaster:
         top, bottom = v00 + (v10 - v00) * fx, v01 + (v11 - v01) * fx
         complete = v00.isNotNull() & v10.isNotNull() & v01.isNotNull() & v11.isNotNull()
         mixed = F.when(complete, top + (bottom - top) * fy)
+        if rule in ("edge", "expanded"):
+            mixed = F.when(complete, v00 + (v10 - v00) * fx + (v01 - v00) * fy + (v11 - v10 - v01 + v00) * fx * fy)
         if rule == "edge":
-            mixed = F.when(F.col("_near"), v00).otherwise(
-                F.when(complete, v00 + (v10 - v00) * fx + (v01 - v00) * fy + (v11 - v10 - v01 + v00) * fx * fy)
-            )
+            mixed = F.when(F.col("_near"), v00).otherwise(mixed)
         return values.withColumn(out, mixed).drop(*self._scratch)
 
 
@@ -267,8 +268,8 @@ def resample_page(raster: DataFrame, grid: Grid, page_north: int, page_west: int
     """
     spark = raster.sparkSession
     step = 1.0 / samples
-    page = Grid(step, page_west + 0.5 * step, step, page_north - 1 + 0.5 * step, samples, samples)
-    lon, lat = page.lon_lat("col", "row")
+    page = Grid(step, page_west, step, page_north - 1, samples, samples)
+    lon, lat = F.lit(float(page_west)) + (F.col("col") + 0.5) * step, F.lit(page_north - 1.0) + (F.col("row") + 0.5) * step
     sc, sr = grid.col_row(lon, lat)
     frame = pixel_frame(spark, page).withColumns(
         {
@@ -277,7 +278,7 @@ def resample_page(raster: DataFrame, grid: Grid, page_north: int, page_west: int
         }
     )
     filled = raster.withColumn(value, F.coalesce(valid_elevation(value, -10000.0), F.lit(0.0)))
-    sampled = BlockRaster.of(filled, grid, value).bilinear(frame, "_sr", "_sc", value, "shared")
+    sampled = BlockRaster.of(filled, grid, value).bilinear(frame, "_sr", "_sc", value, "expanded")
     clipped = F.greatest(F.lit(-500.0), F.least(F.lit(9000.0), F.coalesce(F.col(value), F.lit(0.0))))
     return sampled.select(
         F.col("row").alias("page_row"),
@@ -322,25 +323,19 @@ def _disc_expressions(grid: Grid, radius: int, size: int) -> tuple[str, str, str
     return at.replace("k div", "cast(k as int) div"), peak, peak.replace("array_max", "array_min")
 
 
-def focal_extremes(pixels: DataFrame, grid: Grid, radius: int, value: str = "elev", size: int = 64) -> DataFrame:
+def focal_extremes(pixels: DataFrame, grid: Grid, radius: int, value: str = "elev", size: int = 32) -> DataFrame:
     """(row, col, value, focal_max, focal_min) over a disc; missing pixels are ignored.
 
     One shuffle builds blocks with a halo of ``radius``; the disc is then a few array slices.
     """
     blocks = to_blocks(pixels, grid, value, size, lead=radius, trail=radius)
     at, high, low = _disc_expressions(grid, radius, size)
-    found = blocks.select(
-        "brow", "bcol",
-        F.expr(
-            f"filter(transform(sequence(0, {size * size - 1}), k -> named_struct('k', k, 'v', get(vals, cast({at} as int)),"
-            f" 'hi', {high}, 'lo', {low})), p -> p.v is not null)"
-        ).alias("_px"),
-    )
-    flat = found.select("brow", "bcol", F.explode("_px").alias("p"))
-    return flat.select(
-        (F.col("brow") * size + F.floor(F.col("p.k") / size)).cast("int").alias("row"),
-        (F.col("bcol") * size + F.col("p.k") % size).cast("int").alias("col"),
-        F.col("p.v").alias(value), F.col("p.hi").alias("focal_max"), F.col("p.lo").alias("focal_min"),
+    present = f"filter(sequence(0, {size * size - 1}), k -> get(vals, cast({at} as int)) is not null)"
+    each = blocks.select("brow", "bcol", "vals", F.explode(F.expr(present)).alias("k"))
+    return each.select(
+        F.expr(f"cast(brow * {size} + k div {size} as int)").alias("row"),
+        F.expr(f"cast(bcol * {size} + k % {size} as int)").alias("col"),
+        F.expr(f"get(vals, cast({at} as int))").alias(value), F.expr(high).alias("focal_max"), F.expr(low).alias("focal_min"),
     )
 
 
