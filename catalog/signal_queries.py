@@ -232,9 +232,6 @@ def _unselected(spark, sf):
     return fx.fixture(spark, sf, "sites").join(min_sites(spark, sf), "site_id", "left_anti").select("site_id", "name")
 
 
-SCEN = "(values ('optimistic', -90.0, 0.95), ('nominal', -85.0, 0.95), ('pessimistic', -80.0, 0.95))"
-
-
 def scenario_rows(rounds: int, targets: list[tuple[int, str, float]], p: str) -> str:
     rows = []
     for pos, name, target in targets:
@@ -335,8 +332,10 @@ def ring_sql(sep: str, left: str, right: str, join: str) -> str:
     return f" || '{join}' || ".join(f"'{left}' || {x}::VARCHAR || '{sep}' || {y}::VARCHAR || '{right}'" for x, y in points)
 
 
-@query("snk3_coverage_polygons", f"""with {CELLS} select out_row, out_col,
-  '{{"type":"Feature","properties":{{}},"geometry":{{"type":"Polygon","coordinates":[[' || {ring_sql(',', '[', ']', ',')} || ']]}}}}' as feature from boxes""", ("signal",))
+POLYGON = f"""'{{"type":"Feature","properties":{{}},"geometry":{{"type":"Polygon","coordinates":[[' || {ring_sql(',', '[', ']', ',')} || ']]}}}}'"""
+
+
+@query("snk3_coverage_polygons", f"with {CELLS} select out_row, out_col, {POLYGON} as feature from boxes", ("signal",))
 def _polygons(spark, sf):
     return sinks.coverage_features(sinks.coverage_cells(mask(spark, sf), G))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from catalog import fixtures as fx
 from catalog.fixtures import haversine
 from catalog.registry import num, query, r6, rnd
-from catalog.signal_queries import CROSSINGS, inside_sql
+from catalog.signal_queries import CELLS, CROSSINGS, POLYGON, inside_sql
 from ridgecast import sinks
 from ridgecast.functions import geo, radio
 from ridgecast.functions.geo import round_half_up
@@ -406,7 +406,12 @@ def _bridged(spark, sf):
     return net.bridge_components(links, net.connected_components(member_sites(spark, sf), links))
 
 
-@query("itr6_distance_suppression")
+@query("itr6_distance_suppression", f"""with recursive close as materialized (select b.site_id as i, list(a.site_id) as near from many_sites a join many_sites b on a.site_id < b.site_id
+    and abs(a.lat - b.lat) < 0.03 and {haversine('a.lat', 'a.lon', 'b.lat', 'b.lon')} < 3 group by 1),
+  lists as materialized (select site_id as i, coalesce(near, []) as near from many_sites left join close on i = site_id),
+  walk(i, kept) as (select 0::BIGINT, [0::BIGINT] union all select w.i + 1, case when list_has_any(w.kept, l.near) then w.kept else list_append(w.kept, w.i + 1) end from walk w join lists l on l.i = w.i + 1),
+  kept as (select unnest(kept) as site_id from (select kept from walk order by i desc limit 1) k)
+  select site_id, lat, lon from many_sites where site_id in (select site_id from kept)""", ("many_sites",))
 def _suppressed(spark, sf):
     peaks = fx.fixture(spark, sf, "many_sites").withColumn("ord", F.col("site_id"))
     return net.suppress_by_distance(peaks, 3.0).select("site_id", "lat", "lon")
@@ -452,7 +457,8 @@ def _features(spark, sf):
     return sinks.site_features(src.parse_csv_lines(fx.csv_lines(spark, sf)))
 
 
-@query("set2_all_features")
+@query("set2_all_features", f"""with {fx.CSV_ORACLE}, {CELLS} select {FEATURE} as feature from csv_sites
+  union all select {POLYGON} from boxes""", ("signal",))
 def _all_features(spark, sf):
     from catalog.signal_queries import G, mask
 

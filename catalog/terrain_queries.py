@@ -289,7 +289,7 @@ def _scout(spark, sf):
     return best.select("site_id", "row", "col", round_half_up("prominence", 3).alias("prominence"), round_half_up("viewshed_rank", 6).alias("viewshed_rank"))
 
 
-@query("agg13_visible_fraction")
+@query("agg13_visible_fraction", f"with {peaks_sql(8)}, tops as materialized (select ord as site_id, -0.0003::DOUBLE * row + 35.80::DOUBLE as lat, 0.0003::DOUBLE * col + -82.90::DOUBLE as lon from summits), {viewshed_sql('tops', 20)} select site_id, {rnd('viewshed_rank')} as viewshed_rank from ranks", ("rough", "dims"))
 def _visible(spark, sf):
     tops = peaks(spark, sf, 8).select(F.col("ord").alias("site_id"), "lat", "lon")
     return ter.viewshed_rank(tops, fine_raster(spark, sf, "rough"), fx.fine_grid(spark, sf).bounds, 20).withColumns(r6("viewshed_rank"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridgecast.functions.geo import (
@@ -100,6 +100,8 @@ def viewshed_rank(peaks: DataFrame, raster: BlockRaster, box: tuple[float, float
     known = ends.filter("elev1 is not null and elev2 is not null").withColumn(
         "_m", haversine_km("lat1", "lon1", "lat2", "lon2") * 1000.0
     )
+    tasks = int(known.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    known = known.repartition(tasks, "site_id", "sample")  # also the key of the fold below
     walked = sample_at(densify(known, [k / 10 for k in range(1, 10)]), raster)
     metres = F.col("frac") * F.col("_m")
     sight = F.col("elev1") + F.col("frac") * (F.col("elev2") - F.col("elev1"))
@@ -128,8 +130,6 @@ def ordered_peaks(found: DataFrame, grid: Grid, value: str = "elev") -> DataFram
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = found.repartitionByRange(parts, F.desc(value), "row", "col").sortWithinPartitions(F.desc(value), "row", "col")
     marked = cut_lineage(ranged.withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id()))
-    from pyspark.sql import Window
-
     sizes = marked.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"), F.min("_m").alias("_first"))
     before = F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
     starts = sizes.select("_p", "_first", before.alias("_before"))  # one row per partition

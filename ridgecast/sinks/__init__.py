@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridgecast.functions.geo import Grid, round_half_up
 from ridgecast.functions.text import fixed_text, number_text, xml_escape
-from ridgecast.operators.coverage import downsample_mask
+from ridgecast.operators.coverage import downsample_mask, masked_export
+from ridgecast.operators.spatial import pairs_within
 
 
 def _json_number(value: Column) -> Column:
@@ -113,8 +114,6 @@ def coverage_placemarks(cells: DataFrame) -> DataFrame:
     Numbers are running counts over the rows of the output grid plus the position inside a row,
     so only row totals are put in one order.
     """
-    from pyspark.sql import Window
-
     totals = cells.groupBy("out_row").agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(Window.orderBy("out_row").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
     starts = totals.select("out_row", before.alias("_before"))
@@ -225,8 +224,6 @@ def write_lines(lines: DataFrame, column: str, path: str) -> None:
 
 def write_masked_raster(signal: DataFrame, threshold: float, path: str) -> None:
     """Masked pixels as Parquet, one folder per site; a large site is written by many tasks."""
-    from ridgecast.operators.coverage import masked_export
-
     spread = masked_export(signal, threshold).repartition("site_id", F.floor(F.col("row") / 256))
     spread.write.mode("overwrite").partitionBy("site_id").parquet(path)
 
@@ -236,8 +233,6 @@ def candidate_scores(candidates: DataFrame, uncovered: DataFrame, search_km: flo
 
     ``candidates`` is (site_id, lat, lon, elev, notes), ``uncovered`` (poi_id, lat, lon).
     """
-    from ridgecast.operators.spatial import pairs_within
-
     near = pairs_within(candidates, uncovered, search_km, {"site_id": "site_id"}, {"poi_id": "poi_id"})
     nearest = near.groupBy("site_id").agg(F.min("distance_km").alias("nearest_poi_km"))
     scored = candidates.join(nearest, "site_id", "left")
