@@ -56,8 +56,8 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
         from {{lineitem}} group by 1, 2, 3"""),
     "matrix": (("signal",), f"select distinct site_id, {idiv('row', 4)} * 16 + {idiv('col', 4)} as cell_id from signal where rssi >= -85"),
     "pixels": (("orders", "dims"), f"""
-        select o_orderkey as key, {idiv('o_orderkey', 'w')} as p_row, o_orderkey % w as p_col, w
-        from {{orders}} cross join dims where {idiv('o_orderkey', 'w')} < w"""),
+        select key, {idiv('key', 'w')} as p_row, key % w as p_col, w
+        from (select o_orderkey as key, (select w from dims) as w from {{orders}}) o where {idiv('key', 'w')} < w"""),
     "dem": (("pixels",), f"""
         select cast(p_row as int) as row, cast(p_col as int) as col,
                case when key % 997 = 0 then null else cast(100 + {_cones()} as float) end as elev from pixels"""),
@@ -68,11 +68,10 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
     "poi": (("customer",), """
         select cast(c_custkey as bigint) as poi_id, c_mktsegment as priority, cast((c_custkey * 37) % 64 as int) as row,
                cast((c_custkey * 91) % 64 as int) as col from {customer}"""),
-    "zone_corners": (("region",), """
-        select cast(r_regionkey as bigint) as zone_id, v.i as i,
-               cast(4 + r_regionkey * 9 + v.dx as double) as x, cast(3 + r_regionkey * 8 + v.dy as double) as y
-        from {region} cross join (select 0 as i, 0 as dx, 0 as dy union all select 1, 21, 2 union all select 2, 18, 19
-                                  union all select 3, 2, 14) v"""),
+    "zone_corners": (("region",), " union all ".join(
+        f"select cast(r_regionkey as bigint) as zone_id, {i} as i, cast({4 + dx} + r_regionkey * 9 as double) as x, "
+        f"cast({3 + dy} + r_regionkey * 8 as double) as y from {{region}}" for i, (dx, dy) in enumerate(((0, 0), (21, 2), (18, 19), (2, 14)))
+    )),
     "zone_deg": (("zone_corners",), f"select zone_id, i, {d(-82.9)} + x * {d(0.01)} as x, {d(35.3)} + y * {d(0.01)} as y from zone_corners"),
     "boxes": (("sites",), """
         select site_id % 4 as box_id, min(lon) as west, min(lat) as south, max(lon) as east, max(lat) as north from sites group by 1"""),

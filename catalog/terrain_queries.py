@@ -33,11 +33,11 @@ def dem(spark, sf, name="dem"):
 
 
 def fine_raster(spark, sf, name="dem"):
-    return rs.BlockRaster.of(dem(spark, sf, name), fx.fine_grid(spark, sf))
+    return rs.BlockRaster.of(dem(spark, sf, name), fx.fine_grid(spark, sf)).persisted()
 
 
 def region_raster(spark, sf, name="rough"):
-    return rs.BlockRaster.of(dem(spark, sf, name), fx.region_grid(spark, sf))
+    return rs.BlockRaster.of(dem(spark, sf, name), fx.region_grid(spark, sf)).persisted()
 
 
 def pixel_sql(points: str, grid: tuple[str, str, str, str], extra: str = "*") -> str:
