@@ -19,6 +19,7 @@ from ridgecast.functions.geo import (
     as_col,
     haversine_km,
 )
+from ridgecast.session import cut_lineage
 
 # --- range join --------------------------------------------------------------
 
@@ -234,13 +235,15 @@ def sample_lattice(boxes: DataFrame, n: int) -> DataFrame:
 # --- nearest neighbours ------------------------------------------------------
 
 
-def nearest_by_degrees(points: DataFrame, k: int, levels: int = 24) -> DataFrame:
+def nearest_by_degrees(points: DataFrame, k: int, levels: int = 13) -> DataFrame:
     """(id, other, d2): the ``k`` nearest points, itself included, by squared degrees; ties by ``other``.
 
-    Exact in one pass. Square cells double in size from level to level. A point uses the
-    smallest level whose 3 x 3 cells hold ``k`` points; its k-th neighbour is then closer than
-    three cell edges, so 3 x 3 cells two levels up hold all of them. Sparse regions use large
-    cells, crowded ones small cells, and only per-cell counts are compared to decide.
+    Exact in one pass. Points on one spot share one answer, and only the ``k`` lowest ids of a
+    spot can be in any answer, so each spot asks once and offers at most ``k`` ids. Square cells
+    grow fourfold from level to level. A spot uses the smallest level whose 3 x 3 cells offer
+    ``k`` points; its k-th neighbour is then closer than three cell edges, and the 3 x 3 cells one
+    level up hold it. Lone spots use large cells, crowded ones small cells; only per-cell counts
+    are compared to decide, so no crowd is ever paired with itself as a whole.
     """
     extent = points.agg(
         F.max("lat").alias("n"), F.min("lat").alias("s"), F.max("lon").alias("e"), F.min("lon").alias("w"),
@@ -248,48 +251,45 @@ def nearest_by_degrees(points: DataFrame, k: int, levels: int = 24) -> DataFrame
     ).first()
     if not extent["count"]:
         return points.select("id", F.col("id").alias("other"), F.lit(0.0).alias("d2")).limit(0)
-    span = max(extent["n"] - extent["s"], extent["e"] - extent["w"], 1e-9)
+    span = max(extent["n"] - extent["s"], extent["e"] - extent["w"], 1e-9) * (1 + 1e-9)
     k = min(k, extent["count"])
-    top = max(1, min(levels, int(math.ceil(math.log2(max(2.0, math.sqrt(extent["count"])))))  + 1))
-    edge0 = span / 2**top * (1 + 1e-12)
-    south, west = extent["s"], extent["w"]
+    edge0, south, west = span / 4.0**levels, extent["s"], extent["w"]
 
     def at(level: Column, axis: str) -> Column:
         base = south if axis == "lat" else west
-        return F.floor((F.col(axis) - base) / (F.lit(edge0) * F.pow(F.lit(2.0), level)))
+        return F.floor((F.col(axis) - base) / (F.lit(edge0) * F.pow(F.lit(4.0), level)))
 
-    all_levels = F.explode(F.sequence(F.lit(0), F.lit(top)))
+    def around(axis: str) -> Column:
+        return F.explode(F.sequence(F.col(axis) - 1, F.col(axis) + 1))
+
+    on_spot = F.row_number().over(Window.partitionBy("lat", "lon").orderBy("id"))
+    offers = points.select(F.col("id").alias("other"), F.col("id"), "lat", "lon").withColumn("_k", on_spot).filter(F.col("_k") <= k)
+    offers = cut_lineage(offers.select("other", "lat", "lon"))
+    every_level = F.explode(F.sequence(F.lit(0), F.lit(levels)))
     cells = (
-        points.select("lat", "lon", all_levels.alias("level"))
+        offers.select("lat", "lon", every_level.alias("level"))
         .groupBy("level", at(F.col("level"), "lat").alias("cy"), at(F.col("level"), "lon").alias("cx"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    shift = F.explode(F.sequence(F.lit(-1), F.lit(1)))
-    around = cells.withColumn("dy", shift).withColumn("dx", F.explode(F.sequence(F.lit(-1), F.lit(1)))).groupBy(
-        "level", (F.col("cy") + F.col("dy")).alias("cy"), (F.col("cx") + F.col("dx")).alias("cx")
-    ).agg(F.sum("n").alias("n"))
-    ready = around.filter(F.col("n") >= k).select("level", "cy", "cx")
-    probes = points.select("id", "lat", "lon", F.explode(F.sequence(F.lit(0), F.lit(top))).alias("level"))
+    # Counts of the 3 x 3 cells, rows first and columns second.
+    tall = cells.select("level", around("cy").alias("cy"), "cx", "n").groupBy("level", "cy", "cx").agg(F.sum("n").alias("n"))
+    wide = tall.select("level", "cy", around("cx").alias("cx"), "n").groupBy("level", "cy", "cx").agg(F.sum("n").alias("n"))
+    ready = wide.filter(F.col("n") >= k).select("level", "cy", "cx")
+    spots = offers.select("lat", "lon").distinct()
+    probes = spots.select("lat", "lon", every_level.alias("level"))
     probes = probes.withColumns({"cy": at(F.col("level"), "lat"), "cx": at(F.col("level"), "lon")})
-    chosen = probes.join(ready, ["level", "cy", "cx"], "left_semi").groupBy("id").agg(F.min("level").alias("level"))
-    located = points.select("id", "lat", "lon").join(chosen, "id", "left").withColumn(
-        "level", F.coalesce(F.col("level"), F.lit(top)) + 2
-    )
+    chosen = probes.join(ready, ["level", "cy", "cx"], "left_semi").groupBy("lat", "lon").agg((F.min("level") + 1).alias("level"))
     asked = (
-        located.select("id", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), "level",
-                       at(F.col("level"), "lat").alias("_y"), at(F.col("level"), "lon").alias("_x"))
-        .withColumn("cy", F.explode(F.sequence(F.col("_y") - 1, F.col("_y") + 1)))
-        .withColumn("cx", F.explode(F.sequence(F.col("_x") - 1, F.col("_x") + 1)))
+        chosen.withColumns({"_y": at(F.col("level"), "lat"), "_x": at(F.col("level"), "lon")})
+        .select(F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), "level", around("_y").alias("cy"), "_x")
+        .select("_lat", "_lon", "level", "cy", around("_x").alias("cx"))
     )
-    used = located.select("level").distinct()
-    offered = points.select(F.col("id").alias("other"), "lat", "lon",
-                            F.explode(F.sequence(F.lit(2), F.lit(top + 2))).alias("level"))
-    offered = offered.join(F.broadcast(used), "level", "left_semi")  # at most ``levels`` rows
+    offered = offers.select("other", "lat", "lon", F.explode(F.sequence(F.lit(1), F.lit(levels + 1))).alias("level"))
     offered = offered.withColumns({"cy": at(F.col("level"), "lat"), "cx": at(F.col("level"), "lon")})
     met = asked.join(offered, ["level", "cy", "cx"])
     d_lat, d_lon = F.col("lat") - F.col("_lat"), F.col("lon") - F.col("_lon")
-    near = met.select("id", "other", (d_lat * d_lat + d_lon * d_lon).alias("d2"))
-    order = Window.partitionBy("id").orderBy("d2", "other")
-    return near.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= k).drop("_k")
-
-
+    near = met.select("_lat", "_lon", "other", (d_lat * d_lat + d_lon * d_lon).alias("d2"))
+    order = Window.partitionBy("_lat", "_lon").orderBy("d2", "other")
+    answers = near.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= k).drop("_k")
+    asking = points.select("id", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))
+    return asking.join(answers, ["_lat", "_lon"]).select("id", "other", "d2")

@@ -157,7 +157,7 @@ def test_range_join_equals_all_pairs(spark, centre, spread, km):
 def test_nearest_with_a_crowded_cell(spark):
     rng = np.random.default_rng(8)
     pts = [(i, float(rng.uniform(0, 10)), float(rng.uniform(0, 10))) for i in range(120)]
-    pts += [(120 + i, 5 + float(rng.uniform(0, 1e-3)), 5 + float(rng.uniform(0, 1e-3))) for i in range(120)] + [(240, 40.0, 40.0)]
+    pts += [(120 + i, 5 + float(rng.uniform(0, 1e-3)), 5 + float(rng.uniform(0, 1e-3))) for i in range(120)] + [(240, 40.0, 40.0)] + [(241 + i, 7.5, 7.5) for i in range(60)]
     frame = spark.createDataFrame(pts, "id long, lat double, lon double")
     got = {}
     for r in nearest_by_degrees(frame, 7).collect():
