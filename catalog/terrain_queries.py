@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import functions as F
 
@@ -278,8 +279,15 @@ def _viewshed(spark, sf):
     return ter.viewshed_rank(tops, fine_raster(spark, sf, "rough"), grid.bounds, 12).withColumns(r6("viewshed_rank"))
 
 
-SCOUT = f"""{peaks_sql(5)}, {HIGHER}, {PROMINENCE.replace('ends as', 'pends as').replace('arcs', 'parcs').replace('from ends', 'from pends')}, {hilltop_sql(20.0, ROUGH_KM, 120)},
-  hills as materialized (select ord as site_id, row, col, elev, lat, lon, prominence from k120), {viewshed_sql('hills', 12)},
+def renamed(sql: str, prefix: str, *names: str) -> str:
+    """CTE names moved aside, so that parts with equal names can be put together."""
+    for n in names:
+        sql = re.sub(rf"\b{n}\b", prefix + n, sql)
+    return sql
+
+
+SCOUT = f"""{peaks_sql(5)}, {HIGHER}, {PROMINENCE.replace('ends as', 'pends as').replace('arcs', 'parcs').replace('from ends', 'from pends').replace('steps', 'psteps')}, {hilltop_sql(20.0, ROUGH_KM, 120)},
+  hills as materialized (select ord as site_id, row, col, elev, lat, lon, prominence from k120), {renamed(viewshed_sql('hills', 12), 'v', 'own', 'ends', 'arcs', 'rays', 'met')},
   scouted as materialized (select h.*, viewshed_rank from hills h join ranks using (site_id) order by viewshed_rank desc, site_id limit 20)"""
 
 
@@ -472,7 +480,34 @@ def planned(spark, sf, model):
     )
 
 
-@query("job13_mesh_plan_free_space")
+def fine(sql: str) -> str:
+    """Sweep text moved from the region grid to the fine grid."""
+    for a, b in (("35.805", "35.80"), ("(-0.51::DOUBLE / w)", "(-0.0003::DOUBLE)"), ("(0.61::DOUBLE / w)", "0.0003::DOUBLE"),
+                 ("(-0.51::DOUBLE / w", "(-0.0003::DOUBLE"), ("(0.61::DOUBLE / w", "(0.0003::DOUBLE")):
+        sql = sql.replace(a, b)
+    return sql
+
+
+PLAN_SWEEP = fine(GAPS.format(
+    swept=FS_SWEEP.format(sweep=SWEEP.format(n=8, radials=72, sites="chosen"), sites="chosen", km=haversine("lat", "lon", "lat2", "lon2")),
+    sites="chosen", km=1.6, radials=72,
+))
+PLAN_LINKS = f"""lends as materialized (select * from (select a.site_id as src, b.site_id as dst, a.lat as lat1, a.lon as lon1, a.elev as elev1, b.lat as lat2, b.lon as lon2, b.elev as elev2,
+    {haversine('a.lat', 'a.lon', 'b.lat', 'b.lon')} as km from scouted a join scouted b on a.site_id < b.site_id) q where km <= 1.6 and km >= 0.001),
+  larcs as materialized (select *, km / 6371.0::DOUBLE as arc from lends), lsteps as (select *, i / 99.0::DOUBLE as frac from larcs cross join range(1, 99) t(i)),
+  lz as materialized (select * from {bilinear_sql(pixel_sql(slerp_sql('lsteps', 'frac'), FINE, 'src, dst, frac, arc, km, elev1, elev2'), 'rough', 'z')} q),
+  links as materialized (select src, dst, {rnd('max(km)', 1)} as distance_km, bool_and(arc * 6371000 < 1 or coalesce(z, 0) + pow(frac * arc * 6371000, 2) / (2 * 6371000.0::DOUBLE * 4 / 3) <= elev1 + frac * (elev2 - elev1) + 1e-9) as los_clear from lz group by 1, 2)"""
+SUMMARY = """picks as materialized (select * from p20 where rank > 0), inner_links as materialized (select src as a, dst as b from links where los_clear and src in (select site_id from picks) and dst in (select site_id from picks)
+    union all select dst, src from links where los_clear and src in (select site_id from picks) and dst in (select site_id from picks)),
+  reach(site_id, node) as (select site_id, site_id from picks union select r.site_id, l.b from reach r join inner_links l on l.a = r.node),
+  comps as (select count(distinct c) as k from (select site_id, min(node) as c from reach group by 1) m)"""
+
+
+@query("job13_mesh_plan_free_space", f"""with recursive {SCOUT.replace('limit 20)', 'limit 60)')}, {PLAN_LINKS}, chosen as materialized (select * from scouted order by viewshed_rank desc, site_id limit 20), {PLAN_SWEEP},
+  matrix as materialized (select distinct site_id, (row // 4) * ceil(w / 4.0)::BIGINT + col // 4 as cell_id from filled cross join dims where rssi >= -70),
+  ncell as materialized (select (ceil(w / 4.0) * ceil(w / 4.0))::BIGINT as n from dims), {greedy_sql(20, '< (select ceil(0.8 * n) from ncell)', 'gain + 0.3 * {n} * linked', flags=True)}, {SUMMARY}
+  select count(*) as n_sites, {rnd('max(covered_after) / (select n from ncell)::DOUBLE')} as covered_fraction, {rnd('1 - max(covered_after) / (select n from ncell)::DOUBLE')} as gap_fraction,
+    (select count(*) from scouted) as n_candidates, count(*) - (select k from comps) as n_tree_edges, (select k <= 1 from comps) as connected from picks""", ("rough", "dims"))
 def _plan(spark, sf):
     return planned(spark, sf, "free_space")["summary"].withColumns(r6("covered_fraction", "gap_fraction"))
 
