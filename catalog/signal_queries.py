@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from catalog import fixtures as fx
 from catalog.registry import query, r6, rnd
 from ridgecast import plans, sinks
-from ridgecast.functions.geo import round_half_up
 from ridgecast.functions.radio import DEFAULT_PARAMS
 from ridgecast.operators import agreement as ag
 from ridgecast.operators import coverage as cov

@@ -12,7 +12,6 @@ from ridgecast import sinks
 from ridgecast.functions import geo, radio
 from ridgecast.functions.geo import round_half_up
 from ridgecast.functions.text import with_unique_names
-from ridgecast.operators import coverage as cov
 from ridgecast.operators import network as net
 from ridgecast.operators import spatial as sp
 from ridgecast.operators.raster import pixel_frame, target_grid, tile_cover

@@ -17,7 +17,6 @@ from ridgecast.functions.geo import (
     Grid,
     KM_PER_DEGREE,
     as_col,
-    latitude_of_mercator,
     mercator_x,
     mercator_y,
     round_half_up,

@@ -13,7 +13,6 @@ from pyspark.sql import types as T
 
 from ridgecast.functions.geo import (
     EARTH_RADIUS_KM,
-    Grid,
     KM_PER_DEGREE,
     KM_PER_DEGREE_RANGE_BOX,
     as_col,
