@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,26 +29,34 @@ def build_session(app: str = "ridgecast", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
-def _cut_folder(spark: SparkSession) -> str:
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if folder:
-        return f"{folder}/ridgecast-{context.applicationId}"
-    if not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="ridgecast-checkpoint-"))
-    return f"{context.getCheckpointDir()}/ridgecast-{context.applicationId}"
+def stored_folder(spark: SparkSession) -> str:
+    """A new folder, shared by all executors, for one intermediate table.
+
+    It lies in the folder that the cluster names in ``spark.checkpoint.dir``; only where that is
+    unset, as in tests, below the session's warehouse.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    folder = folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/intermediate"
+    return f"{folder.rstrip('/')}/ridgecast-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Stores a table and reads it back, so a lost executor never sends a loop back to round one.
 
-    Tables go to the folder the cluster names in ``spark.checkpoint.dir``; only a local
-    session without one gets a temporary folder. Unlike a checkpointed plan, whose size
-    estimates multiply from join to join, a stored table has its true size, so each round of
-    a loop is planned from facts and small tables are broadcast on their own.
+    Unlike a checkpointed plan, whose size estimates multiply from join to join, a stored table has
+    its true size, so each round of a loop is planned from facts and small tables are broadcast
+    on their own.
     """
     spark = df.sparkSession
-    path = f"{_cut_folder(spark)}/{uuid.uuid4().hex}"
+    path = stored_folder(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables that ``cut_lineage`` stored, once nothing reads them any more."""
+    for df in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/ridgecast-" in folder:
+                path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
