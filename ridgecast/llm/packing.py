@@ -8,13 +8,11 @@ and equal bins together and gives exactly what best-fit decreasing gives piece b
 from __future__ import annotations
 
 import base64
-import re
 import zlib
 from array import array
 from bisect import bisect_right
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,35 +22,13 @@ from ridgecast.llm.text import chunks
 from ridgecast.session import cut_lineage
 
 CAPACITY = 2048
-#: Most words whose ids a task's process remembers.
-REMEMBERED = 200_000
 #: Fixed value: the separating id behind each document.
 END_ID = 0
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
-class Remembered(dict):
-    """Ids of words met before (a blank stands before each), with those of the generation before it as long as words come back."""
-
-    def __init__(self, encode: Callable[[str], list[int]], older: dict[str, bytes]) -> None:
-        super().__init__()
-        self.encode, self.older = encode, dict(older)
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self.older.get(word)
-        if ids is None:
-            ids = array("I", self.encode(" " + word)).tobytes()
-        if len(word) < 64:
-            self[word] = ids
-        return ids
-
-
 class Encoder:
-    """Ids of a byte-level BPE vocabulary, by word.
-
-    A blank behind a non-blank character always begins a token of its own word, so words are encoded
-    one by one and remembered. Texts where a blank follows white space are encoded whole.
-    """
+    """Ids of a byte-level BPE vocabulary given as a tokenizer file and as ranks: same ids, the ranks sooner."""
 
     _loaded: dict[str, Encoder] = {}
 
@@ -65,10 +41,7 @@ class Encoder:
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, lines)}
-        # the same vocabulary as ranks: same ids, sooner
-        self.words = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.known = Remembered(self.words.encode_ordinary, {})
-        self.doubled = re.compile(r"\s ")
+        self.ranks = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     @classmethod
     def get(cls, path: str, ranks_path: str) -> Encoder:
@@ -77,15 +50,10 @@ class Encoder:
         return cls._loaded[path]
 
     def __call__(self, text: str) -> bytes:
-        """Little-endian 32-bit ids."""
+        """Ids as 32-bit words; a text that holds a special token's string goes to the tokenizer itself."""
         if any(s in text for s in self.special):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if self.doubled.search(text):
-            return np.array(self.words.encode_ordinary(text), "<u4").tobytes()
-        if len(self.known) > REMEMBERED:
-            self.known = Remembered(self.words.encode_ordinary, self.known)
-        first, *later = text.split(" ")
-        return array("I", self.words.encode_ordinary(first)).tobytes() + b"".join(map(self.known.__getitem__, later))
+            return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
+        return array("I", self.ranks.encode_ordinary(text)).tobytes()
 
 
 def pieces(docs: DataFrame, tokenizer: str, ranks: str, capacity: int = CAPACITY) -> DataFrame:
@@ -93,7 +61,7 @@ def pieces(docs: DataFrame, tokenizer: str, ranks: str, capacity: int = CAPACITY
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Encoder.get(tokenizer, ranks)
-        end = np.array([END_ID], "<u4").tobytes()
+        end = array("I", [END_ID]).tobytes()
         for piece, texts in chunks(batches):
             rows: list[tuple] = []
             for doc_id, text in zip(piece.column(0).to_pylist(), texts, strict=True):
