@@ -7,6 +7,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes that part words: white space, or everything but digits, a-z and non-ASCII bytes.
 SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
@@ -100,7 +101,7 @@ def chunks(batches: Iterable[pa.RecordBatch], limit: int = 1 << 20, text: str =
     """Slices of the batches, with their texts, of about ``limit`` bytes of text each (one row at least)."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
-        sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(column), 0)).astype(np.int64)
+        sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0)).astype(np.int64)
         total = np.cumsum(sizes)
         at = 0
         while at < batch.num_rows:
