@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ridgecast.llm import decontaminate, packing, quality, queries
+from ridgecast.llm import decontaminate, line_dedup, ngram_join, packing, quality, queries
 from ridgecast.llm.tables import table
 from ridgecast.session import cut_lineage
 
@@ -15,6 +15,14 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.stage(docs)
 
 
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return line_dedup.stage(docs)
+
+
+def join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return ngram_join.stage(docs)
+
+
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontaminate.stage(docs, table(spark, sf_dir, "benchmark"))
 
@@ -25,6 +33,8 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality_rules", quality_stage),
+    ("line_dedup", line_stage),
+    ("ngram_jaccard_join", join_stage),
     ("benchmark_decontamination", decontamination_stage),
     ("best_fit_packing", packing_stage),
 ]

@@ -89,6 +89,11 @@ def _buckets(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[tuple[int
                np.frombuffer(b"".join(counts), np.int32))
 
 
+def entries_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """The (bucket, owners, tokens, counts) of entries packed by owner, a packed row or more at a time."""
+    return _buckets(batches, "<i8")
+
+
 def _met(packed: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     return packed.repartition(tables.partitions(packed.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(work, schema)
 
