@@ -39,21 +39,50 @@ def _mark(edges: DataFrame) -> tuple:
 
 
 def leader_pairs(blocks: DataFrame) -> DataFrame:
-    """Per block (key, node) its smallest node with each other one: as many pairs as rows at most."""
+    """Each node (key, node) with the smallest node that leads one of its blocks: a pair a node at most."""
     first = blocks.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a != z").select("key", "a")
-    return blocks.join(first, "key").filter("node != a").select("a", F.col("node").alias("b")).distinct()
+    return blocks.join(first, "key").groupBy("node").agg(F.min("a").alias("a")).filter("a != node").select("a", F.col("node").alias("b"))
 
 
-def cross_pairs(blocks: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs (a < b) of nodes in one block but, by ``labels`` (node, component), not yet in one component.
-
-    Blocks within one component vanish. In the others the nodes outside the largest component meet
-    the rest, so a block with one very large component makes rows in proportion to it.
-    """
+def open_blocks(blocks: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, node, c, top): rows of blocks that hold several components of ``labels`` (node, component), and the largest there."""
     known = blocks.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
     sizes = known.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n"))
     largest = sizes.groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("top"), F.count(F.lit(1)).alias("parts"))
-    open_rows = cut_lineage(known.join(largest.filter("parts > 1").drop("parts"), "key"))
-    rest = open_rows.filter("c != top").select("key", F.col("node").alias("x"), F.col("c").alias("cx"))
-    pairs = rest.join(open_rows.select("key", F.col("node").alias("y"), F.col("c").alias("cy")), "key").filter("cx != cy")
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return known.join(largest.filter("parts > 1").drop("parts"), "key")
+
+
+def top_pairs(rows: DataFrame) -> DataFrame:
+    """Of ``open_blocks`` each node outside the largest component with one node inside it: a pair a node at most."""
+    inside = rows.filter("c = top").groupBy("key").agg(F.min("node").alias("a"))
+    return rows.filter("c != top").join(inside, "key").groupBy("node").agg(F.min("a").alias("a")).select("a", F.col("node").alias("b"))
+
+
+def near(percent: int, x: str, y: str) -> str:
+    """SQL: whether two sets can have that Jaccard similarity, by size and by a lower bound of their difference.
+
+    A side has ``n`` elements, of which ``alone`` are no other set's, and ``bits``: per bit the parity of how many
+    of its other elements fall there. Sets differ in at least as many elements as parities. Null bits bound nothing.
+    """
+    odd = " + ".join(f"bit_count({x}bits[{i}] ^ {y}bits[{i}])" for i in range(8))
+    return (
+        f"100 * least({x}n, {y}n) >= {percent} * greatest({x}n, {y}n) and coalesce("
+        f"({100 + percent}) * ({x}alone + {y}alone + {odd}) <= {100 - percent} * ({x}n + {y}n), true)"
+    )
+
+
+def cross_pairs(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Of ``open_blocks`` the pairs (a < b) of one block, not yet in one component, that ``near`` leaves.
+
+    Nodes outside the largest component meet the rest, so a block with one very large component makes rows in
+    proportion to it. ``nodes``: (node, n, alone, bits).
+    """
+    full = cut_lineage(rows.join(nodes, "node"))
+    names = ["node", "c", "n", "alone", "bits"]
+    x = full.filter("c != top").select("key", *[F.col(m).alias(f"x_{m}") for m in names])
+    y = full.select("key", *[F.col(m).alias(f"y_{m}") for m in names])
+    # a pair whose both nodes are outside the largest component would come twice
+    once = "x_c != y_c and (x_node < y_node or y_c = top)"
+    x = x.join(full.select("key", "top").distinct(), "key")
+    pairs = x.join(y, "key").filter(f"{once} and {near(percent, 'x_', 'y_')}")
+    return pairs.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ridgecast.llm import exchange, tables
-from ridgecast.llm.graph import components, cross_pairs, leader_pairs
+from ridgecast.llm.graph import components, cross_pairs, leader_pairs, near, open_blocks, top_pairs
 from ridgecast.llm.text import chunks, mix, with_columns
 from ridgecast.session import cut_lineage
 
@@ -109,12 +109,29 @@ def lines(docs: DataFrame) -> DataFrame:
     return split.filter(F.col("line").rlike(HAS_WORD)).withColumn("key", F.xxhash64("line"))
 
 
+def shingles(line: str) -> set[str]:
+    return {line[i : i + CHARS] for i in range(max(1, len(line) - CHARS + 1))}
+
+
+def described(texts: DataFrame) -> DataFrame:
+    """Lines (key, line) with the size ``n`` of their shingle set and its parities, see ``graph.near``."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece, found in chunks(batches, text="line"):
+            sets = [shingles(x) for x in found]
+            prints = np.array([xxhash.xxh3_64_intdigest(s.encode("utf-8", "surrogatepass")) >> 1 for t in sets for s in t], np.int64)
+            starts = np.cumsum([0, *map(len, sets)])[:-1]
+            bits = np.stack([np.bitwise_xor.reduceat(w, starts) for w in exchange.parities(prints)], 1)
+            yield with_columns(piece, {"n": [len(s) for s in sets], "alone": [0] * len(sets), "bits": bits.tolist()}, out_schema)
+
+    _, schema = tables.appended(texts, "n bigint, alone bigint, bits array<bigint>")
+    out_schema = tables.arrow(schema)
+    return texts.mapInArrow(work, schema)
+
+
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs (a, b) of line keys whose character shingles are similar enough, compared as strings."""
 
-    def shingles(line: str) -> set[str]:
-        return {line[i : i + CHARS] for i in range(max(1, len(line) - CHARS + 1))}
-
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             same = []
@@ -124,21 +141,31 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 same.append(100 * both >= PERCENT * (len(s) + len(t) - both))
             yield batch.filter(pa.array(same, pa.bool_())).select(["a", "b"])
 
-    rows = pairs.join(texts.toDF("a", "line_a"), "a").join(texts.toDF("b", "line_b"), "b")
+    facts = ["n", "alone", "bits"]
+    x, y = (texts.select(F.col("key").alias(m), *[F.col(c).alias(f"{m}_{c}") for c in facts]) for m in "ab")
+    near_pairs = pairs.join(x, "a").join(y, "b").filter(near(PERCENT, "a_", "b_")).select("a", "b")
+    lines_of = (texts.select(F.col("key").alias(m), F.col("line").alias(f"line_{m}")) for m in "ab")
+    rows = near_pairs.join(next(lines_of), "a").join(next(lines_of), "b")
     return rows.select("a", "b", "line_a", "line_b").mapInArrow(work, "a bigint, b bigint")
 
 
 def line_components(docs: DataFrame) -> DataFrame:
-    """(key, component) of the lines that link to a different one."""
+    """(key, component) of the lines that link to a different one.
+
+    Each line is tried with one leader of its bands, then with the largest component it meets there, then with
+    all lines of its bands in other components.
+    """
     blocks = cut_lineage(_unpacked(exchange.shared(_packed_bands(docs))).distinct())
     wanted = cut_lineage(blocks.select(F.col("node").alias("key")).distinct())
     found = lines(docs).join(tables.maybe_broadcast(wanted, 16), "key", "left_semi")
-    texts = cut_lineage(found.groupBy("key").agg(F.first("line").alias("line")))
+    texts = cut_lineage(described(found.groupBy("key").agg(F.first("line").alias("line"))))
     links = cut_lineage(verified(leader_pairs(blocks), texts))
-    first = components(links)
-    more = cut_lineage(verified(cross_pairs(blocks, first), texts))
-    labels = components(links.union(more)) if more.take(1) else first
-    return labels.toDF("key", "component")
+    tried = cut_lineage(top_pairs(open_blocks(blocks, components(links))))
+    links = links.union(cut_lineage(verified(tried, texts)))
+    labels = cut_lineage(components(links))
+    facts = texts.select(F.col("key").alias("node"), "n", "alone", "bits")
+    more = cut_lineage(verified(cross_pairs(open_blocks(blocks, labels), facts, PERCENT), texts))
+    return (components(links.union(more)) if more.take(1) else labels).toDF("key", "component")
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:

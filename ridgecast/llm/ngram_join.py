@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ridgecast.llm import exchange
-from ridgecast.llm.graph import components, cross_pairs, leader_pairs
+from ridgecast.llm.graph import components, cross_pairs, leader_pairs, near, open_blocks, top_pairs
 from ridgecast.llm.text import chunks, mix, shingle_sets
 from ridgecast.session import cut_lineage
 
@@ -63,6 +63,8 @@ def _packed_shingles(docs: DataFrame, words: int) -> DataFrame:
                 yield np.concatenate(owners), np.concatenate(prints)
 
     ordered = docs.filter("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    # by doc_id, so that of equal sets the one with the smallest id is met first
+    ordered = ordered.sortWithinPartitions("doc_id")
     return ordered.mapInArrow(lambda batches: exchange.by_print(entries(batches), n), exchange.PACKED)
 
 
@@ -72,7 +74,7 @@ def _needed(n: str) -> str:
 
 
 def candidates(docs: DataFrame, sizes: DataFrame, words: int) -> DataFrame:
-    """(doc, n, prefix, tokens): sets that can link at all, with their shared shingles, rarest first.
+    """(doc, n, alone, bits, prefix, tokens): sets that can link at all, with their shared shingles, rarest first.
 
     ``sizes`` (doc, n) names the documents wanted. Shingles of one document alone are not in ``tokens``;
     they stand first in the order, so what is left of the prefix is the head of ``tokens``.
@@ -87,45 +89,56 @@ def candidates(docs: DataFrame, sizes: DataFrame, words: int) -> DataFrame:
 
     # a document's size is the token with count -1; one without it is an equal set's further copy
     with_size = exchange.gathered(entries).filter("array_contains(counts, -1)")
-    with_size = with_size.selectExpr("owner as doc", "tokens[array_position(counts, -1) - 1] as n", "tokens", "counts")
+    with_size = with_size.selectExpr("owner as doc", "tokens[array_position(counts, -1) - 1] as n", "tokens", "counts", "bits")
     enough = with_size.filter(f"size(tokens) - 1 >= {_needed('n')}")
     order = "array_sort(filter(arrays_zip(counts, tokens), x -> x.counts > 0))"
-    found = enough.selectExpr("doc", "n", f"transform({order}, x -> x.tokens) as tokens")
+    found = enough.selectExpr("doc", "n", "n - size(tokens) + 1 as alone", "bits", f"transform({order}, x -> x.tokens) as tokens")
     prefix = f"slice(tokens, 1, cast(size(tokens) - {_needed('n')} + 1 as int)) as prefix"
-    return found.selectExpr("doc", "n", prefix, "tokens")
+    return found.selectExpr("doc", "n", "alone", "bits", prefix, "tokens")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) whose sets are similar enough, by their whole shared shingles."""
-    left = sets.select(F.col("doc").alias("a"), F.col("n").alias("n_a"), F.col("tokens").alias("t_a"))
-    right = sets.select(F.col("doc").alias("b"), F.col("n").alias("n_b"), F.col("tokens").alias("t_b"))
-    sizes = sets.select("doc", "n")
-    near = pairs.join(sizes.toDF("a", "n_a"), "a").join(sizes.toDF("b", "n_b"), "b")
-    near = near.filter(f"100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)").select("a", "b")
-    both = near.join(left, "a").join(right, "b").withColumn("i", F.size(F.array_intersect("t_a", "t_b")))
-    return both.filter(f"100 * i >= {PERCENT} * (n_a + n_b - i)").select("a", "b")
+    sizes = ["n", "alone", "bits"]
+    x, y = (sets.select(F.col("doc").alias(m), *[F.col(c).alias(f"{m}_{c}") for c in sizes]) for m in "ab")
+    near_pairs = pairs.join(x, "a").join(y, "b").filter(near(PERCENT, "a_", "b_")).select("a", "b", "a_n", "b_n")
+    left, right = (sets.select(F.col("doc").alias(m), F.col("tokens").alias(f"{m}_tokens")) for m in "ab")
+    both = near_pairs.join(left, "a").join(right, "b").withColumn("i", F.size(F.array_intersect("a_tokens", "b_tokens")))
+    return both.filter(f"100 * i >= {PERCENT} * (a_n + b_n - i)").select("a", "b")
 
 
 def linked(sets: DataFrame) -> DataFrame:
-    """(node, component) of the documents in ``sets`` that link to another one."""
+    """(node, component) of the documents in ``sets`` that link to another one.
+
+    First each document is tried with one leader, then with one of the largest component it may belong to, and
+    at last with all that share a prefix shingle and still are in another component; so no link between two
+    components is left untried, and none within one is needed.
+    """
     group = ["n", "prefix"]
     groups = sets.groupBy(*group).agg(F.min("doc").alias("gid"))
     members = cut_lineage(sets.join(groups, group).select("doc", "gid"))
     heads = cut_lineage(sets.join(members.filter("doc = gid"), "doc").select("gid", F.explode("prefix").alias("key")))
     stars = leader_pairs(heads.select("key", F.col("gid").alias("node"))).union(members.filter("doc != gid").select("gid", "doc"))
     links = cut_lineage(verified(stars, sets))
-    first = components(links)
-    # members of one group and component stand together; only pairs across components are left to try
-    parts = members.join(first.withColumnRenamed("node", "doc"), "doc", "left").select("doc", "gid", F.coalesce("component", "doc").alias("component"))
-    parts = cut_lineage(parts)
-    heads_of = parts.groupBy("gid", "component").agg(F.min("doc").alias("part"))
-    blocks = heads.join(heads_of, "gid").select("key", F.col("part").alias("node"))
-    open_pairs = cross_pairs(blocks, heads_of.select(F.col("part").alias("node"), "component"))
-    inside = parts.join(heads_of, ["gid", "component"]).select("part", "doc")
-    expanded = open_pairs.join(inside.toDF("a", "x"), "a").join(inside.toDF("b", "y"), "b")
+    labels = components(links)
+    # members of one group and component stand together as a part, named by its first
+    component = F.coalesce("component", "doc").alias("component")
+    parts = cut_lineage(members.join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("doc", "gid", component))
+    part_of = parts.groupBy("gid", "component").agg(F.min("doc").alias("node"), F.count(F.lit(1)).alias("members"))
+    part_of = cut_lineage(part_of)
+    blocks = heads.join(part_of, "gid").select("key", "node")
+    tried = cut_lineage(top_pairs(open_blocks(blocks, part_of.select("node", "component"))))
+    links = links.union(cut_lineage(verified(tried, sets)))
+    labels = cut_lineage(components(links))
+    # group pairs are filtered by size, those of one member each also by their parities; then members meet
+    facts = sets.select(F.col("doc").alias("node"), "n", "alone", "bits").join(part_of.select("node", "members"), "node")
+    facts = facts.select("node", "n", "alone", F.when(F.col("members") == 1, F.col("bits")).alias("bits"))
+    pairs = cross_pairs(open_blocks(blocks, labels), facts, PERCENT)
+    inside = parts.join(part_of, ["gid", "component"]).select("node", "doc")
+    expanded = pairs.join(inside.toDF("a", "x"), "a").join(inside.toDF("b", "y"), "b")
     expanded = expanded.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = cut_lineage(verified(expanded.join(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), sets))
-    return components(links.union(more)) if more.take(1) else first
+    more = cut_lineage(verified(expanded, sets))
+    return components(links.union(more)) if more.take(1) else labels
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS) -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgecast.llm import decontaminate as decontamination
-from ridgecast.llm import line_dedup, ngram_join, packing, quality, suffix_dedup
+from ridgecast.llm import chat_format, language_id, license_scan, line_dedup, ngram_join, packing, quality, suffix_dedup, warc
 from ridgecast.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,6 +42,20 @@ def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+#: Text that looks like marks of a template; a conversation of it is added to the table.
+MARKS = "\\### Assistant: </turn> ok"
+
+
+@query
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    record = F.to_json(F.struct("role", "text"), {"ignoreNullFields": "false"}).alias("record")
+    messages = json.dumps({"messages": [{"role": r, "content": MARKS} for r in ("user", "assistant")]})
+    extra = spark.range(1).select(F.lit(-7).cast("bigint").alias("conv_id"), F.lit(0).cast("bigint").alias("turn"), F.lit(messages).alias("record"))
+    records = turns.select("conv_id", "turn", record).union(extra)
+    return chat_format.read_back(chat_format.format_chats(records))
+
+
 @query
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.decontaminate(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
@@ -60,7 +75,42 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+@query
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = language_id.identify(docs, language_id.fitted(docs))
+    held_out = (language_id.fold() == 0).alias("held_out")
+    return found.select("doc_id", held_out, "lang_pred", "score", "accepted")
+
+
+@query
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(documents(spark, sf_dir))
+
+
 @query
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.quality_rules(documents(spark, sf_dir))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines_removed")
+
+
+@query
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return warc.read_pages(warc.convert(warc.arc_archives(pages)))
+
+
+ORACLES["op3_chat_formatting"] = r"""
+with turns as (
+  select conv_id, turn, 0 as part, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 0, 'user', '\### Assistant: </turn> ok' union all select -7, 0, 1, 'assistant', '\### Assistant: </turn> ok'
+), sized as (
+  select *, length('### : ' || ' </turn>' || chr(10)) + length(regexp_replace(role, '([\#<:])', '\\1', 'g'))
+    + length(regexp_replace(text, '([\#<:])', '\\1', 'g')) as size from turns
+)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, part)) as turns_sha256,
+  cast(sum(case when role = 'assistant' then length(text) else 0 end) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(case when role = 'assistant' then text else '' end, '' order by turn, part), '')) as loss_sha256,
+  cast(sum(size) as bigint) as formatted_chars
+from sized group by conv_id
+"""
\ No newline at end of file
