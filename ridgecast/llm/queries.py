@@ -105,8 +105,8 @@ with turns as (
   select conv_id, turn, 0 as part, coalesce(role, '') as role, coalesce(text, '') as text from conversations
   union all select -7, 0, 0, 'user', '\### Assistant: </turn> ok' union all select -7, 0, 1, 'assistant', '\### Assistant: </turn> ok'
 ), sized as (
-  select *, length('### : ' || ' </turn>' || chr(10)) + length(regexp_replace(role, '([\#<:])', '\\1', 'g'))
-    + length(regexp_replace(text, '([\#<:])', '\\1', 'g')) as size from turns
+  select *, length('### : ' || ' </turn>' || chr(10)) + length(role) + length(text)
+    + length(regexp_replace(role || text, '[^\\#<:]', '', 'g')) as size from turns
 )
 select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, part)) as turns_sha256,
   cast(sum(case when role = 'assistant' then length(text) else 0 end) as bigint) as loss_chars,
