@@ -18,13 +18,13 @@ from ridgecast.llm import tables
 from ridgecast.llm.text import mix
 
 #: Entries that a task gathers before it deals them out.
-HELD = 3_000_000
+HELD = 1_000_000
 PACKED = "bucket int, owners binary, prints binary, counts binary"
 _PACKED = pa.schema([("bucket", pa.int32()), ("owners", pa.binary()), ("prints", pa.binary()), ("counts", pa.binary())])
 
 
-def buckets(df: DataFrame) -> int:
-    return 4 * tables.partitions(df.sparkSession)
+def buckets(df: DataFrame, to_a_partition: int = 4) -> int:
+    return to_a_partition * tables.partitions(df.sparkSession)
 
 
 def _ids(a: np.ndarray) -> bytes:
@@ -94,7 +94,7 @@ def entries_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndar
     return _buckets(batches, "<i8")
 
 
-def _met(packed: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def met(packed: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     return packed.repartition(tables.partitions(packed.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(work, schema)
 
 
@@ -112,7 +112,7 @@ def shared(packed: DataFrame) -> DataFrame:
             keep = np.repeat(several, sizes)
             yield owners[keep], (np.int64(bucket) << np.int64(32)) + prints[keep].astype(np.int64), np.repeat(sizes[several], sizes[several])
 
-    return _met(packed, lambda batches: by_owner(entries(batches), n), PACKED)
+    return met(packed, lambda batches: by_owner(entries(batches), n), PACKED)
 
 
 def gathered(packed: DataFrame) -> DataFrame:
@@ -135,7 +135,7 @@ def gathered(packed: DataFrame) -> DataFrame:
                 names=["owner", "tokens", "counts", "bits"],
             )
 
-    return _met(packed, work, "owner bigint, tokens array<bigint>, counts array<int>, bits array<bigint>")
+    return met(packed, work, "owner bigint, tokens array<bigint>, counts array<int>, bits array<bigint>")
 
 
 def parities(tokens: np.ndarray) -> Iterator[np.ndarray]:

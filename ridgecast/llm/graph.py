@@ -46,7 +46,7 @@ def leader_pairs(blocks: DataFrame) -> DataFrame:
 
 def open_blocks(blocks: DataFrame, labels: DataFrame) -> DataFrame:
     """(key, node, c, top): rows of blocks that hold several components of ``labels`` (node, component), and the largest there."""
-    known = blocks.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
+    known = blocks.join(labels, "node", "left").select(*blocks.columns, F.coalesce("component", "node").alias("c"))
     sizes = known.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n"))
     largest = sizes.groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("top"), F.count(F.lit(1)).alias("parts"))
     return known.join(largest.filter("parts > 1").drop("parts"), "key")
@@ -75,14 +75,16 @@ def cross_pairs(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Of ``open_blocks`` the pairs (a < b) of one block, not yet in one component, that ``near`` leaves.
 
     Nodes outside the largest component meet the rest, so a block with one very large component makes rows in
-    proportion to it. ``nodes``: (node, n, alone, bits).
+    proportion to it. ``nodes``: (node, n, alone, bits). Where blocks have ``left``, the number of the node's elements
+    from the key on in an order that all nodes share, a pair is only made if these suffice.
     """
     full = cut_lineage(rows.join(nodes, "node"))
-    names = ["node", "c", "n", "alone", "bits"]
+    names = ["node", "c", "n", "alone", "bits", *(["left"] if "left" in rows.columns else [])]
     x = full.filter("c != top").select("key", *[F.col(m).alias(f"x_{m}") for m in names])
     y = full.select("key", *[F.col(m).alias(f"y_{m}") for m in names])
     # a pair whose both nodes are outside the largest component would come twice
     once = "x_c != y_c and (x_node < y_node or y_c = top)"
     x = x.join(full.select("key", "top").distinct(), "key")
-    pairs = x.join(y, "key").filter(f"{once} and {near(percent, 'x_', 'y_')}")
+    first = f"{100 + percent} * least(x_left, y_left) >= {percent} * (x_n + y_n)" if "left" in rows.columns else "true"
+    pairs = x.join(y, "key").filter(f"{once} and {first} and {near(percent, 'x_', 'y_')}")
     return pairs.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()

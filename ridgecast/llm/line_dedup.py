@@ -84,7 +84,7 @@ def _packed_bands(docs: DataFrame) -> DataFrame:
                         key = line_key(line.encode("utf-8", "surrogatepass"))
                         if key not in met:
                             new[key] = line
-            if len(met) < 1_000_000:  # a further copy is only further work
+            if len(met) < 200_000:  # a further copy is only further work
                 met.update(new)
             if new:
                 keys = np.array(list(new), np.int64)

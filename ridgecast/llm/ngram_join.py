@@ -117,7 +117,8 @@ def linked(sets: DataFrame) -> DataFrame:
     group = ["n", "prefix"]
     groups = sets.groupBy(*group).agg(F.min("doc").alias("gid"))
     members = cut_lineage(sets.join(groups, group).select("doc", "gid"))
-    heads = cut_lineage(sets.join(members.filter("doc = gid"), "doc").select("gid", F.explode("prefix").alias("key")))
+    heads = sets.join(members.filter("doc = gid"), "doc").select("gid", "n", "alone", F.posexplode("prefix").alias("nth", "key"))
+    heads = cut_lineage(heads.select("gid", "key", (F.col("n") - F.col("alone") - F.col("nth")).alias("left")))
     stars = leader_pairs(heads.select("key", F.col("gid").alias("node"))).union(members.filter("doc != gid").select("gid", "doc"))
     links = cut_lineage(verified(stars, sets))
     labels = components(links)
@@ -126,7 +127,7 @@ def linked(sets: DataFrame) -> DataFrame:
     parts = cut_lineage(members.join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("doc", "gid", component))
     part_of = parts.groupBy("gid", "component").agg(F.min("doc").alias("node"), F.count(F.lit(1)).alias("members"))
     part_of = cut_lineage(part_of)
-    blocks = heads.join(part_of, "gid").select("key", "node")
+    blocks = heads.join(part_of, "gid").select("key", "node", "left")
     tried = cut_lineage(top_pairs(open_blocks(blocks, part_of.select("node", "component"))))
     links = links.union(cut_lineage(verified(tried, sets)))
     labels = cut_lineage(components(links))
