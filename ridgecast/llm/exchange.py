@@ -118,7 +118,7 @@ def shared(packed: DataFrame) -> DataFrame:
 def gathered(packed: DataFrame) -> DataFrame:
     """Rows (owner, tokens, counts, bits) of entries packed by owner, in no order within a row.
 
-    ``bits`` are 512 parities: per bit whether an odd number of tokens with a positive count falls there.
+    ``bits`` are 1024 parities: per bit whether an odd number of tokens with a positive count falls there.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,7 +131,7 @@ def gathered(packed: DataFrame) -> DataFrame:
             bits = np.stack([np.bitwise_xor.reduceat(w, starts) for w in parities(np.where(counts > 0, tokens, -1))], 1)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(owners[starts]), pa.ListArray.from_arrays(offsets, tokens), pa.ListArray.from_arrays(offsets, counts),
-                 pa.ListArray.from_arrays(pa.array(np.arange(len(starts) + 1) * 8, pa.int32()), bits.ravel())],
+                 pa.ListArray.from_arrays(pa.array(np.arange(len(starts) + 1) * 16, pa.int32()), bits.ravel())],
                 names=["owner", "tokens", "counts", "bits"],
             )
 
@@ -139,9 +139,9 @@ def gathered(packed: DataFrame) -> DataFrame:
 
 
 def parities(tokens: np.ndarray) -> Iterator[np.ndarray]:
-    """Eight words for each token from 0 up, with its one bit set in one of them; none for negative tokens."""
+    """Sixteen words for each token from 0 up, with its one bit set in one of them; none for negative tokens."""
     place = mix(tokens.astype(np.uint64))
     bit = np.left_shift(np.uint64(1), place & np.uint64(63)).astype(np.int64)
-    word = np.where(tokens >= 0, (place >> np.uint64(6)) & np.uint64(7), 8)
-    for w in range(8):
+    word = np.where(tokens >= 0, (place >> np.uint64(6)) & np.uint64(15), 16)
+    for w in range(16):
         yield np.where(word == w, bit, 0)

@@ -64,7 +64,7 @@ def near(percent: int, x: str, y: str) -> str:
     A side has ``n`` elements, of which ``alone`` are no other set's, and ``bits``: per bit the parity of how many
     of its other elements fall there. Sets differ in at least as many elements as parities. Null bits bound nothing.
     """
-    odd = " + ".join(f"bit_count({x}bits[{i}] ^ {y}bits[{i}])" for i in range(8))
+    odd = " + ".join(f"bit_count({x}bits[{i}] ^ {y}bits[{i}])" for i in range(16))
     return (
         f"100 * least({x}n, {y}n) >= {percent} * greatest({x}n, {y}n) and coalesce("
         f"({100 + percent}) * ({x}alone + {y}alone + {odd}) <= {100 - percent} * ({x}n + {y}n), true)"
@@ -76,15 +76,17 @@ def cross_pairs(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
     Nodes outside the largest component meet the rest, so a block with one very large component makes rows in
     proportion to it. ``nodes``: (node, n, alone, bits). Where blocks have ``left``, the number of the node's elements
-    from the key on in an order that all nodes share, a pair is only made if these suffice.
+    from the key on in an order that all nodes share, a pair is only made if these suffice; where nodes have ``keys``,
+    all keys of the node, a pair is made at its least common key alone.
     """
     full = cut_lineage(rows.join(nodes, "node"))
-    names = ["node", "c", "n", "alone", "bits", *(["left"] if "left" in rows.columns else [])]
+    names = ["node", "c", "n", "alone", "bits", *({"left", "keys"} & {*rows.columns, *nodes.columns})]
     x = full.filter("c != top").select("key", *[F.col(m).alias(f"x_{m}") for m in names])
     y = full.select("key", *[F.col(m).alias(f"y_{m}") for m in names])
     # a pair whose both nodes are outside the largest component would come twice
     once = "x_c != y_c and (x_node < y_node or y_c = top)"
     x = x.join(full.select("key", "top").distinct(), "key")
     first = f"{100 + percent} * least(x_left, y_left) >= {percent} * (x_n + y_n)" if "left" in rows.columns else "true"
-    pairs = x.join(y, "key").filter(f"{once} and {first} and {near(percent, 'x_', 'y_')}")
+    least = "array_min(array_intersect(x_keys, y_keys)) = key" if "keys" in nodes.columns else "true"
+    pairs = x.join(y, "key").filter(f"{once} and {first} and {near(percent, 'x_', 'y_')} and {least}")
     return pairs.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()

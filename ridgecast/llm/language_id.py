@@ -67,6 +67,8 @@ def _smoothed(codes: np.ndarray, counts: np.ndarray) -> tuple[tuple, tuple]:
 class Models:
     def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> None:
         self.languages = sorted(counts)
+        if not counts:
+            return
         shares: list[list] = [[] for _ in range(ORDER)]
         weights: list[list] = [[] for _ in range(ORDER)]
         for name in self.languages:

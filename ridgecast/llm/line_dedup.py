@@ -113,15 +113,24 @@ def shingles(line: str) -> set[str]:
     return {line[i : i + CHARS] for i in range(max(1, len(line) - CHARS + 1))}
 
 
+def shingle_prints(line: str) -> np.ndarray:
+    """One whole number from 0 up for each distinct shingle."""
+    points = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    n = max(1, len(points) - CHARS + 1)
+    h = np.zeros(n, np.uint64)
+    for j in range(min(CHARS, len(points))):
+        h += points[j : j + n] * _PLACE[j]
+    return np.unique(mix(h) >> np.uint64(1)).astype(np.int64)
+
+
 def described(texts: DataFrame) -> DataFrame:
     """Lines (key, line) with the size ``n`` of their shingle set and its parities, see ``graph.near``."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece, found in chunks(batches, text="line"):
-            sets = [shingles(x) for x in found]
-            prints = np.array([xxhash.xxh3_64_intdigest(s.encode("utf-8", "surrogatepass")) >> 1 for t in sets for s in t], np.int64)
+            sets = [shingle_prints(x) for x in found]
             starts = np.cumsum([0, *map(len, sets)])[:-1]
-            bits = np.stack([np.bitwise_xor.reduceat(w, starts) for w in exchange.parities(prints)], 1)
+            bits = np.stack([np.bitwise_xor.reduceat(w, starts) for w in exchange.parities(np.concatenate(sets))], 1)
             yield with_columns(piece, {"n": [len(s) for s in sets], "alone": [0] * len(sets), "bits": bits.tolist()}, out_schema)
 
     _, schema = tables.appended(texts, "n bigint, alone bigint, bits array<bigint>")
@@ -163,7 +172,8 @@ def line_components(docs: DataFrame) -> DataFrame:
     tried = cut_lineage(top_pairs(open_blocks(blocks, components(links))))
     links = links.union(cut_lineage(verified(tried, texts)))
     labels = cut_lineage(components(links))
-    facts = texts.select(F.col("key").alias("node"), "n", "alone", "bits")
+    keys = blocks.groupBy("node").agg(F.collect_list("key").alias("keys"))  # a band each at most
+    facts = texts.select(F.col("key").alias("node"), "n", "alone", "bits").join(keys, "node")
     more = cut_lineage(verified(cross_pairs(open_blocks(blocks, labels), facts, PERCENT), texts))
     return (components(links.union(more)) if more.take(1) else labels).toDF("key", "component")
 
