@@ -1,12 +1,13 @@
 """WARC (10): a converter from the older ARC format, in both its header versions, to WARC/1.1.
 
-Archives are files below the shared folder, written by Spark's text writer, one archive a file, and read as binary
+Archives are files below the shared folder, written gzipped by Spark's text writer, one archive a file, and read as binary
 files. A record's length is the one its header declares; nothing is searched for in payloads.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import uuid
@@ -16,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ridgecast.llm import tables
 from ridgecast.llm.text import chunks
 from ridgecast.session import cut_lineage, stored_folder
 
@@ -106,14 +108,14 @@ def _stored(archives: DataFrame) -> DataFrame:
     """Writes each row (one archive) as a file of its own; gives the files' (path, content)."""
     spark = archives.sparkSession
     folder = stored_folder(spark)
-    archives.write.option("maxRecordsPerFile", 1).text(folder)
+    archives.write.option("maxRecordsPerFile", 1).option("compression", "gzip").text(folder)
     return spark.read.format("binaryFile").load(folder).select("path", "content")
 
 
 def _binaries(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
     for batch in batches:
         for k in range(batch.num_rows):
-            yield batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
+            yield batch.column(0)[k].as_py(), gzip.decompress(batch.column(1)[k].as_py())
 
 
 def arc_archives(pages: DataFrame) -> DataFrame:
@@ -184,7 +186,7 @@ def deduplicated(records: DataFrame, min_bytes: int = 0) -> DataFrame:
     first = narrow.groupBy("payload_digest").agg(F.min(order).alias("f"))
     later = narrow.join(first, "payload_digest").filter("record_id != f.record_id and not (page_id <=> f.page_id and page_id is not null)")
     later = later.select("record_id", F.col("f.page_id").alias("refers_to"), F.col("f.record_id").alias("refers_record"))
-    return records.join(later, "record_id", "left")
+    return records.join(tables.maybe_broadcast(cut_lineage(later), 160), "record_id", "left")
 
 
 def warc_archives(records: DataFrame) -> DataFrame:
