@@ -19,11 +19,9 @@ from ridgecast.operators import coverage as cov
 from ridgecast.operators import raster as rs
 from ridgecast.operators import sweep as sw
 from ridgecast.operators import terrain as ter
-from ridgecast.operators.pathloss import path_loss
 from ridgecast.session import cut_lineage
 from ridgecast.sources.rasters import wanted_tiles
 
-P915 = params_with(frequency_mhz=915.0, tx_height_m=10.0, rx_height_m=1.5)
 FINE = ("-82.90::DOUBLE", "0.0003::DOUBLE", "35.80::DOUBLE", "-0.0003::DOUBLE")
 REGION = ("-82.90::DOUBLE", "(0.61::DOUBLE / (select w from dims))", "35.805::DOUBLE", "(-0.51::DOUBLE / (select w from dims))")
 W = "(select w from dims)"
@@ -361,29 +359,6 @@ def _graph(spark, sf):
     return sw.connectivity_graph(raised_sites(spark, sf, raster), raster, 15.0)
 
 
-@query("job10_connectivity_graph_itm")
-def _graph_itm(spark, sf):
-    raster = region_raster(spark, sf)
-    return sw.connectivity_graph(raised_sites(spark, sf, raster), raster, 15.0, P915, True)
-
-
-def vector_profiles(spark, sf):
-    return fx.table(spark, sf, "embeddings").select(
-        F.col("vec_id").alias("link_id"), (F.lit(5.0) + F.col("vec_id") % 26).alias("distance_km"),
-        F.transform("embedding", lambda x: (F.lit(300.0) + x * 400.0).cast("double")).alias("elevations"),
-    )
-
-
-@query("job3_path_loss")
-def _loss(spark, sf):
-    return path_loss(vector_profiles(spark, sf), P915)
-
-
-@query("agg16_roughness")
-def _roughness(spark, sf):
-    return path_loss(vector_profiles(spark, sf), P915).select("link_id", F.col("delta_h"))
-
-
 # --- sweeps --------------------------------------------------------------------------
 
 
@@ -399,13 +374,7 @@ FREE_SWEEP = FS_SWEEP.format(sweep=SWEEP.format(n=24, radials=24, sites="sites")
 
 @query("job5_sweep_free_space", f"with {FREE_SWEEP} select site_id, row, col, rssi from swept", ("sites", "dims"))
 def _free_sweep(spark, sf):
-    return sw.coverage_sweep(fx.fixture(spark, sf, "sites"), None, fx.region_grid(spark, sf), params_with(), 5.0, 24, "free_space")
-
-
-@query("job5_sweep_itm")
-def _itm_sweep(spark, sf):
-    raster = region_raster(spark, sf)
-    return sw.coverage_sweep(fx.fixture(spark, sf, "sites"), raster, raster.grid, P915, 3.0, 24, "itm")
+    return sw.coverage_sweep(fx.fixture(spark, sf, "sites"), fx.region_grid(spark, sf), params_with(), 5.0, 24)
 
 
 @query("snk7_transmitter_pixels", f"with {FREE_SWEEP} select site_id, row, col, rssi from own, dims where row >= 0 and row < w and col >= 0 and col < w", ("sites", "dims"))
@@ -435,14 +404,14 @@ SWEEP_GAPS = GAPS.format(swept=FREE_SWEEP, sites="sites", km=5.0, radials=24)
 @query("jn13_radial_probes", f"with {SWEEP_GAPS} select site_id, row, col, lv as left_rssi, rv as right_rssi from pairs_h", ("sites", "dims"))
 def _probes(spark, sf):
     grid, points = fx.region_grid(spark, sf), fx.fixture(spark, sf, "sites")
-    swept = cut_lineage(sw.coverage_sweep(points, None, grid, params_with(), 5.0, 24, "free_space"))
+    swept = cut_lineage(sw.coverage_sweep(points, grid, params_with(), 5.0, 24))
     return sw.radial_probes(points, swept, grid, 5.0, 24).select("site_id", "row", "col", "left_rssi", "right_rssi")
 
 
 @query("job6_gap_fill", f"with {SWEEP_GAPS} select site_id, row, col, {rnd('rssi', 4)} as rssi from filled", ("sites", "dims"))
 def _fill(spark, sf):
     grid, points = fx.region_grid(spark, sf), fx.fixture(spark, sf, "sites")
-    swept = cut_lineage(sw.coverage_sweep(points, None, grid, params_with(), 5.0, 24, "free_space"))
+    swept = cut_lineage(sw.coverage_sweep(points, grid, params_with(), 5.0, 24))
     return sw.fill_gaps(points, swept, grid, 5.0, 24).withColumn("rssi", round_half_up("rssi", 4))
 
 
@@ -464,19 +433,13 @@ CHOSEN_GAPS = GAPS.format(
 @query("job11_candidate_matrix", f"with {CANDIDATES}, {CHOSEN_GAPS} select distinct site_id, (row // 4) * ceil(w / 4.0)::BIGINT + col // 4 as cell_id from filled cross join dims where rssi >= -82", ("sites", "dims"))
 def _candidate_matrix(spark, sf):
     grid = fx.region_grid(spark, sf)
-    return plans.candidate_matrix(sites_as_candidates(spark, sf), dem(spark, sf, "rough"), grid, params_with(), 5.0, -82.0, 24, 50, "free_space")[0]
+    return plans.candidate_matrix(sites_as_candidates(spark, sf), grid, params_with(), 5.0, -82.0, 24, 50)[0]
 
 
-@query("job11_candidate_matrix_itm")
-def _candidate_matrix_itm(spark, sf):
-    grid = fx.region_grid(spark, sf)
-    return plans.candidate_matrix(sites_as_candidates(spark, sf), dem(spark, sf, "rough"), grid, P915, 3.0, -130.0, 24, 50, "itm")[0]
-
-
-def planned(spark, sf, model):
+def planned(spark, sf):
     return plans.mesh_plan(
-        dem(spark, sf, "rough"), fx.fine_grid(spark, sf), P915 if model == "itm" else params_with(), max_km=1.6, threshold=-70.0 if model == "free_space" else -110.0,
-        target=0.8, n_radials=72, model=model, min_prominence=20.0, density=12, min_distance_km=ROUGH_KM, max_peaks=60, top_n=20,
+        dem(spark, sf, "rough"), fx.fine_grid(spark, sf), params_with(), max_km=1.6, threshold=-70.0,
+        target=0.8, n_radials=72, min_prominence=20.0, density=12, min_distance_km=ROUGH_KM, max_peaks=60, top_n=20,
     )
 
 
@@ -509,12 +472,7 @@ SUMMARY = """picks as materialized (select * from p20 where rank > 0), inner_lin
   select count(*) as n_sites, {rnd('max(covered_after) / (select n from ncell)::DOUBLE')} as covered_fraction, {rnd('1 - max(covered_after) / (select n from ncell)::DOUBLE')} as gap_fraction,
     (select count(*) from scouted) as n_candidates, count(*) - (select k from comps) as n_tree_edges, (select k <= 1 from comps) as connected from picks""", ("rough", "dims"))
 def _plan(spark, sf):
-    return planned(spark, sf, "free_space")["summary"].withColumns(r6("covered_fraction", "gap_fraction"))
-
-
-@query("job13_mesh_plan")
-def _plan_itm(spark, sf):
-    return planned(spark, sf, "itm")["summary"].withColumns(r6("covered_fraction", "gap_fraction"))
+    return planned(spark, sf)["summary"].withColumns(r6("covered_fraction", "gap_fraction"))
 
 
 @query("agg15_plan_summary", f"""with recursive {greedy_sql(16, '< ceil(0.8 * 256)', 'gain + 2.5 * {n} * linked', flags=True)},

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,10 +57,13 @@ def with_unique_names(df: DataFrame, name: str, scope: list[str], position: str,
 
     First positions come from a partial aggregate joined back, not from a window
     by name, so a name that fills a third of the table is never sorted in one task.
+    A null name stays null.
     """
     suffix = suffix or position
     first = df.groupBy(*scope, name).agg(F.min(position).alias("_first"))
     renamed = F.when(
         F.col(position) > F.col("_first"), F.concat(F.col(name), F.lit(" ("), F.col(suffix).cast("string"), F.lit(")"))
     ).otherwise(F.col(name))
-    return df.join(first, [*scope, name]).withColumn(name, renamed).drop("_first")
+    same = reduce(and_, [F.col(f"_n.{c}").eqNullSafe(F.col(f"_f.{c}")) for c in [*scope, name]])
+    joined = df.alias("_n").join(first.alias("_f"), same).select("_n.*", "_f._first")
+    return joined.withColumn(name, renamed).drop("_first")

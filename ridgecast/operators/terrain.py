@@ -206,14 +206,14 @@ def hilltops(pixels: DataFrame, grid: Grid, min_prominence: float = 50.0, min_di
     return kept.withColumnRenamed("ord", "site_id")
 
 
-def scout(pixels: DataFrame, grid: Grid, box=None, min_prominence: float = 50.0, max_peaks: int = 200, density: int = 50,
+def scout(pixels: DataFrame, grid: Grid, box=None, min_prominence: float = 50.0, max_peaks: int | None = None, density: int = 50,
           min_distance_km: float = 0.5) -> DataFrame:
-    """Hilltops with ``viewshed_rank``, the best ``max_peaks`` of them (a top-k report)."""
+    """Hilltops with ``viewshed_rank``: all of them, or the best ``max_peaks`` where a caller wants a top-k report."""
     tops = cut_lineage(hilltops(pixels, grid, min_prominence, min_distance_km))
     raster = BlockRaster.of(pixels.withColumn("elev", valid_elevation("elev")), grid).persisted()
     ranks = viewshed_rank(tops, raster, box or grid.bounds, density)
     return top_candidates(tops.join(ranks, "site_id"), max_peaks)
 
 
-def top_candidates(candidates: DataFrame, n: int) -> DataFrame:
-    return candidates.orderBy(F.desc("viewshed_rank"), "site_id").limit(n)
+def top_candidates(candidates: DataFrame, n: int | None) -> DataFrame:
+    return candidates if n is None else candidates.orderBy(F.desc("viewshed_rank"), "site_id").limit(n)

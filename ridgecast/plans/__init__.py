@@ -44,19 +44,16 @@ def coverage_report(signal: DataFrame, grid: Grid, threshold: float, target: flo
 
 
 def candidate_matrix(
-    candidates: DataFrame, pixels: DataFrame, grid: Grid, params: dict = DEFAULT_PARAMS, max_km: float = 30.0,
-    threshold: float = -120.0, n_radials: int = 360, top_n: int = 50, model: str = "itm", block: int = 4,
+    candidates: DataFrame, grid: Grid, params: dict = DEFAULT_PARAMS, max_km: float = 30.0,
+    threshold: float = -120.0, n_radials: int = 360, top_n: int | None = None, block: int = 4,
 ) -> tuple[DataFrame, DataFrame]:
-    """(matrix, skipped) for the ``top_n`` candidates by viewshed rank.
+    """(matrix, skipped) for all candidates, or the ``top_n`` of them by viewshed rank.
 
     Sweep, gap fill, then the site-by-cell matrix. Candidates without any signal row are in
     ``skipped``; when all are, the job fails.
     """
     chosen = cut_lineage(top_candidates(candidates, top_n).select("site_id", "lat", "lon"))
-    raster = None
-    if model != "free_space":
-        raster = BlockRaster.of(pixels.withColumn("elev", valid_elevation("elev")), grid).persisted()
-    swept = cut_lineage(coverage_sweep(chosen, raster, grid, params, max_km, n_radials, model))
+    swept = cut_lineage(coverage_sweep(chosen, grid, params, max_km, n_radials))
     signal = fill_gaps(chosen, swept, grid, max_km, n_radials)
     matrix = cut_lineage(cov.coverage_matrix(signal, grid, threshold, block))
     skipped = chosen.join(swept.select("site_id").distinct(), "site_id", "left_anti")
@@ -67,13 +64,13 @@ def candidate_matrix(
 
 def mesh_plan(
     pixels: DataFrame, grid: Grid, params: dict = DEFAULT_PARAMS, max_km: float = 30.0, threshold: float = -120.0,
-    target: float = 0.8, n_radials: int = 360, model: str = "itm", min_prominence: float = 50.0, density: int = 50,
-    weight: float = 0.3, block: int = 4, min_distance_km: float = 0.5, max_peaks: int = 200, top_n: int = 50,
+    target: float = 0.8, n_radials: int = 360, min_prominence: float = 50.0, density: int = 50,
+    weight: float = 0.3, block: int = 4, min_distance_km: float = 0.5, max_peaks: int | None = None, top_n: int | None = None,
 ) -> dict[str, DataFrame]:
     """Scout, matrix, links, selection, spanning tree, summary; each a DataFrame keyed by site_id."""
     candidates = cut_lineage(scout(pixels, grid, None, min_prominence, max_peaks, density, min_distance_km))
     matrix, skipped = candidate_matrix(
-        candidates, pixels, grid, params, max_km, threshold, n_radials, top_n, model, block
+        candidates, grid, params, max_km, threshold, n_radials, top_n, block
     )
     raster = BlockRaster.of(pixels.withColumn("elev", valid_elevation("elev")), grid).persisted()
     links = cut_lineage(connectivity_graph(candidates, raster, max_km))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ridgecast.functions.text import leading_number, title_from_snake, with_unique_names
+from ridgecast.session import cut_lineage
 
 # Accepted header names per column.
 HEADER_ALIASES = {
@@ -58,8 +59,10 @@ def parse_csv_lines(lines: DataFrame) -> DataFrame:
         at = F.array_min(F.array(*[_position("_h", a) for a in aliases]))
         header = header.withColumn(f"_{column}", at)
     complete = F.col("_name").isNotNull() & F.col("_lat").isNotNull() & F.col("_lon").isNotNull()
+    # one small job of its own, so the same error comes whatever the parsing plan looks like
     fault = F.raise_error(F.concat(F.lit("CSV must have columns: name, lat, lon in "), F.col("file")))
-    header = header.withColumn("_name", F.when(complete, F.col("_name")).otherwise(fault.cast("int"))).drop("_h")
+    header.filter(~complete).limit(1).select(fault.cast("string").alias("fault")).collect()
+    header = header.drop("_h")
     cells = lines.filter("line_no > 0 and value <> ''").join(header, "file").withColumn("_c", F.split("value", ","))
 
     def cell(column: str) -> Column:
@@ -81,7 +84,7 @@ def _position(array: str, name: str) -> Column:
 
 
 def read_sites_csv(spark: SparkSession, path: str) -> DataFrame:
-    return parse_csv_lines(numbered_lines(spark, path))
+    return parse_csv_lines(cut_lineage(numbered_lines(spark, path)))
 
 
 GEOJSON_SCHEMA = (

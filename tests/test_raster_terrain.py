@@ -3,12 +3,9 @@
 import math
 
 import numpy as np
-import pandas as pd
 import pytest
 
 from ridgecast.functions.geo import Grid, range_steps
-from ridgecast.functions.radio import params_with
-from ridgecast.operators import pathloss as pl
 from ridgecast.operators import raster as rs
 from ridgecast.operators import terrain as ter
 from ridgecast.operators.network import suppress_by_distance
@@ -87,57 +84,6 @@ def test_step_counts():
     assert [len(range_steps(k)) for k in (5, 10, 15, 20, 30, 40)] == [24, 50, 75, 100, 150, 199]
 
 
-def profile(fn, n=500):
-    return np.array([[fn(i / n) for i in range(n + 1)]])
-
-
-def gauss(x, m, s):
-    return math.exp(-(((x - m) / s) ** 2) / 2)
-
-
-CURVATURE, HEIGHTS, STEP = np.array([1.38e-6]), (np.array([30.0]), np.array([10.0])), np.array([20.0])
-SHAPES = {
-    "hill": (lambda f: 100 + 50 * gauss(f, 0.5, 0.1), 4860, 4760, 0.000661, 0.00482, 128.403),
-    "hills": (lambda f: 100 + 60 * gauss(f, 0.3, 0.08) + 40 * gauss(f, 0.7, 0.06), 2860, 2880, 0.008179, 0.008154, 143.627),
-    "ridge": (lambda f: 500 if abs(f - 0.6) < 0.05 else 100 + f / 0.6 * 400 if f < 0.6 else 500 - (f - 0.6) / 0.4 * 400, 5500, 3520, 0.06348, 0.10837, 965.82),
-    "flat": (lambda f: 100.0, 10000, 10000, -0.0089, -0.0049, 0.0),
-}
-
-
-@pytest.mark.parametrize("name", SHAPES)
-def test_horizons_and_roughness(name):
-    fn, d0, d1, a0, a1, rough = SHAPES[name]
-    angles, spans = pl.horizons(profile(fn), STEP, HEIGHTS, CURVATURE)
-    assert [s[0] for s in spans] == pytest.approx([d0, d1], abs=1)
-    assert [a[0] for a in angles] == pytest.approx([a0, a1], abs=1e-5)
-    assert pl.roughness(profile(fn), STEP, np.array([0.0]), np.array([1e4]))[0] == pytest.approx(rough, abs=0.01)
-
-
-def test_line_fit_values():
-    z = profile(SHAPES["ridge"][0])
-    assert [v[0] for v in pl.line_fit(z, np.array([0]), np.array([500]))] == pytest.approx([260.7686, 343.3647], abs=1e-3)
-    assert [v[0] for v in pl.line_fit(z, np.array([100]), np.array([400]))] == pytest.approx([257.9287, 504.5158], abs=1e-3)
-
-
-def test_path_loss_over_flat_ground(spark):
-    rows = [(1, 10.0, [0.0] * 100), (2, 1.0, [0.0] * 100), (3, 20.0, [0.0] * 100), (4, 10.0, [200.0 if 40 < i < 60 else 0.0 for i in range(100)]), (5, 0.0, [0.0] * 100)]
-    frame = spark.createDataFrame(rows, "link_id long, distance_km double, elevations array<double>")
-    got = {r["link_id"]: r for r in pl.path_loss(frame, params_with(frequency_mhz=915.0, tx_height_m=10.0)).collect()}
-    assert (got[1]["path_loss_db"], got[1]["free_space_db"], got[1]["excess_db"]) == (138.2, 111.7, 26.5)
-    assert got[2]["path_loss_db"] < got[1]["path_loss_db"] < got[3]["path_loss_db"]
-    assert got[4]["path_loss_db"] >= got[1]["path_loss_db"] and got[5]["path_loss_db"] is None
-
-
-def test_batch_equals_single_links():
-    rng = np.random.default_rng(2)
-    frame = pd.DataFrame({"distance_km": rng.uniform(0.5, 60, 60), "elevations": [rng.normal(300, rng.uniform(0, 150), n) for n in [64, 100, 33] * 20]})
-    p = params_with(frequency_mhz=915.0, tx_height_m=12.0)
-    whole = pl.loss_table(frame, p, (0.5, 0.5, 0.5))
-    alone = pd.concat([pl.loss_table(frame.iloc[[i]], p, (0.5, 0.5, 0.5)) for i in range(60)], ignore_index=True)
-    pd.testing.assert_frame_equal(whole, alone)
-    assert whole["path_loss_db"].notna().all()
-
-
 def haversine(a, b):
     p, q = math.radians(a[0]), math.radians(b[0])
     h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(b[1] - a[1]) / 2) ** 2
