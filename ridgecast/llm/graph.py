@@ -38,10 +38,26 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
+def ranked(blocks: DataFrame) -> DataFrame:
+    """The blocks (key, node, ...) of two nodes or more, with ``rank``: how many rows the node's blocks have together.
+
+    A node that resembles many others meets many, so the highest rank of a block is a good one to try first.
+    """
+    sizes = blocks.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    known = blocks.join(sizes, "key")
+    return known.join(known.groupBy("node").agg(F.sum("m").alias("rank")), "node").drop("m")
+
+
+def _closest(led: DataFrame) -> DataFrame:
+    """Of rows (node, a), one a block, each node with the one other node that it meets most often."""
+    met = led.filter("a != node").groupBy("node", "a").agg(F.count(F.lit(1)).alias("times"))
+    return met.groupBy("node").agg(F.max_by("a", F.struct("times", "a")).alias("a")).select("a", F.col("node").alias("b"))
+
+
 def leader_pairs(blocks: DataFrame) -> DataFrame:
-    """Each node (key, node) with the smallest node that leads one of its blocks: a pair a node at most."""
-    first = blocks.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a != z").select("key", "a")
-    return blocks.join(first, "key").groupBy("node").agg(F.min("a").alias("a")).filter("a != node").select("a", F.col("node").alias("b"))
+    """Each node of ``ranked`` blocks with the node that leads most of its blocks: a pair a node at most."""
+    first = blocks.groupBy("key").agg(F.max_by("node", F.struct("rank", "node")).alias("a"))
+    return _closest(blocks.join(first, "key").select("node", "a"))
 
 
 def open_blocks(blocks: DataFrame, labels: DataFrame) -> DataFrame:
@@ -53,9 +69,9 @@ def open_blocks(blocks: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def top_pairs(rows: DataFrame) -> DataFrame:
-    """Of ``open_blocks`` each node outside the largest component with one node inside it: a pair a node at most."""
+    """Of ``open_blocks`` each node outside the largest component with one node inside it, seldom its leader."""
     inside = rows.filter("c = top").groupBy("key").agg(F.min("node").alias("a"))
-    return rows.filter("c != top").join(inside, "key").groupBy("node").agg(F.min("a").alias("a")).select("a", F.col("node").alias("b"))
+    return _closest(rows.filter("c != top").join(inside, "key").select("node", "a"))
 
 
 def near(percent: int, x: str, y: str) -> str:

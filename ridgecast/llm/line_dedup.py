@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ridgecast.llm import exchange, tables
-from ridgecast.llm.graph import components, cross_pairs, leader_pairs, near, open_blocks, top_pairs
+from ridgecast.llm.graph import components, cross_pairs, leader_pairs, near, open_blocks, ranked, top_pairs
 from ridgecast.llm.text import chunks, mix, with_columns
 from ridgecast.session import cut_lineage
 
@@ -164,7 +164,7 @@ def line_components(docs: DataFrame) -> DataFrame:
     Each line is tried with one leader of its bands, then with the largest component it meets there, then with
     all lines of its bands in other components.
     """
-    blocks = cut_lineage(_unpacked(exchange.shared(_packed_bands(docs))).distinct())
+    blocks = cut_lineage(ranked(_unpacked(exchange.shared(_packed_bands(docs))).distinct()))
     wanted = cut_lineage(blocks.select(F.col("node").alias("key")).distinct())
     found = lines(docs).join(tables.maybe_broadcast(wanted, 16), "key", "left_semi")
     texts = cut_lineage(described(found.groupBy("key").agg(F.first("line").alias("line"))))

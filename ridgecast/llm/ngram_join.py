@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ridgecast.llm import exchange
-from ridgecast.llm.graph import components, cross_pairs, leader_pairs, near, open_blocks, top_pairs
+from ridgecast.llm.graph import components, cross_pairs, leader_pairs, near, open_blocks, ranked, top_pairs
 from ridgecast.llm.text import chunks, mix, shingle_sets
 from ridgecast.session import cut_lineage
 
@@ -119,7 +119,7 @@ def linked(sets: DataFrame) -> DataFrame:
     members = cut_lineage(sets.join(groups, group).select("doc", "gid"))
     heads = sets.join(members.filter("doc = gid"), "doc").select("gid", "n", "alone", F.posexplode("prefix").alias("nth", "key"))
     heads = cut_lineage(heads.select("gid", "key", (F.col("n") - F.col("alone") - F.col("nth")).alias("left")))
-    stars = leader_pairs(heads.select("key", F.col("gid").alias("node"))).union(members.filter("doc != gid").select("gid", "doc"))
+    stars = leader_pairs(ranked(heads.select("key", F.col("gid").alias("node")))).union(members.filter("doc != gid").select("gid", "doc"))
     links = cut_lineage(verified(stars, sets))
     labels = components(links)
     # members of one group and component stand together as a part, named by its first
