@@ -39,7 +39,7 @@ def _cones() -> str:
 
 # name -> (tables and fixtures it reads, SQL)
 SQL: dict[str, tuple[tuple[str, ...], str]] = {
-    "dims": (("orders",), "select cast(floor(sqrt(count(*))) as bigint) as w from {orders}"),
+    "dims": (("orders",), "select cast(ceil(sqrt(count(*))) as bigint) as w from {orders}"),
     "sites": (("supplier",), f"select cast(s_suppkey as bigint) as site_id, s_name as name, {site_point('s_suppkey')} from {{supplier}}"),
     "many_sites": (("customer",), f"select cast(c_custkey as bigint) as site_id, c_name as name, {site_point('c_custkey')} from {{customer}}"),
     "signal": (("lineitem",), f"""
@@ -57,7 +57,7 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
     "matrix": (("signal",), f"select distinct site_id, {idiv('row', 4)} * 16 + {idiv('col', 4)} as cell_id from signal where rssi >= -85"),
     "pixels": (("orders", "dims"), f"""
         select key, {idiv('key', 'w')} as p_row, key % w as p_col, w
-        from (select o_orderkey as key, (select w from dims) as w from {{orders}}) o where {idiv('key', 'w')} < w"""),
+        from (select o_orderkey as key, (select w from dims) as w from {{orders}}) o"""),
     "dem": (("pixels",), f"""
         select cast(p_row as int) as row, cast(p_col as int) as col,
                case when key % 997 = 0 then null else cast(100 + {_cones()} as float) end as elev from pixels"""),
@@ -161,7 +161,7 @@ def _links(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 @lru_cache(maxsize=None)
 def _width(sf: str, orders: int) -> int:
-    return math.isqrt(orders)
+    return math.ceil(math.sqrt(orders))
 
 
 def dem_width(spark: SparkSession, sf: str) -> int:

@@ -372,16 +372,17 @@ def close_links(spark, sf, km=6.0):
 
 
 CLOSE = REACH.replace("links where", "links where distance_km <= 6 and")
+WHOLE = REACH.replace(" where site_id % 5 in (0, 2)", "")
 
 
-@query("itr5_components", f"with recursive {CLOSE} select * from comp", ("sites", "links"))
+@query("itr5_components", f"with recursive {WHOLE} select * from comp", ("sites", "links"))
 def _components(spark, sf):
-    return net.connected_components(member_sites(spark, sf), close_links(spark, sf))
+    return net.connected_components(sites(spark, sf), fx.fixture(spark, sf, "links"))
 
 
-@query("itr5_connected_flag", f"with recursive {CLOSE} select count(distinct component) as n_components, count(distinct component) <= 1 as connected from comp", ("sites", "links"))
+@query("itr5_connected_flag", f"with recursive {WHOLE} select count(distinct component) as n_components, count(distinct component) <= 1 as connected from comp", ("sites", "links"))
 def _connected(spark, sf):
-    return net.is_connected(net.connected_components(member_sites(spark, sf), close_links(spark, sf)))
+    return net.is_connected(net.connected_components(sites(spark, sf), fx.fixture(spark, sf, "links")))
 
 
 NEAR = """near as materialized (select candidate, component, min(distance_km) as d from (
@@ -389,14 +390,19 @@ NEAR = """near as materialized (select candidate, component, min(distance_km) as
   join comp using (site_id) where candidate not in (select site_id from members) group by 1, 2)"""
 
 
-@query("jn14_bridging_candidate", f"""with recursive {CLOSE}, {NEAR}, two as (select min(component) as a, (select min(component) from comp where component > (select min(component) from comp)) as b from comp)
+@query("jn14_bridging_candidate", f"""with recursive {CLOSE}, {NEAR}, two as (select n.component as a, m.component as b from near n join near m on m.candidate = n.candidate and n.component < m.component order by 1, 2 limit 1)
   select candidate, cost from (select n.candidate, n.d + m.d as cost from near n join near m on m.candidate = n.candidate join two on n.component = two.a and m.component = two.b) t
   order by cost, candidate limit 1""", ("sites", "links"))
 def _bridge(spark, sf):
     links = close_links(spark, sf)
     comps = net.cut_lineage(net.connected_components(member_sites(spark, sf), links))
-    a, b = [r[0] for r in comps.select("component").distinct().orderBy("component").limit(2).collect()]
-    return net.bridging_candidate(links, comps, a, b)
+    # the lowest two components that some site outside both hears
+    heard = links.filter("los_clear").select(F.explode(F.array(F.struct(F.col("src").alias("site_id"), F.col("dst").alias("other")),
+                                                              F.struct(F.col("dst").alias("site_id"), F.col("src").alias("other")))).alias("p")).select("p.*")
+    near = heard.join(comps, "site_id").join(comps.select(F.col("site_id").alias("other")), "other", "left_anti").select("other", "component").distinct()
+    both = near.join(near.withColumnRenamed("component", "b"), "other").filter("component < b")
+    pair = both.orderBy("component", "b").select("component", "b").first()
+    return net.bridging_candidate(links, comps, *(pair or (-1, -1)))
 
 
 @query("itr8_bridged_components")
@@ -423,14 +429,14 @@ def _nearest(spark, sf):
     return sp.nearest_by_degrees(points, 31).withColumn("d2", round_half_up("d2", 9))
 
 
-@query("prj9_candidate_scores", f"""with u as (select site_id as poi_id, lat, lon from many_sites where site_id % 50 = 7),
+@query("prj9_candidate_scores", f"""with u as (select site_id as poi_id, lat, lon from many_sites),
   s as (select a.site_id, min(km) as km from (select a.site_id, {haversine('a.lat', 'a.lon', 'u.lat', 'u.lon')} as km from sites a cross join u) a where km <= 4 group by 1)
   select a.site_id, (a.site_id * 37 % 500)::DOUBLE as elev, {rnd('km')} as nearest_poi_km, a.site_id % 3 = 0 as has_infrastructure from sites a left join s using (site_id)""", ("sites", "many_sites"))
 def _scores(spark, sf):
     base = sites(spark, sf).select(
         "site_id", "lat", "lon", (F.col("site_id") * 37 % 500).cast("double").alias("elev"), F.when(F.col("site_id") % 3 == 0, "tower").alias("notes")
     )
-    poi = fx.fixture(spark, sf, "many_sites").filter("site_id % 50 = 7").select(F.col("site_id").alias("poi_id"), "lat", "lon")
+    poi = fx.fixture(spark, sf, "many_sites").select(F.col("site_id").alias("poi_id"), "lat", "lon")
     return sinks.candidate_scores(base, poi, 4.0).select("site_id", "elev", "nearest_poi_km", "has_infrastructure")
 
 

@@ -112,18 +112,22 @@ def _tile_pixels(spark, sf):
     return wanted_tiles(tiles(spark, sf), rs.tile_cover(box, fx.ZOOM))
 
 
-MOSAIC_GRID = Grid.from_bounds(-82.97, 35.42, -82.60, 35.80, 130, 140)
+def mosaic_grid(spark, sf) -> Grid:
+    """33 columns and 35 rows for each tile across the elevation table."""
+    n = math.ceil(fx.dem_width(spark, sf) / 32)
+    return Grid.from_bounds(-82.97, 35.80 - 0.095 * n, -82.97 + 0.0935 * n, 35.80, 33 * n, 35 * n)
 
 
-@query("jn3_tile_mosaic", f"""with {TILES}, g as (select (i // 130)::BIGINT as row, (i % 130)::BIGINT as col, -82.97::DOUBLE + (i % 130) * ((-82.60::DOUBLE - -82.97::DOUBLE) / 130) as lon,
-    35.80::DOUBLE + (i // 130) * ((35.42::DOUBLE - 35.80::DOUBLE) / 140) as lat from range(130 * 140) t(i)),
+@query("jn3_tile_mosaic", f"""with {TILES}, across as (select ((w + 31) // 32)::BIGINT as n from dims),
+  g as (select i // (33 * n) as row, i % (33 * n) as col, -82.97::DOUBLE + (i % (33 * n)) * (((-82.97::DOUBLE + 0.0935::DOUBLE * n) - -82.97::DOUBLE) / (33 * n)) as lon,
+    35.80::DOUBLE + (i // (33 * n)) * (((35.80::DOUBLE - 0.095::DOUBLE * n) - 35.80::DOUBLE) / (35 * n)) as lat from across cross join lateral (select unnest(range(33 * n * 35 * n)) as i) t),
   m as (select *, lon * 20037508.34::DOUBLE / 180 as mx, ln(tan(pi() / 4 + lat * pi() / 360)) * 20037508.34::DOUBLE / pi() as my from g),
   t as (select *, floor((mx + 20037508.34) / 40075016.68::DOUBLE * 4096) as x, floor((20037508.34 - my) / 40075016.68::DOUBLE * 4096) as y from m),
   p as (select *, floor((mx + 20037508.34 - x / 4096 * 40075016.68) / (40075016.68::DOUBLE / 4096 / 32)) as tile_col, floor((20037508.34 - y / 4096 * 40075016.68 - my) / (40075016.68::DOUBLE / 4096 / 32)) as tile_row from t)
-  select p.row, p.col, elev::DOUBLE as elev from p left join tiles using (x, y, tile_row, tile_col)""", ("rough",))
+  select p.row, p.col, elev::DOUBLE as elev from p left join tiles using (x, y, tile_row, tile_col)""", ("rough", "dims"))
 def _mosaic(spark, sf):
     clean = wanted_tiles(tiles(spark, sf))
-    return rs.mosaic_tiles(clean, MOSAIC_GRID, fx.ZOOM, 32)
+    return rs.mosaic_tiles(clean, mosaic_grid(spark, sf), fx.ZOOM, 32)
 
 
 # --- sampling --------------------------------------------------------------------
@@ -163,7 +167,7 @@ def _resample(spark, sf):
 
 @query("jn4_resample_page", f"""with g as (select (i // 120)::BIGINT as row, (i % 120)::BIGINT as col, -83::DOUBLE + ((i % 120) + 0.5) * (1::DOUBLE / 120) as lon, 35::DOUBLE + ((i // 120) + 0.5) * (1::DOUBLE / 120) as lat from range(120 * 120) t(i)),
   p as (select row, col, greatest(0, least((lon - -82.90::DOUBLE) / (0.61::DOUBLE / w), w - 1)) as pc, greatest(0, least((lat - 35.805::DOUBLE) / (-0.51::DOUBLE / w), w - 1)) as pr from g cross join dims),
-  filled as materialized (select row, col, coalesce(elev, 0) as elev from rough)
+  filled as materialized (select a.row, a.col, coalesce(elev, 0) as elev from (select i // w as row, i % w as col from dims cross join lateral (select unnest(range(w * w)) as i) t) a left join rough using (row, col))
   select row as page_row, 119 - col as page_col, floor(greatest(-500, least(9000, z)) + 0.5)::BIGINT as elev from {bilinear_sql('p', 'filled', 'z', expanded=True)} t""", ("rough", "dims"))
 def _page(spark, sf):
     return rs.resample_page(dem(spark, sf, "rough"), fx.region_grid(spark, sf), 36, -83, 120)

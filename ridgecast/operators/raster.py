@@ -276,7 +276,8 @@ def resample_page(raster: DataFrame, grid: Grid, page_north: int, page_west: int
             "_sr": F.greatest(F.lit(0.0), F.least(sr, F.lit(float(grid.height - 1)))),
         }
     )
-    filled = raster.withColumn(value, F.coalesce(valid_elevation(value, -10000.0), F.lit(0.0)))
+    pixels = pixel_frame(spark, grid).select("row", "col").join(raster, ["row", "col"], "left")  # absent is nodata too
+    filled = pixels.withColumn(value, F.coalesce(valid_elevation(value, -10000.0), F.lit(0.0)))
     sampled = BlockRaster.of(filled, grid, value).bilinear(frame, "_sr", "_sc", value, "expanded")
     clipped = F.greatest(F.lit(-500.0), F.least(F.lit(9000.0), F.coalesce(F.col(value), F.lit(0.0))))
     return sampled.select(
