@@ -122,3 +122,20 @@ def test_suppression_equals_sequential_walk(spark):
             kept.append((o, lat, lon))
     frame = spark.createDataFrame(pts, "site_id long, ord long, lat double, lon double")
     assert {r["ord"] for r in suppress_by_distance(frame, 2.0).collect()} == {k[0] for k in kept}
+
+
+def test_elevation_fixture_has_all_orders(spark):
+    from catalog import fixtures as fx
+
+    sf = "/root/testdata/sf0.001"
+    assert fx.fixture(spark, sf, "rough").count() == spark.read.parquet(f"{sf}/orders.parquet").count()
+    width = fx.dem_width(spark, sf)
+    assert fx.fixture(spark, sf, "rough").filter(f"row >= {width} or col >= {width}").isEmpty()
+
+
+def test_page_counts_absent_pixels_as_zero(spark):
+    grid = Grid(0.1, -83.0, -0.1, 36.0, 10, 10)
+    one = spark.createDataFrame([(0, 0, 100.0)], "row int, col int, elev float")
+    page = rs.resample_page(one, grid, 36, -83, 20).collect()
+    assert len(page) == 400 and all(r["elev"] is not None for r in page)
+    assert max(r["elev"] for r in page) > 0 and sum(r["elev"] == 0 for r in page) > 390
