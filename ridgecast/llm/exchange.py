@@ -89,17 +89,15 @@ def _buckets(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[tuple[int
                np.frombuffer(b"".join(counts), np.int32))
 
 
-def entries_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """The (bucket, owners, tokens, counts) of entries packed by owner, a packed row or more at a time."""
-    return _buckets(batches, "<i8")
-
-
 def met(packed: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     return packed.repartition(tables.partitions(packed.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(work, schema)
 
 
-def shared(packed: DataFrame) -> DataFrame:
-    """Entries whose fingerprint has two or more owners, packed again by owner, with its number of entries."""
+def shared(packed: DataFrame, repeats: bool = False) -> DataFrame:
+    """Entries whose fingerprint has two or more owners, packed again by owner, with its number of entries.
+
+    ``repeats``: tasks may have sent the same entry, which counts once.
+    """
     n = buckets(packed)
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -110,7 +108,14 @@ def shared(packed: DataFrame) -> DataFrame:
             sizes = np.diff(np.append(starts, len(prints)))
             several = np.minimum.reduceat(owners, starts) != np.maximum.reduceat(owners, starts)
             keep = np.repeat(several, sizes)
-            yield owners[keep], (np.int64(bucket) << np.int64(32)) + prints[keep].astype(np.int64), np.repeat(sizes[several], sizes[several])
+            prints, owners, sizes = prints[keep], owners[keep], sizes[several]
+            if repeats:
+                order = np.lexsort((owners, prints))
+                prints, owners = prints[order], owners[order]
+                new = np.append(True, (prints[1:] != prints[:-1]) | (owners[1:] != owners[:-1]))[: len(prints)]
+                prints, owners = prints[new], owners[new]
+                sizes = np.unique(prints, return_counts=True)[1]
+            yield owners, (np.int64(bucket) << np.int64(32)) + prints.astype(np.int64), np.repeat(sizes, sizes)
 
     return met(packed, lambda batches: by_owner(entries(batches), n), PACKED)
 
@@ -138,6 +143,21 @@ def gathered(packed: DataFrame) -> DataFrame:
     return met(packed, work, "owner bigint, tokens array<bigint>, counts array<int>, bits array<bigint>")
 
 
+def ranked_nodes(packed: DataFrame) -> DataFrame:
+    """Rows (node, rank, keys) of distinct entries packed by owner; ``rank`` is the sum of its counts, see ``graph.ranked``."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, owners, tokens, counts in _buckets(batches, "<i8"):
+            order = np.argsort(owners, kind="stable")
+            owners, tokens = owners[order], tokens[order]
+            starts = np.flatnonzero(np.append(True, owners[1:] != owners[:-1]))
+            keys = pa.ListArray.from_arrays(pa.array(np.append(starts, len(owners)), pa.int32()), tokens)
+            rank = np.add.reduceat(counts[order].astype(np.int64), starts)
+            yield pa.RecordBatch.from_arrays([pa.array(owners[starts]), pa.array(rank), keys], names=["node", "rank", "keys"])
+
+    return met(packed, work, "node bigint, rank bigint, keys array<bigint>")
+
+
 def parities(tokens: np.ndarray) -> Iterator[np.ndarray]:
     """Sixteen words for each token from 0 up, with its one bit set in one of them; none for negative tokens."""
     place = mix(tokens.astype(np.uint64))

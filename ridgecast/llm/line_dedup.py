@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ridgecast.llm import exchange, tables
-from ridgecast.llm.graph import components, cross_pairs, leader_pairs, near, open_blocks, ranked, top_pairs
+from ridgecast.llm.graph import components, cross_pairs, leader_pairs, near, open_blocks, top_pairs
 from ridgecast.llm.text import chunks, mix, with_columns
 from ridgecast.session import cut_lineage
 
@@ -38,8 +38,8 @@ def line_key(line: bytes) -> int:
     return xxhash.xxh64_intdigest(line, 42) - (1 << 64) * (xxhash.xxh64_intdigest(line, 42) >> 63)
 
 
-def band_prints(lines: list[str], k: int = CHARS) -> np.ndarray:
-    """One 64-bit print per line and band; lines shorter than a shingle are one shingle."""
+def shingle_hashes(lines: list[str], k: int = CHARS) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all shingles of all lines, and where each line starts; a shorter line is one shingle."""
     raw = [x.encode("utf-32-le", "surrogatepass") for x in lines]
     lengths = np.array([len(r) // 4 for r in raw], np.int64)
     padded = np.maximum(lengths, k)
@@ -52,13 +52,16 @@ def band_prints(lines: list[str], k: int = CHARS) -> np.ndarray:
     h = points[: len(points) - k + 1] * _PLACE[0]
     for j in range(1, k):
         h += points[j : len(points) - k + 1 + j] * _PLACE[j]
-    counts = padded - k + 1
-    starts = np.append(0, np.cumsum(counts)[:-1])
     inside = np.ones(len(h), bool)
     for j in range(1, k):
-        at = edges[1:-1] - j
-        inside[at] = False
-    h = (mix(h[inside]) >> np.uint64(32)).astype(np.uint32)
+        inside[edges[1:-1] - j] = False
+    return mix(h[inside]), np.append(0, np.cumsum(padded - k + 1)[:-1])
+
+
+def band_prints(lines: list[str], k: int = CHARS) -> np.ndarray:
+    """One 64-bit print per line and band."""
+    h, starts = shingle_hashes(lines, k)
+    h = (h >> np.uint64(32)).astype(np.uint32)
     out = np.empty((len(lines), BANDS), np.uint64)
     scratch = np.empty_like(h)
     for band in range(BANDS):
@@ -93,16 +96,6 @@ def _packed_bands(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(lambda batches: exchange.by_print(entries(batches), n), exchange.PACKED)
 
 
-def _unpacked(packed: DataFrame) -> DataFrame:
-    """Rows (key, node): bands that several lines share, and the lines."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, owners, tokens, _ in exchange.entries_of(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(owners)], names=["key", "node"])
-
-    return packed.mapInArrow(work, "key bigint, node bigint")
-
-
 def lines(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, line, key) of every line with a word; rows without an id have no lines."""
     split = docs.filter("doc_id is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
@@ -113,14 +106,15 @@ def shingles(line: str) -> set[str]:
     return {line[i : i + CHARS] for i in range(max(1, len(line) - CHARS + 1))}
 
 
-def shingle_prints(line: str) -> np.ndarray:
-    """One whole number from 0 up for each distinct shingle."""
-    points = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    n = max(1, len(points) - CHARS + 1)
-    h = np.zeros(n, np.uint64)
-    for j in range(min(CHARS, len(points))):
-        h += points[j : j + n] * _PLACE[j]
-    return np.unique(mix(h) >> np.uint64(1)).astype(np.int64)
+def shingle_prints(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """A whole number from 0 up for each distinct shingle of each line, and where each line starts."""
+    h, starts = shingle_hashes(lines)
+    h >>= np.uint64(1)
+    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(h)]):
+        h[a:b].sort()
+    new = np.append(True, h[1:] != h[:-1])
+    new[starts] = True
+    return h[new].astype(np.int64), (np.cumsum(new) - 1)[starts]
 
 
 def described(texts: DataFrame) -> DataFrame:
@@ -128,10 +122,11 @@ def described(texts: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece, found in chunks(batches, text="line"):
-            sets = [shingle_prints(x) for x in found]
-            starts = np.cumsum([0, *map(len, sets)])[:-1]
-            bits = np.stack([np.bitwise_xor.reduceat(w, starts) for w in exchange.parities(np.concatenate(sets))], 1)
-            yield with_columns(piece, {"n": [len(s) for s in sets], "alone": [0] * len(sets), "bits": bits.tolist()}, out_schema)
+            prints, starts = shingle_prints(found)
+            n = np.diff(np.append(starts, len(prints)))
+            bits = np.stack([np.bitwise_xor.reduceat(w, starts) for w in exchange.parities(prints)], 1)
+            bits = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * 16, pa.int32()), bits.ravel())
+            yield with_columns(piece, {"n": n, "alone": np.zeros(len(found), np.int64), "bits": bits}, out_schema)
 
     _, schema = tables.appended(texts, "n bigint, alone bigint, bits array<bigint>")
     out_schema = tables.arrow(schema)
@@ -152,8 +147,11 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     facts = ["n", "alone", "bits"]
     x, y = (texts.select(F.col("key").alias(m), *[F.col(c).alias(f"{m}_{c}") for c in facts]) for m in "ab")
-    near_pairs = pairs.join(x, "a").join(y, "b").filter(near(PERCENT, "a_", "b_")).select("a", "b")
-    lines_of = (texts.select(F.col("key").alias(m), F.col("line").alias(f"line_{m}")) for m in "ab")
+    near_pairs = cut_lineage(pairs.join(x, "a").join(y, "b").filter(near(PERCENT, "a_", "b_")).select("a", "b"))
+    # few pairs are left, so few lines have to move
+    ends = near_pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    some = texts.select("key", "line").join(tables.maybe_broadcast(ends, 16), "key", "left_semi")
+    lines_of = (some.select(F.col("key").alias(m), F.col("line").alias(f"line_{m}")) for m in "ab")
     rows = near_pairs.join(next(lines_of), "a").join(next(lines_of), "b")
     return rows.select("a", "b", "line_a", "line_b").mapInArrow(work, "a bigint, b bigint")
 
@@ -164,18 +162,16 @@ def line_components(docs: DataFrame) -> DataFrame:
     Each line is tried with one leader of its bands, then with the largest component it meets there, then with
     all lines of its bands in other components.
     """
-    blocks = cut_lineage(ranked(_unpacked(exchange.shared(_packed_bands(docs))).distinct()))
-    wanted = cut_lineage(blocks.select(F.col("node").alias("key")).distinct())
-    found = lines(docs).join(tables.maybe_broadcast(wanted, 16), "key", "left_semi")
+    nodes = cut_lineage(exchange.ranked_nodes(exchange.shared(_packed_bands(docs), repeats=True)))
+    blocks = nodes.select(F.explode("keys").alias("key"), "node", "rank")
+    found = lines(docs).join(tables.maybe_broadcast(nodes.select(F.col("node").alias("key")), 16), "key", "left_semi")
     texts = cut_lineage(described(found.groupBy("key").agg(F.first("line").alias("line"))))
-    links = cut_lineage(verified(leader_pairs(blocks), texts))
-    tried = cut_lineage(top_pairs(open_blocks(blocks, components(links))))
-    links = links.union(cut_lineage(verified(tried, texts)))
-    labels = cut_lineage(components(links))
-    keys = blocks.groupBy("node").agg(F.collect_list("key").alias("keys"))  # a band each at most
-    facts = texts.select(F.col("key").alias("node"), "n", "alone", "bits").join(keys, "node")
+    labels = cut_lineage(components(cut_lineage(verified(leader_pairs(blocks), texts))))
+    tried = cut_lineage(top_pairs(open_blocks(blocks, labels)))
+    labels = cut_lineage(components(labels.toDF("a", "b").union(cut_lineage(verified(tried, texts)))))
+    facts = texts.select(F.col("key").alias("node"), "n", "alone", "bits").join(nodes.select("node", "keys"), "node")
     more = cut_lineage(verified(cross_pairs(open_blocks(blocks, labels), facts, PERCENT), texts))
-    return (components(links.union(more)) if more.take(1) else labels).toDF("key", "component")
+    return (components(labels.toDF("a", "b").union(more)) if more.take(1) else labels).toDF("key", "component")
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:

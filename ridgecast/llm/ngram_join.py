@@ -120,8 +120,7 @@ def linked(sets: DataFrame) -> DataFrame:
     heads = sets.join(members.filter("doc = gid"), "doc").select("gid", "n", "alone", F.posexplode("prefix").alias("nth", "key"))
     heads = cut_lineage(heads.select("gid", "key", (F.col("n") - F.col("alone") - F.col("nth")).alias("left")))
     stars = leader_pairs(ranked(heads.select("key", F.col("gid").alias("node")))).union(members.filter("doc != gid").select("gid", "doc"))
-    links = cut_lineage(verified(stars, sets))
-    labels = components(links)
+    labels = cut_lineage(components(cut_lineage(verified(stars, sets))))
     # members of one group and component stand together as a part, named by its first
     component = F.coalesce("component", "doc").alias("component")
     parts = cut_lineage(members.join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("doc", "gid", component))
@@ -129,8 +128,7 @@ def linked(sets: DataFrame) -> DataFrame:
     part_of = cut_lineage(part_of)
     blocks = heads.join(part_of, "gid").select("key", "node", "left")
     tried = cut_lineage(top_pairs(open_blocks(blocks, part_of.select("node", "component"))))
-    links = links.union(cut_lineage(verified(tried, sets)))
-    labels = cut_lineage(components(links))
+    labels = cut_lineage(components(labels.toDF("a", "b").union(cut_lineage(verified(tried, sets)))))
     # group pairs are filtered by size, those of one member each also by their parities; then members meet
     facts = sets.select(F.col("doc").alias("node"), "n", "alone", "bits").join(part_of.select("node", "members"), "node")
     facts = facts.select("node", "n", "alone", F.when(F.col("members") == 1, F.col("bits")).alias("bits"))
@@ -139,7 +137,7 @@ def linked(sets: DataFrame) -> DataFrame:
     expanded = pairs.join(inside.toDF("a", "x"), "a").join(inside.toDF("b", "y"), "b")
     expanded = expanded.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     more = cut_lineage(verified(expanded, sets))
-    return components(links.union(more)) if more.take(1) else labels
+    return components(labels.toDF("a", "b").union(more)) if more.take(1) else labels
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS) -> DataFrame:
