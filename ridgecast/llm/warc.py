@@ -115,7 +115,9 @@ def _stored(archives: DataFrame) -> DataFrame:
 def _binaries(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
     for batch in batches:
         for k in range(batch.num_rows):
-            yield batch.column(0)[k].as_py(), gzip.decompress(batch.column(1)[k].as_py())
+            content = gzip.decompress(batch.column(1)[k].as_py())
+            if content:  # a first partition without rows is stored as an empty file
+                yield batch.column(0)[k].as_py(), content
 
 
 def arc_archives(pages: DataFrame) -> DataFrame:

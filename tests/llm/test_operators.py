@@ -143,6 +143,7 @@ def test_archives(spark):
     assert sorted(got, key=str) == sorted([(1, 20, "response", None), (3, 20, "revisit", 1), (2, 0, "response", None), (5, 0, "revisit", 2),
                                            (5, 0, "revisit", 2), (None, 2, "response", None)], key=str)
     assert warc.read_pages(warc.convert(warc.arc_archives(pages.filter("page_id is null")))).count() == 1
+    assert warc.read_pages(warc.convert(warc.arc_archives(pages.filter("false")))).count() == 0
 
 
 def test_pipeline(spark, tmp_path):
