@@ -1,7 +1,8 @@
 """WARC (10): a converter from the older ARC format, in both its header versions, to WARC/1.1.
 
-Archives are files below the shared folder, written gzipped by Spark's text writer, one archive a file, and read as binary
-files. A record's length is the one its header declares; nothing is searched for in payloads.
+Archives are bytes from end to end: files below the shared folder, one archive a file, written gzipped by Spark's text
+writer from strings that are never decoded, and read as binary files, gzipped or plain. A record's length is the one its
+header declares; nothing is searched for in payloads.
 """
 
 from __future__ import annotations
@@ -31,7 +32,12 @@ FIELDS = {
 DATE = "20260101000000"
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
+GZIP = b"\x1f\x8b"
+
 _blank = re.compile(r"[\s%]")
+_wild = re.compile("[\udc80-\udcff]")
+_head = re.compile(rb"\r?\n\r?\n")
+_date = re.compile(r"\d{8,17}")
 
 
 def digest(data: bytes) -> str:
@@ -49,9 +55,15 @@ def response(payload: bytes, page_id: int | None, mime: str = "text/html; charse
 
 
 def http_parts(block: bytes) -> tuple[dict[str, str], bytes, bytes]:
-    """Header fields by lower-case name, header bytes, payload of an HTTP response."""
-    end = block.index(b"\r\n\r\n") + 4
-    lines = block[:end].decode("latin-1").split("\r\n")[1:]
+    """Header fields by lower-case name, header bytes, payload of an HTTP response; lines may end without CR.
+
+    A block that is no HTTP response has no header and is all payload; one without a blank line is all header.
+    """
+    if not block.startswith(b"HTTP/"):
+        return {}, b"", block
+    blank = _head.search(block)
+    end = blank.end() if blank else len(block)
+    lines = block[:end].decode("latin-1").split("\n")[1:]
     return {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines) if k}, block[:end], block[end:]
 
 
@@ -70,20 +82,33 @@ def arc_record(version: str, name: str, offset: int, url: str, block: bytes) ->
     return f"{' '.join(values)} {len(block)}\n".encode() + block + b"\n"
 
 
+def _line(raw: bytes) -> str:
+    """A header line; bytes that are not UTF-8 are percent-encoded."""
+    return _wild.sub(lambda m: f"%{ord(m[0]) - 0xDC00:02X}", raw.decode("utf-8", "surrogateescape")).rstrip("\r")
+
+
+def _values(line: str, n: int) -> list[str]:
+    """The ``n`` values of a header line, whose date tells where a URL or a content type with spaces ends."""
+    parts = line.split(" ")
+    when = next((k for k in range(2, len(parts)) if _date.fullmatch(parts[k])), None)
+    if when is None:
+        raise ValueError(f"no date in the ARC header {line!r}")
+    return [" ".join(parts[: when - 1]), parts[when - 1], parts[when], *" ".join(parts[when + 1 :]).rsplit(" ", n - 4)]
+
+
 def read_arc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(header fields, block) of each record behind the version block, whose lines say what fields a header has."""
     end = data.index(b"\n")
     about = data[end + 1 : end + 1 + int(data[:end].rsplit(b" ", 1)[1])]
-    version, _, names = about.decode("utf-8").partition("\n")
-    fields = names.split("\n")[0].split() or list(FIELDS[version.split()[0]])
+    version, _, names = about.partition(b"\n")
+    fields = _line(names.split(b"\n")[0]).split() or list(FIELDS[version.split()[0].decode()])
     at = end + 1 + len(about)
     while at < len(data):
         if data[at : at + 1] in (b"\n", b"\r"):
             at += 1
             continue
         end = data.index(b"\n", at)
-        values = data[at:end].decode("utf-8").rsplit(" ", len(fields) - 1)
-        header = dict(zip(fields, values, strict=True))
+        header = dict(zip(fields, _values(_line(data[at:end]), len(fields)), strict=True))
         length = int(header["Archive-length"])
         yield header, data[end + 1 : end + 1 + length]
         at = end + 1 + length
@@ -104,18 +129,22 @@ def read_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = end + length + 4
 
 
-def _stored(archives: DataFrame) -> DataFrame:
-    """Writes each row (one archive) as a file of its own; gives the files' (path, content)."""
+def _stored(archives: DataFrame, end: str) -> DataFrame:
+    """Writes each row (one archive, binary, without its last ``end``) as a file of its own; gives the files' (path, content)."""
     spark = archives.sparkSession
     folder = stored_folder(spark)
-    archives.write.option("maxRecordsPerFile", 1).option("compression", "gzip").text(folder)
+    # the cast keeps the bytes as they are, and the writer puts them out as they are, followed by the line separator
+    raw = archives.select(F.col("value").cast("string").alias("value"))
+    raw.write.option("maxRecordsPerFile", 1).option("compression", "gzip").option("lineSep", end).text(folder)
     return spark.read.format("binaryFile").load(folder).select("path", "content")
 
 
 def _binaries(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
     for batch in batches:
         for k in range(batch.num_rows):
-            content = gzip.decompress(batch.column(1)[k].as_py())
+            content = batch.column(1)[k].as_py()
+            if content.startswith(GZIP):
+                content = gzip.decompress(content)
             if content:  # a first partition without rows is stored as an empty file
                 yield batch.column(0)[k].as_py(), content
 
@@ -129,7 +158,7 @@ def arc_archives(pages: DataFrame) -> DataFrame:
         version = name = ""
 
         def archive() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([b"".join(held).decode("utf-8")])], names=["value"])
+            return pa.RecordBatch.from_arrays([pa.array([b"".join(held)[:-1]], pa.binary())], names=["value"])
 
         for piece, texts in chunks(batches, text="html"):
             for page_id, url, html in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), texts, strict=True):
@@ -147,32 +176,47 @@ def arc_archives(pages: DataFrame) -> DataFrame:
             yield archive()
 
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), "html")
-    return _stored(rows.mapInArrow(work, "value string"))
+    return _stored(rows.mapInArrow(work, "value binary"), "\n")
 
 
-RECORD = "record_id string, page_id bigint, uri string, date string, payload_bytes bigint, payload_digest string, block binary"
+RECORD = ("record_id string, page_id bigint, uri string, date string, ip string, kind string, content_type string, "
+          "payload_bytes bigint, payload_digest string, block binary")
+RECORD_TYPES = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary())
+RECORD_NAMES = [x.split()[0] for x in RECORD.split(", ")]
 
 
 def converted(archives: DataFrame) -> DataFrame:
-    """ARC files (path, content) as rows of what a WARC record needs.
+    """ARC files (path, content), gzipped or plain, as rows of what a WARC record needs.
 
     The record id is named by file, place, date and digest, so a task that runs again gives the same one; the
-    14-digit date becomes an ISO time; digests are bare base32 SHA-1 of the HTTP payload.
+    14-digit date becomes an ISO time; digests are bare base32 SHA-1 of the payload. A block that is an HTTP response
+    makes a response, any other (DNS, FTP, headerless pages) a resource with the content type of its ARC header. The
+    IP address is kept, unless it is the 0.0.0.0 that stands for none.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def table(rows: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*rows)) or [()] * len(RECORD_TYPES)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, RECORD_TYPES, strict=True)], names=RECORD_NAMES)
+
         for path, content in _binaries(batches):
-            rows = []
+            rows, size = [], 0
             for k, (header, block) in enumerate(read_arc(content)):
-                fields, _, payload = http_parts(block)
-                d = header["Archive-date"].ljust(14, "0")
-                name = f"{path}#{k} {header['URL']} {d} {digest(payload)}"
-                rows.append((f"urn:uuid:{uuid.uuid5(NAMESPACE, name)}", int(fields["x-page-id"]) if "x-page-id" in fields else None, header["URL"],
-                             f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z", len(payload), digest(payload), block))
-            kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
-            columns = list(zip(*rows)) or [()] * len(kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)],
-                                             names=["record_id", "page_id", "uri", "date", "payload_bytes", "payload_digest", "block"])
+                fields, head, payload = http_parts(block)
+                page = fields.get("x-page-id", "")
+                d = header["Archive-date"]
+                d += "00000101000000"[len(d) :]
+                sha = digest(payload)
+                name = f"{path}#{k} {header['URL']} {d} {sha}"
+                ip, mime = header["IP-address"], header["Content-type"]
+                rows.append((f"urn:uuid:{uuid.uuid5(NAMESPACE, name)}", int(page) if page.isdecimal() else None, header["URL"].replace(" ", "%20"),
+                             f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z", None if ip in ("", "-", "0.0.0.0") else ip,
+                             "response" if head else "resource", mime if "/" in mime else None, len(payload), sha, block))
+                size += len(block)
+                if size >= ARCHIVE:
+                    yield table(rows)
+                    rows, size = [], 0
+            yield table(rows)
 
     return archives.mapInArrow(work, RECORD)
 
@@ -192,7 +236,10 @@ def deduplicated(records: DataFrame, min_bytes: int = 0) -> DataFrame:
 
 
 def warc_archives(records: DataFrame) -> DataFrame:
-    """Records of ``deduplicated`` as WARC files, each behind a warcinfo record. Revisits keep the HTTP header only."""
+    """Records of ``deduplicated`` as WARC files, each behind a warcinfo record. Revisits keep the HTTP header only.
+
+    The length of a revisit's payload is told in a field of its own, as old HTTP headers often lack it.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[bytes] = []
@@ -201,15 +248,20 @@ def warc_archives(records: DataFrame) -> DataFrame:
         def archive() -> pa.RecordBatch:
             info = [("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(NAMESPACE, held[0].hex())}>"),
                     ("WARC-Date", f"{DATE[:4]}-01-01T00:00:00Z"), ("Content-Type", "application/warc-fields")]
-            return pa.RecordBatch.from_arrays([pa.array([(warc_record(info, b"format: WARC File Format 1.1\r\n") + b"".join(held)).decode("utf-8")])], names=["value"])
+            whole = warc_record(info, b"format: WARC File Format 1.1\r\n") + b"".join(held)
+            return pa.RecordBatch.from_arrays([pa.array([whole[:-4]], pa.binary())], names=["value"])
 
         for batch in batches:
-            for name, uri, date, sha, refers, target, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                fields = [("WARC-Type", "response" if target is None else "revisit"), ("WARC-Record-ID", f"<{name}>"), ("WARC-Date", date), ("WARC-Target-URI", uri),
-                          ("WARC-Payload-Digest", f"sha1:{sha}"), ("Content-Type", "application/http; msgtype=response")]
+            for name, uri, date, ip, kind, mime, length, sha, refers, target, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                fields = [("WARC-Type", kind if target is None else "revisit"), ("WARC-Record-ID", f"<{name}>"), ("WARC-Date", date), ("WARC-Target-URI", uri),
+                          ("WARC-Payload-Digest", f"sha1:{sha}")]
+                mime = "application/http; msgtype=response" if kind == "response" else mime
+                fields += [] if mime is None else [("Content-Type", mime)]
+                fields += [] if ip is None else [("WARC-IP-Address", ip)]
                 if target is not None:
                     block = http_parts(block)[1]
                     fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<{target}>")]
+                    fields += [("X-Payload-Length", str(length))]
                     fields += [] if refers is None else [("X-Refers-To-Page", str(refers))]
                 fields.append(("WARC-Block-Digest", f"sha1:{digest(block)}"))
                 held.append(warc_record(fields, block))
@@ -220,14 +272,14 @@ def warc_archives(records: DataFrame) -> DataFrame:
         if held:
             yield archive()
 
-    columns = ("record_id", "uri", "date", "payload_digest", "refers_to", "refers_record", "block")
-    return _stored(records.select(*columns).mapInArrow(work, "value string"))
+    columns = ("record_id", "uri", "date", "ip", "kind", "content_type", "payload_bytes", "payload_digest", "refers_to", "refers_record", "block")
+    return _stored(records.select(*columns).mapInArrow(work, "value binary"), "\r\n\r\n")
 
 
 def read_pages(archives: DataFrame) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) of each record of WARC files.
 
-    Of a response the payload is measured; of a revisit, which has none, its headers tell.
+    Of a response or resource the payload is measured; of a revisit, which has none, its headers tell.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,12 +292,14 @@ def read_pages(archives: DataFrame) -> DataFrame:
                 if digest(block) != header["warc-block-digest"].removeprefix("sha1:"):
                     raise ValueError(f"damaged record {header['warc-record-id']}")
                 fields, _, payload = http_parts(block)
-                page = int(fields["x-page-id"]) if "x-page-id" in fields else None
-                if kind == "response":
+                page = fields.get("x-page-id", "")
+                page = int(page) if page.isdecimal() else None
+                if kind != "revisit":
                     rows.append((page, len(payload), digest(payload), kind, None))
                 else:
                     refers = header.get("x-refers-to-page")
-                    rows.append((page, int(fields["content-length"]), header["warc-payload-digest"].removeprefix("sha1:"), kind, refers and int(refers)))
+                    length = header.get("x-payload-length", fields.get("content-length"))
+                    rows.append((page, length and int(length), header["warc-payload-digest"].removeprefix("sha1:"), kind, refers and int(refers)))
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
             columns = list(zip(*rows)) or [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)],

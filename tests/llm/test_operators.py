@@ -1,5 +1,6 @@
 """Operators on small tables with nulls, repeats, clashing names and no rows."""
 
+import gzip
 import hashlib
 import random
 
@@ -146,6 +147,41 @@ def test_archives(spark):
     assert warc.read_pages(warc.convert(warc.arc_archives(pages.filter("false")))).count() == 0
 
 
+def test_archives_of_others(spark, tmp_path):
+    """Archives as crawlers wrote them: bytes of any kind, records without HTTP header, plain or gzipped."""
+    head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=iso-8859-1\r\n\r\n"
+    image = b"HTTP/1.0 200 OK\r\nX-Page-Id: none\r\n\r\n\x89PNG\r\n\x1a\n\x00\xff\xfe" + bytes(range(256))
+    records = [  # URL, IP, date, content type, block, WARC type, payload
+        (b"http://a/caf\xe9", "192.0.2.1", "20010203040506", "text/html", head + "caf\xe9".encode("latin-1"), "response", b"caf\xe9"),
+        (b"http://a/i.png", "192.0.2.2", "20010203040507", "image/png", image, "response", image.split(b"\r\n\r\n", 1)[1]),
+        (b"dns:a", "192.0.2.3", "20010203040508", "text/dns", b"20010203\na. 60 IN A 192.0.2.1\n", "resource", b"20010203\na. 60 IN A 192.0.2.1\n"),
+        (b"http://a/bare", "192.0.2.4", "20010203040509", "text/html", b"HTTP/1.0 200 OK\nA: b\n\n<p>\r\n\r\n", "response", b"<p>\r\n\r\n"),
+        (b"http://a/old page", "0.0.0.0", "20010203040510", "no-type", b"<html>0.9</html>", "resource", b"<html>0.9</html>"),
+        (b"http://a/none", "192.0.2.6", "20010203040511", "text/html; charset=x", b"HTTP/1.1 204 None\r\nA: b", "response", b""),
+        (b"http://b/again", "192.0.2.7", "20010203040512", "text/html", b"HTTP/1.0 200 OK\r\n\r\ncaf\xe9", "revisit", b"caf\xe9"),
+    ]
+    parts = [warc.arc_header("1", "x.arc")]
+    parts += [b"%s %s %s %s %d\n%s\n" % (u, ip.encode(), d.encode(), mime.encode(), len(b), b) for u, ip, d, mime, b, _, _ in records]
+    for name, data in (("x.arc", b"".join(parts)), ("x.arc.gz", b"".join(map(gzip.compress, parts)))):
+        (tmp_path / name).write_bytes(data)
+        arcs = spark.read.format("binaryFile").load(str(tmp_path / name)).select("path", "content")
+        files = warc.convert(arcs).cache()
+        whole = b"".join(gzip.decompress(r.content) for r in files.collect())
+        got = {h["warc-date"][17:19]: (h, b) for h, b in warc.read_warc(whole) if h["warc-type"] != "warcinfo"}
+        assert len(got) == len(records) and whole.endswith(b"\r\n\r\n")
+        twice = {got["06"][0]["warc-type"], got["12"][0]["warc-type"]}
+        assert twice == {"response", "revisit"}  # which of two is the response is by record id
+        for _, ip, d, mime, block, kind, payload in records:
+            h, b = got[d[12:]]
+            assert h.get("warc-ip-address") == (None if ip == "0.0.0.0" else ip)
+            assert h["warc-payload-digest"] == f"sha1:{warc.digest(payload)}"
+            if d[12:] not in ("06", "12"):
+                assert h["warc-type"] == kind and b == block
+            assert h.get("content-type") == ("application/http; msgtype=response" if kind != "resource" else mime if "/" in mime else None)
+        assert got["06"][0]["warc-target-uri"] == "http://a/caf%E9" and got["10"][0]["warc-target-uri"] == "http://a/old%20page"
+        assert sorted(r.payload_bytes for r in warc.read_pages(files).collect()) == sorted(len(r[-1]) for r in records)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
