@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +19,8 @@ BOILERPLATE = (
     "accept cookies", "all rights reserved", "back to top", "click here", "cookie policy", "enable javascript", "privacy policy",
     "read more", "share this", "sign in", "sign up", "skip to content", "subscribe to our newsletter", "terms of service", "terms of use",
 )
+#: Words of page furniture that say nothing on their own; they count neither for nor against a phrase.
+FILLER = frozenset("a an and by c continue copyright for go of on or our please the this to us we you your".split())
 NAVIGATION = "|»›>·•"
 BLANK = " \t\n\x0b\x0c\r"
 MADE = (
@@ -25,26 +28,33 @@ MADE = (
     "n_lines_removed bigint, chars_kept bigint, kept boolean"
 )
 
-_phrases = re.compile("|".join(map(re.escape, BOILERPLATE)), re.IGNORECASE)
+_phrases = re.compile(r"\b(?:" + "|".join(r"\s+".join(map(re.escape, x.split())) for x in BOILERPLATE) + r")\b", re.IGNORECASE)
 _bars = re.compile(rf"[{re.escape(NAVIGATION)}]")
-_plain = re.compile(r"[^\W_]")
+_plain = re.compile(r"[^\W_]+")
+#: Vowel signs and other combining marks, and the joiners, belong to the letter before them.
+_marks = "".join(chr(c) for r in (range(0x300, 0x20000), range(0xE0100, 0xE01F0)) for c in r if unicodedata.category(chr(c))[0] == "M")
+_marked = re.compile(rf"[^\W_]+[{_marks}\u200c\u200d]*")
 
 
 def line_fails(line: str, min_plain: float = 0.5, max_phrase: int = 12, min_bars: int = 3) -> bool:
     """Whether a line with a word is page furniture.
 
-    Punctuation: less than ``min_plain`` of its non-blank characters are letters or digits.
+    Punctuation: less than ``min_plain`` of its non-blank characters are letters, marks of letters or digits.
     Navigation: ``min_bars`` or more bars, with at most three words to a bar on average.
-    Boilerplate: a stock phrase in a line of at most ``max_phrase`` words.
+    Boilerplate: a line of at most ``max_phrase`` words in which stock phrases, as whole words, have more words than
+    all that is neither a phrase, nor a filler, nor a number.
     """
     words = line.split()
     solid = sum(map(len, words))
-    if len(_plain.findall(line)) < min_plain * solid:
+    if sum(map(len, (_plain if line.isascii() else _marked).findall(line))) < min_plain * solid:
         return True
     bars = len(_bars.findall(line))
     if bars >= min_bars and len(words) <= 4 * (bars + 1):
         return True
-    return len(words) <= max_phrase and _phrases.search(line) is not None
+    if len(words) > max_phrase or not (found := _phrases.findall(line)):
+        return False
+    rest = _plain.findall(_phrases.sub(" ", line).lower())
+    return sum(len(x.split()) for x in found) > sum(not w.isdecimal() and w not in FILLER for w in rest)
 
 
 def clean_lines(text: str) -> tuple[str, int, int, int]:

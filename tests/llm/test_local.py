@@ -36,6 +36,22 @@ def test_lines_that_fail():
     assert not quality.line_fails("A plain sentence, with a comma | and one bar in it.")
 
 
+@pytest.mark.parametrize("line", [
+    "The new design in the hall was praised by many visitors.",
+    "Children who read more at home do better in school.",
+    "The court said the old privacy policy broke the law.",
+    "\u1019\u103c\u1014\u103a\u1019\u102c\u1014\u102d\u102f\u1004\u103a\u1004\u1036\u101e\u100a\u103a \u1021\u101b\u103e\u1031\u1037\u1010\u1031\u102c\u1004\u103a\u1021\u102c\u101b\u103e\u1010\u103d\u1004\u103a \u101b\u103e\u102d\u101e\u100a\u103a\u104b",
+])
+def test_clean_lines_stay(line):
+    assert not quality.line_fails(line) and quality.clean_lines(line)[0] == line
+
+
+@pytest.mark.parametrize("line", ["All rights reserved.", "\u00a9 2024 Example Corp. All  Rights Reserved.", "Sign in | Sign up", "Read more", "Click here to read our Privacy Policy",
+                                  "\u1019\u103c ---- //// ----"])
+def test_furniture_goes(line):
+    assert quality.line_fails(line)
+
+
 @pytest.mark.parametrize("seed", range(40))
 def test_best_fit_equals_piece_by_piece(seed):
     draw = random.Random(seed)
