@@ -137,6 +137,32 @@ def test_licences(spark):
     assert got[2].n_licensed == got[3].n_paragraphs == got[4].n_paragraphs == 0
 
 
+NOTICES = [  # text, lines or paragraphs with a notice, families; no context of a name is among the model's wordings
+    ("Copyright (c) 2024 Example Corp. Released under the MIT License.", 1, "mit"),
+    ("Our tool reads maps and draws plans for hikers in the hills. It is released under the MIT licence, and anyone may send changes to the list by mail.", 1, "mit"),
+    ("Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.", 1, "apache-2.0"),
+    ("This work is licensed under the GNU General Public License, version 2.", 1, "gpl-2.0"),
+    ("This work is licensed under the GNU Lesser General Public License, version 3.", 1, "lgpl-3.0"),
+    ("Licensed under CC BY-NC-SA 4.0.", 1, "cc-by-nc-sa-4.0"),
+    ("Licensed under CC BY 3.0.", 1, "cc-by-3.0"),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", 1, "cc-by-nc-4.0"),
+    ("You can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or later.", 1, "gpl-3.0"),
+    ("Dear reader,\n\nPermission is hereby granted, free of charge, to any person\nobtaining a copy of this software and associated documentation\nfiles, to deal in it.", 1, "mit"),
+    ("Licensed under the BSD 3-Clause License.\n\nReleased under the MIT License.", 2, "bsd-3-clause,mit"),
+    ("SPDX-License-Identifier: GPL-3.0-or-later", 1, "gpl-3.0"),
+    ("The MIT License was written in 1988 and is short.", 0, ""),
+    ("She compared the Apache License, Version 2.0 with older ones.", 0, ""),
+    ("Released under the Example Home License, version 7.", 0, ""),
+    ("Ungte mit dem Zug.", 0, ""),
+]
+
+
+def test_licences_unseen(spark):
+    rows = [(k, t) for k, (t, _, _) in enumerate(NOTICES)]
+    got = {r.doc_id: (r.n_licensed, r.families) for r in license_scan.license_scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert {NOTICES[k][0]: v for k, v in got.items()} == {t: (n, f) for t, n, f in NOTICES}
+
+
 def test_archives(spark):
     rows = [(3, "http://a/b c", "<p>x</p>\r\n\r\nWARC/1.1"), (1, "u", "<p>x</p>\r\n\r\nWARC/1.1"), (2, None, None), (5, "v", ""), (5, "v", ""), (None, "w", "é")]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
