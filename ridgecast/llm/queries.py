@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgecast.llm import decontaminate as decontamination
-from ridgecast.llm import chat_format, language_id, license_scan, line_dedup, ngram_join, packing, quality, suffix_dedup, warc
+from ridgecast.llm import chat_format, chat_repair, language_id, license_scan, line_dedup, merkle, ngram_join, packing, quality, suffix_dedup, token_files, warc
 from ridgecast.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,6 +100,89 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_pages(warc.convert(warc.arc_archives(pages)))
 
 
+def damaged(turns: DataFrame) -> DataFrame:
+    """Conversations with one fault in four rows, dealt by a checksum of the row's place; nulls are one space."""
+    whole = {c: F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn", "role", "text")}
+    kind = F.crc32(F.concat(whole["conv_id"], F.lit(":"), whole["turn"])) % 20
+    role = F.when(kind == 4, "user").otherwise(whole["role"]).alias("role")
+    text = F.when(kind == 1, "").when(kind == 2, F.regexp_replace(whole["text"], "[.!?]", "")).otherwise(whole["text"]).alias("text")
+    copies = F.explode(F.sequence(F.lit(1), F.when(kind == 3, 2).otherwise(1))).alias("copy")
+    return turns.filter(kind != 0).select("conv_id", "turn", role, text, copies).drop("copy")
+
+
+@query
+def op11_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    found = chat_repair.repair(damaged(turns)).withColumnRenamed("conv_id", "id")
+    whole = turns.select("conv_id").distinct()
+    joined = whole.join(found, F.col("conv_id").eqNullSafe(F.col("id")), "left").drop("id")
+    counts = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return joined.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+@query
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(*merkle.FIELDS)
+    claimed = [F.col(c) + 1 if c == "n_chars" else F.col(c) for c in merkle.FIELDS]
+    chosen = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    docs = docs.withColumn("claim", F.when(chosen, merkle.leaf(*claimed)))
+    rows = merkle.manifest(docs, carried=("claim",)).withColumn("claim", F.coalesce("claim", "leaf"))
+    checked = merkle.folded(rows, "claim")
+    proof = F.sha2(F.lower(F.hex("siblings")), 256).alias("proof_sha256")
+    return checked.select("doc_id", "leaf", "subroot", "root", proof, "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+@query
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.read_token_files(token_files.write_token_files(documents(spark, sf_dir), *tokenizer_files()))
+
+
+ORACLES["op12_merkle_manifest"] = r"""
+with recursive docs as (
+  select doc_id, lang, n_chars, coalesce('1' || lang, '0') as grp,
+    coalesce(strlen(doc_id::varchar) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+      || coalesce(strlen(lang) || ':' || lang, '-') as head,
+    coalesce(strlen(text) || ':' || text, '-') as tail,
+    list_reduce([4294967295] || range(8 * strlen(coalesce(doc_id::varchar, ''))), lambda c, k: case when k % 8 = 0
+      then xor(xor(c, ascii(substr(cast(doc_id as varchar), k // 8 + 1, 1))) >> 1, 3988292384 * (xor(c, ascii(substr(cast(doc_id as varchar), k // 8 + 1, 1))) & 1))
+      else xor(c >> 1, 3988292384 * (c & 1)) end) as crc
+  from documents
+), leaves as (
+  select doc_id, grp, sha256(head || coalesce(strlen(n_chars::varchar) || ':' || n_chars, '-') || tail) as leaf,
+    case when doc_id is not null and xor(crc, 4294967295) % 7 = 0
+      then sha256(head || coalesce(strlen((n_chars + 1)::varchar) || ':' || (n_chars + 1), '-') || tail) end as claim
+  from docs
+), placed as (
+  select *, row_number() over (partition by grp order by doc_id nulls first, leaf) - 1 as i from leaves
+), tree as (
+  select grp, 0 as level, list(leaf order by i) as nodes from placed group by grp
+  union all
+  select grp, level + 1, list_transform(range((len(nodes) + 1) // 2), lambda k: sha256(nodes[2 * k + 1] || coalesce(nodes[2 * k + 2], '')))
+  from tree where len(nodes) > 1
+), subroots as (
+  select grp, nodes[1] as subroot, row_number() over (order by grp) - 1 as g from tree where len(nodes) = 1
+), top as (
+  select 0 as level, list(subroot order by g) as nodes from subroots
+  union all
+  select level + 1, list_transform(range((len(nodes) + 1) // 2), lambda k: sha256(nodes[2 * k + 1] || coalesce(nodes[2 * k + 2], '')))
+  from top where len(nodes) > 1
+), steps as (
+  select p.grp, p.i, t.level as k, case when (p.i >> t.level) % 2 = 1 then 'L' || t.nodes[(p.i >> t.level)::bigint] else 'R' || coalesce(t.nodes[((p.i >> t.level) + 2)::bigint], '') end as step
+  from placed p join tree t on p.grp = t.grp where len(t.nodes) > 1
+  union all
+  select p.grp, p.i, 1000 + t.level, case when (s.g >> t.level) % 2 = 1 then 'L' || t.nodes[(s.g >> t.level)::bigint] else 'R' || coalesce(t.nodes[((s.g >> t.level) + 2)::bigint], '') end
+  from placed p join subroots s on p.grp = s.grp cross join top t where len(t.nodes) > 1
+), paths as (
+  select grp, i, list(step order by k) as steps from steps group by grp, i
+), folded as (
+  select p.doc_id, p.leaf, s.subroot, (select nodes[1] from top where len(nodes) = 1) as root, coalesce(q.steps, []) as steps,
+    list_reduce([coalesce(p.claim, p.leaf)] || coalesce(q.steps, []), lambda h, x: sha256(case when x[1] = 'L' then x[2:] || h else h || x[2:] end)) as folded_root
+  from placed p join subroots s on p.grp = s.grp left join paths q on p.grp = q.grp and p.i = q.i
+)
+select doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(steps, lambda x: x[2:]), '')) as proof_sha256, folded_root, folded_root = root as verified
+from folded
+"""
+
 ORACLES["op3_chat_formatting"] = r"""
 with turns as (
   select conv_id, turn, 0 as part, coalesce(role, '') as role, coalesce(text, '') as text from conversations
