@@ -73,6 +73,12 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
         f"cast({3 + dy} + r_regionkey * 8 as double) as y from {{region}}" for i, (dx, dy) in enumerate(((0, 0), (21, 2), (18, 19), (2, 14)))
     )),
     "zone_deg": (("zone_corners",), f"select zone_id, i, {d(-82.9)} + x * {d(0.01)} as x, {d(35.3)} + y * {d(0.01)} as y from zone_corners"),
+    "signal_zone": (("zone_corners",), f"select zone_id, i, {d(-82.9)} + (x - 3) * {d(0.00031)} as x, {d(35.8)} - (y - 2) * {d(0.00029)} as y from zone_corners"),
+    "raster_size": (("supplier",), "select cast(s_suppkey as bigint) as site_id, cast(64 as bigint) as width, cast(64 as bigint) as height from {supplier}"),
+    "ref_raster_size": (("supplier",), """
+        select cast(s_suppkey as bigint) as site_id, cast(case when s_suppkey % 13 = 4 then 32 when s_suppkey % 13 = 7 then 128 else 64 end as bigint) as width,
+               cast(case when s_suppkey % 13 = 7 then 32 else 64 end as bigint) as height
+        from {supplier} where s_suppkey % 17 <> 5"""),
     "boxes": (("sites",), """
         select site_id % 4 as box_id, min(lon) as west, min(lat) as south, max(lon) as east, max(lat) as north from sites group by 1"""),
     "links": (("pairs",), f"""

@@ -318,6 +318,30 @@ def coverage_report(spark, sf):
     return plans.coverage_report(sig(spark, sf), G, T_MATRIX, 0.8)
 
 
+#: Zones of degrees that overlap in part and reach over the raster's border.
+SIGNAL_ZONES = CROSSINGS.format(corners="signal_zone") + """, zone_pixels as materialized (select distinct row, col from (
+  select g.i // 64 as row, g.i % 64 as col, e.zone_id, count(*) as n from range(4096) g(i) join edges e
+    on (e.yi > 35.80::DOUBLE + (g.i // 64) * -0.0003::DOUBLE) <> (e.yj > 35.80::DOUBLE + (g.i // 64) * -0.0003::DOUBLE)
+    and -82.90::DOUBLE + (g.i % 64) * 0.0003::DOUBLE < (e.xj - e.xi) * (35.80::DOUBLE + (g.i // 64) * -0.0003::DOUBLE - e.yi) / (e.yj - e.yi) + e.xi group by 1, 2, 3) where n % 2 = 1),
+  zone_n as (select count(*) as total, count(*) filter (rssi >= -85) as c from zone_pixels left join (select row, col, max(rssi) as rssi from signal group by 1, 2) using (row, col))"""
+
+
+@query("job12_zone_report", f"""with {PICKS}, {SIGNAL_ZONES}
+  select rank, site_id, gain, covered_after, covered_after / 256.0::DOUBLE as selected_fraction, c as covered_pixels, total as total_pixels, c / total::DOUBLE as covered_fraction
+  from picks cross join zone_n""", ("matrix", "signal_zone"))
+def _zone_report(spark, sf):
+    return plans.coverage_report(sig(spark, sf), G, T_MATRIX, 0.8, zones=fx.zones(spark, sf, "signal_zone"))
+
+
+@query("job12_zone_target", f"""with {SIGNAL_ZONES}, zone_cells as materialized (select distinct (row // 4) * 16 + col // 4 as cell_id from zone_pixels),
+  whole as (select count(*) as cells from zone_cells), near as materialized (select * from matrix where cell_id in (select cell_id from zone_cells)),
+  {greedy_sql(16, '< ceil(0.8 * (select cells from whole))', name='near')}, picks as (select * from p16 where rank > 0)
+  select rank, site_id, gain, covered_after, covered_after / cells::DOUBLE as selected_fraction, c as covered_pixels, total as total_pixels, c / total::DOUBLE as covered_fraction
+  from picks cross join zone_n cross join whole""", ("matrix", "signal_zone"))
+def _zone_target(spark, sf):
+    return plans.coverage_report(sig(spark, sf), G, T_MATRIX, 0.8, zones=fx.zones(spark, sf, "signal_zone"), zone_target=True)
+
+
 # --- sinks over coverage and selection -------------------------------------------
 
 
@@ -398,10 +422,16 @@ METRICS_SQL = """pairs_v as materialized (select s.site_id, s.rssi >= -120 as p,
         ("accuracy", "accuracy"), ("precision", "precision"), ("recall", "recall"), ("jaccard", "jaccard"),
         ("f1_score", "coalesce(2 * precision * recall / nullif(precision + recall, 0), 0)"))
 ) + """, -120.0::DOUBLE as threshold_dbm from ratios),
+  sound as materialized (select s.site_id, s.name, case when z.site_id is null then 'Reference raster not found'
+    when r.width * r.height <> z.width * z.height then 'Shape mismatch: predicted length ' || (r.width * r.height) || ' vs reference length ' || (z.width * z.height)
+    when r.width <> z.width then 'Shape mismatch: predicted ' || r.width || ' x ' || r.height || ' vs reference ' || z.width || ' x ' || z.height end as wrong
+    from sites s left join raster_size r using (site_id) left join ref_raster_size z using (site_id)),
   rated as materialized (select s.site_id, s.name, m.* exclude (site_id), case when jaccard >= 0.9 then 'excellent' when jaccard >= 0.8 then 'good' when jaccard >= 0.7 then 'acceptable'
     when jaccard is not null then 'poor' end as rating, jaccard >= 0.7 as passed,
-    case when s.site_id not in (select site_id from ref_signal) then 'Reference raster not found' when jaccard is null then 'No valid (finite) pixels to compare' end as error
-    from sites s left join metrics m on s.site_id = m.site_id)"""
+    coalesce(wrong, case when jaccard is null then 'No valid (finite) pixels to compare' end) as error
+    from sound s left join metrics m on s.site_id = m.site_id and wrong is null)"""
+
+VALIDATION = ("signal", "ref_signal", "sites", "raster_size", "ref_raster_size")
 
 
 @query("jn7_aligned_pixels", """select site_id, row::BIGINT as row, col::BIGINT as col, s.rssi as predicted, r.rssi as reference
@@ -410,11 +440,10 @@ def _align(spark, sf):
     return ag.align(sig(spark, sf), sig(spark, sf, "ref_signal"))
 
 
-@query("jn7_shape_check", """with a as (select site_id, count(*) as n from signal group by 1), b as (select site_id, count(*) as n from ref_signal group by 1)
-  select site_id, coalesce(a.n, 0) as predicted_pixels, coalesce(b.n, 0) as reference_pixels, coalesce(a.n, 0) = coalesce(b.n, 0) as same_shape
-  from a full join b using (site_id)""", ("signal", "ref_signal"))
+@query("jn7_shape_check", """select site_id, p.width as predicted_width, p.height as predicted_height, r.width as reference_width, r.height as reference_height,
+  p.width = r.width and p.height = r.height as same_shape from raster_size p full join ref_raster_size r using (site_id)""", ("raster_size", "ref_raster_size"))
 def _shape(spark, sf):
-    return ag.shape_check(sig(spark, sf), sig(spark, sf, "ref_signal"))
+    return ag.shape_check(fx.fixture(spark, sf, "raster_size"), fx.fixture(spark, sf, "ref_raster_size"))
 
 
 @query("agg9_agreement", f"with {METRICS_SQL} select * from metrics", ("signal", "ref_signal", "sites"))
@@ -423,22 +452,27 @@ def _agreement(spark, sf):
 
 
 def validated(spark, sf):
-    return ag.validate_sites(fx.fixture(spark, sf, "sites"), sig(spark, sf), sig(spark, sf, "ref_signal"))
+    sizes = (fx.fixture(spark, sf, n) for n in ("raster_size", "ref_raster_size"))
+    return ag.validate_sites(fx.fixture(spark, sf, "sites"), sig(spark, sf), sig(spark, sf, "ref_signal"), *sizes)
 
 
-@query("job14_validate_sites", f"with {METRICS_SQL} select * from rated", ("signal", "ref_signal", "sites"))
+@query("job14_validate_sites", f"with {METRICS_SQL} select * from rated", VALIDATION)
 def _validate(spark, sf):
     return validated(spark, sf)
 
 
 @query("agg10_pass_counts", f"""with {METRICS_SQL} select count(*) as total, count(*) filter (coalesce(passed, false)) as passed,
-  count(*) filter (not coalesce(passed, false)) as failed from rated""", ("signal", "ref_signal", "sites"))
+  count(*) filter (not coalesce(passed, false)) as failed from rated""", VALIDATION)
 def _pass(spark, sf):
     return ag.pass_counts(validated(spark, sf))
 
 
-@query("snk9_validation_report", f"""with {METRICS_SQL} select site_id, case when error is not null then name || ': ERROR - ' || error
-  else name || ': ' || case when passed then 'PASS' else 'FAIL' end || ' (F1=' || format('{{:.3f}}', f1_score) || ', Jaccard=' || format('{{:.3f}}', jaccard)
-  || ', Accuracy=' || format('{{:.3f}}', accuracy) || ')' end as line from rated""", ("signal", "ref_signal", "sites"))
+@query("snk9_validation_report", f"""with {METRICS_SQL}, n as (select count(*) as total, count(*) filter (coalesce(passed, false)) as ok from rated),
+  k as (select *, row_number() over (order by site_id) as i from rated)
+  select 7 + i as pos, '  [' || i || '] ' || case when error is not null then name || ': ERROR - ' || error
+    else name || ': ' || case when passed then 'PASS' else 'FAIL' end || ' (F1=' || format('{{:.3f}}', f1_score) || ', Jaccard=' || format('{{:.3f}}', jaccard)
+    || ', Accuracy=' || format('{{:.3f}}', accuracy) || ')' end as line from k
+  union all select unnest([0, 1, 2, 3, 4, 5, 6, 7]), unnest([repeat('=', 60), 'Coverage Validation Report', 'Generated: 2024-01-01T00:00:00.000Z', 'Sites validated: ' || total,
+    repeat('=', 60), 'Passed: ' || ok || '/' || total, 'Failed: ' || (total - ok) || '/' || total, '']) from n""", VALIDATION)
 def _report(spark, sf):
-    return sinks.validation_lines(validated(spark, sf))
+    return sinks.validation_report(validated(spark, sf), "2024-01-01T00:00:00.000Z")

@@ -429,15 +429,18 @@ def _nearest(spark, sf):
     return sp.nearest_by_degrees(points, 31).withColumn("d2", round_half_up("d2", 9))
 
 
-@query("prj9_candidate_scores", f"""with u as (select site_id as poi_id, lat, lon from many_sites),
-  s as (select a.site_id, min(km) as km from (select a.site_id, {haversine('a.lat', 'a.lon', 'u.lat', 'u.lon')} as km from sites a cross join u) a where km <= 4 group by 1)
-  select a.site_id, (a.site_id * 37 % 500)::DOUBLE as elev, {rnd('km')} as nearest_poi_km, a.site_id % 3 = 0 as has_infrastructure from sites a left join s using (site_id)""", ("sites", "many_sites"))
+@query("prj9_candidate_scores", f"""with c as (select site_id, lat, case when site_id % 7 = 3 then lon - 15 else lon end as lon from sites),
+  u as (select site_id as poi_id, lat + 0.0017::DOUBLE as lat, lon + 0.0013::DOUBLE as lon from many_sites),
+  d as (select c.site_id, poi_id, {haversine('c.lat', 'c.lon', 'u.lat', 'u.lon')} as km from c cross join u),
+  s as (select site_id, min(km) as km from d group by 1)
+  select site_id, (site_id * 37 % 500)::DOUBLE as elev, {rnd('km')} as nearest_poi_km, site_id % 3 = 0 as has_infrastructure from c left join s using (site_id)""", ("sites", "many_sites"))
 def _scores(spark, sf):
     base = sites(spark, sf).select(
-        "site_id", "lat", "lon", (F.col("site_id") * 37 % 500).cast("double").alias("elev"), F.when(F.col("site_id") % 3 == 0, "tower").alias("notes")
+        "site_id", "lat", F.when(F.col("site_id") % 7 == 3, F.col("lon") - 15).otherwise(F.col("lon")).alias("lon"),
+        (F.col("site_id") * 37 % 500).cast("double").alias("elev"), F.when(F.col("site_id") % 3 == 0, "tower").alias("notes"),
     )
-    poi = fx.fixture(spark, sf, "many_sites").select(F.col("site_id").alias("poi_id"), "lat", "lon")
-    return sinks.candidate_scores(base, poi, 4.0).select("site_id", "elev", "nearest_poi_km", "has_infrastructure")
+    poi = fx.fixture(spark, sf, "many_sites").select(F.col("site_id").alias("poi_id"), (F.col("lat") + 0.0017).alias("lat"), (F.col("lon") + 0.0013).alias("lon"))
+    return sinks.candidate_scores(base, poi).select("site_id", "elev", "nearest_poi_km", "has_infrastructure")
 
 
 # --- exports -------------------------------------------------------------------

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridgecast.functions.geo import round_half_up
+from ridgecast.session import cut_lineage
 
 METRICS = ("accuracy", "precision", "recall", "f1_score", "jaccard")
 
@@ -23,15 +24,26 @@ def align(predicted: DataFrame, reference: DataFrame) -> DataFrame:
 
 
 def shape_check(predicted: DataFrame, reference: DataFrame) -> DataFrame:
-    """(site_id, predicted_pixels, reference_pixels, same_shape) by a full join of per-site counts."""
-    p = predicted.groupBy("site_id").agg(F.count(F.lit(1)).alias("predicted_pixels"))
-    r = reference.groupBy("site_id").agg(F.count(F.lit(1)).alias("reference_pixels"))
-    both = p.join(r, "site_id", "full")
-    zero = F.lit(0).cast("long")
-    both = both.withColumns(
-        {"predicted_pixels": F.coalesce("predicted_pixels", zero), "reference_pixels": F.coalesce("reference_pixels", zero)}
-    )
-    return both.withColumn("same_shape", F.col("predicted_pixels") == F.col("reference_pixels"))
+    """Sizes of both rasters of every site, and whether they are the same, from the raster tables (site_id, width, height).
+
+    Pixel tables are sparse, so their counts say nothing about a raster's size. Where one raster is missing, its
+    sizes and ``same_shape`` are NULL.
+    """
+    sides = [t.select("site_id", F.col("width").alias(f"{n}_width"), F.col("height").alias(f"{n}_height")) for t, n in ((predicted, "predicted"), (reference, "reference"))]
+    both = sides[0].join(sides[1], "site_id", "full")
+    same = (F.col("predicted_width") == F.col("reference_width")) & (F.col("predicted_height") == F.col("reference_height"))
+    return both.withColumn("same_shape", same)
+
+
+def shape_error() -> Column:
+    """What is wrong with the sizes of ``shape_check``, else NULL. Rasters of one length but other sides differ too."""
+    p, r = ([F.col(f"{n}_width"), F.col(f"{n}_height")] for n in ("predicted", "reference"))
+    lengths = [w * h for w, h in (p, r)]
+    text = F.concat(F.lit("Shape mismatch: predicted length "), lengths[0].cast("string"), F.lit(" vs reference length "), lengths[1].cast("string"))
+    sides = [F.concat(w.cast("string"), F.lit(" x "), h.cast("string")) for w, h in (p, r)]
+    turned = F.concat(F.lit("Shape mismatch: predicted "), sides[0], F.lit(" vs reference "), sides[1])
+    missing = F.when(r[0].isNull(), "Reference raster not found").when(p[0].isNull(), "Predicted raster not found")
+    return missing.when(lengths[0] != lengths[1], text).when(~F.col("same_shape"), turned)
 
 
 def agreement(pairs: DataFrame, threshold: float = -120.0) -> DataFrame:
@@ -68,18 +80,22 @@ def rated(metrics: DataFrame) -> DataFrame:
     return metrics.withColumns({"rating": rating, "passed": j >= 0.7})
 
 
-def validate_sites(sites: DataFrame, predicted: DataFrame, reference: DataFrame, threshold: float = -120.0) -> DataFrame:
+def validate_sites(
+    sites: DataFrame, predicted: DataFrame, reference: DataFrame, predicted_sizes: DataFrame, reference_sizes: DataFrame,
+    threshold: float = -120.0,
+) -> DataFrame:
     """One row per site of ``sites(site_id, name)``: metrics, rating and pass flag, or an error text.
 
-    A site errs when its reference is missing or no pixel is finite on both sides.
+    The raster tables (site_id, width, height) are met first. A site errs when a raster is missing, when the two differ in size,
+    or when no pixel is finite on both sides; the pixels of sites that differ in size are not aligned.
     """
-    metrics = rated(agreement(align(predicted, reference), threshold))
-    known = reference.select("site_id").distinct().withColumn("_ref", F.lit(True))
-    joined = sites.select("site_id", "name").join(metrics, "site_id", "left").join(known, "site_id", "left")
-    error = F.when(F.col("_ref").isNull(), "Reference raster not found").when(
-        F.col("jaccard").isNull(), "No valid (finite) pixels to compare"
-    )
-    return joined.withColumn("error", error).drop("_ref")
+    sizes = shape_check(predicted_sizes, reference_sizes)
+    checked = cut_lineage(sites.select("site_id", "name").join(sizes, "site_id", "left").withColumn("error", shape_error()).select("site_id", "name", "error"))
+    fit = checked.filter("error is null").select("site_id")
+    metrics = rated(agreement(align(predicted.join(fit, "site_id", "left_semi"), reference), threshold))
+    joined = checked.join(metrics, "site_id", "left")
+    names = [c for c in joined.columns if c != "error"]
+    return joined.select(*names, F.coalesce("error", F.when(F.col("jaccard").isNull(), "No valid (finite) pixels to compare")).alias("error"))
 
 
 def pass_counts(results: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridgecast.functions.geo import Grid, as_col, round_half_up
+from ridgecast.operators.spatial import polygon_edges
 from ridgecast.session import cut_lineage
 
 
@@ -79,6 +80,73 @@ def covered_fraction(
     return counted.withColumn("covered_fraction", share)
 
 
+def zone_runs(zones: DataFrame, grid: Grid) -> DataFrame:
+    """(zone_id, row, col_from, col_to): the pixels whose corner lies in a zone, as runs of columns, by scanline filling.
+
+    ``zones`` is (zone_id, polygon array<struct(lon, lat)>) in the grid's coordinates; rings under three vertices hold
+    nothing. A row of the grid crosses a ring at sorted places; between an odd and the next even one it is inside. The
+    ends of a run are compared as positions, so a run holds exactly the pixels that a test of each pixel finds. A
+    zone makes rows for its own height alone, never one for a pixel. Grids are not turned.
+    """
+    if grid.b or grid.d or grid.a <= 0 or grid.e == 0:
+        raise ValueError("runs are filled along the rows of a grid that is not turned")
+    ring = zones.filter(F.size("polygon") >= 3).select("zone_id", polygon_edges(F.col("polygon")).alias("edges"))
+    south, north = F.array_min("edges.yi"), F.array_max("edges.yi")
+    ends = [(v - grid.f) / grid.e for v in (south, north)]
+    first = F.greatest(F.lit(0), F.floor(F.least(*ends)) - 1).cast("int")
+    last = F.least(F.lit(grid.height - 1), F.ceil(F.greatest(*ends)) + 1).cast("int")
+    rows = ring.withColumns({"_first": first, "_last": last}).filter("_first <= _last")
+    rows = rows.select("zone_id", "edges", F.explode(F.sequence("_first", "_last")).alias("row")).withColumn("_y", F.col("row") * grid.e + grid.f)
+    y = F.col("_y")
+    crossed = F.filter("edges", lambda e: (e["yi"] > y) != (e["yj"] > y))
+    places = F.array_sort(F.transform(crossed, lambda e: (e["xj"] - e["xi"]) * (y - e["yi"]) / (e["yj"] - e["yi"]) + e["xi"]))
+    marked = rows.select("zone_id", "row", places.alias("_x")).filter(F.size("_x") > 1)
+    runs = marked.select("zone_id", "row", F.explode(F.expr("transform(sequence(1, size(_x) div 2), k -> struct(_x[2 * k - 2] as low, _x[2 * k - 1] as high))")).alias("_r"))
+
+    def first_at(place: Column) -> Column:
+        """The lowest column at or behind a place."""
+        near = F.floor((place - grid.c) / grid.a)
+        return F.array_min(F.filter(F.sequence(near - 1, near + 2), lambda k: k * grid.a + grid.c >= place))
+
+    found = runs.select("zone_id", "row", first_at(F.col("_r.low")).alias("a"), (first_at(F.col("_r.high")) - 1).alias("b"))
+    clipped = found.select("zone_id", "row", F.greatest(F.lit(0), "a").cast("int").alias("col_from"), F.least(F.lit(grid.width - 1), "b").cast("int").alias("col_to"))
+    return clipped.filter("col_from <= col_to")
+
+
+def merged_runs(runs: DataFrame) -> DataFrame:
+    """(row, col_from, col_to) of pixels in any zone: the runs of a row, one list a row, put together where they meet."""
+    lists = runs.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("col_from", "col_to"))).alias("runs"))
+    joined = F.expr("""aggregate(slice(runs, 2, size(runs)), slice(runs, 1, 1), (done, r) -> if(r.col_from <= element_at(done, -1).col_to + 1,
+        concat(slice(done, 1, size(done) - 1), array(struct(element_at(done, -1).col_from as col_from, greatest(element_at(done, -1).col_to, r.col_to) as col_to))),
+        concat(done, array(r))))""")
+    return lists.select("row", F.explode(joined).alias("r")).select("row", "r.col_from", "r.col_to")
+
+
+def in_runs(pixels: DataFrame, runs: DataFrame, stretch: int = 64) -> DataFrame:
+    """Pixels (row, col, ...) with the other columns of the runs that hold them; runs are cut at every ``stretch`` columns to meet them in an equi-join."""
+    cut = F.explode(F.sequence(F.floor(F.col("col_from") / stretch), F.floor(F.col("col_to") / stretch)))
+    met = pixels.withColumn("_s", F.floor(F.col("col") / stretch)).join(runs.withColumn("_s", cut), ["row", "_s"])
+    return met.filter(F.col("col").between(F.col("col_from"), F.col("col_to"))).drop("_s", "col_from", "col_to")
+
+
+def run_cells(runs: DataFrame, grid: Grid, block: int = 4) -> DataFrame:
+    """(cell_id) of the matrix cells that hold a pixel of a run; a run makes one row a cell."""
+    across = math.ceil(grid.width / block)
+    cells = F.explode(F.sequence(F.floor(F.col("col_from") / block), F.floor(F.col("col_to") / block)))
+    return runs.select((F.floor(F.col("row") / block) * across).alias("_r"), cells.alias("_c")).select((F.col("_r") + F.col("_c")).cast("long").alias("cell_id")).distinct()
+
+
+def zone_fraction(mask: DataFrame, runs: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, covered_cells, total_cells, covered_fraction) of runs; pixels are counted by the runs' lengths, only covered ones are joined."""
+    total = runs.groupBy(*keys).agg(F.coalesce(F.sum(F.col("col_to") - F.col("col_from") + 1), F.lit(0)).cast("long").alias("total_cells"))
+    hit = in_runs(mask.filter("covered").select("row", "col"), runs.select("row", "col_from", "col_to", *keys))
+    covered = hit.groupBy(*keys).agg(F.count(F.lit(1)).alias("covered_cells"))
+    both = total.join(covered, list(keys), "left") if keys else total.crossJoin(F.broadcast(covered))  # one row each
+    both = both.withColumn("covered_cells", F.coalesce("covered_cells", F.lit(0)).cast("long"))
+    share = F.when(F.col("total_cells") > 0, F.col("covered_cells") / F.col("total_cells")).otherwise(F.lit(0.0))
+    return both.select(*keys, "covered_cells", "total_cells", share.alias("covered_fraction"))
+
+
 def cover_counts(matrix: DataFrame) -> DataFrame:
     """(cell_id, n_sites): how many sites reach each cell."""
     return matrix.groupBy("cell_id").agg(F.count(F.lit(1)).alias("n_sites"))

@@ -28,16 +28,20 @@ def greedy_picks(
     links: DataFrame | None = None,
     link_weight: float = 0.0,
     batch: int = 16,
+    cells: DataFrame | None = None,
 ) -> list[tuple[int, int, int, int]]:
     """(rank, site_id, gain, covered_after) of the exact greedy order, lowest id on ties.
 
+    ``cells`` (cell_id) are the cells that count, such as those of a zone; without it all do.
+
     Each pass over the matrix ranks all sites and looks closely at the best ``batch``: the
     cells they reach are counted per combination of those sites (at most 2^(batch+1) rows come
     back). That is enough to continue the greedy order among them, and a pick stands only
     while it beats every score a site outside the batch could still have. Otherwise the
     next pass begins, on the cells that are left. One pass thus usually yields several picks.
     """
-    remaining = cut_lineage(matrix.select("site_id", "cell_id").distinct())
+    reach = matrix.select("site_id", "cell_id").distinct()
+    remaining = cut_lineage(reach if cells is None else reach.join(cells.select("cell_id"), "cell_id", "left_semi"))
     picks: list[tuple[int, int, int, int]] = []
     covered = 0
     if links is not None:

@@ -110,41 +110,94 @@ def polygon_edges(polygon: Column) -> Column:
     )
 
 
-def inside_edges(lon: Column | str, lat: Column | str, edges: Column | str) -> Column:
-    """Ray casting, half-open on y: an odd number of crossings is inside."""
+def inside_edges(lon: Column | str, lat: Column | str, edges: Column | str, before: Column | int = 0) -> Column:
+    """Ray casting, half-open on y: an odd number of crossings is inside; ``before`` are crossings counted already."""
     x, y = as_col(lon), as_col(lat)
     crossed = F.filter(
         as_col(edges),
         lambda e: ((e["yi"] > y) != (e["yj"] > y))
         & (x < (e["xj"] - e["xi"]) * (y - e["yi"]) / F.when(e["yj"] == e["yi"], F.lit(1.0)).otherwise(e["yj"] - e["yi"]) + e["xi"]),
     )
-    return F.size(crossed) % 2 == 1
+    return (F.size(crossed) + before) % 2 == 1
 
 
-def points_in_zones(points: DataFrame, zones: DataFrame, x: str = "lon", y: str = "lat", tile: float | None = None) -> DataFrame:
+#: Cells of a zone are cut in 4 x 4 at most so many times; a cell that fewer edges touch is tested as it is.
+ZONE_ROUNDS, ZONE_EDGES = 4, 8
+
+
+def _cell(value: Column, level: Column) -> Column:
+    return F.floor(value / F.pow(F.lit(4.0), level))
+
+
+def _touches(e: Column, box: dict[str, Column]) -> Column:
+    """Whether an edge may meet a box: their bounds meet, and the corners are not all on one side of the edge's line."""
+    apart = (
+        (F.greatest(e["xi"], e["xj"]) < box["x0"]) | (F.least(e["xi"], e["xj"]) > box["x1"])
+        | (F.greatest(e["yi"], e["yj"]) < box["y0"]) | (F.least(e["yi"], e["yj"]) > box["y1"])
+    )
+    sides = [(e["xj"] - e["xi"]) * (box[y] - e["yi"]) - (e["yj"] - e["yi"]) * (box[x] - e["xi"]) for x in ("x0", "x1") for y in ("y0", "y1")]
+    slack = (F.abs(e["xj"] - e["xi"]) + F.abs(e["yj"] - e["yi"])) * (box["x1"] - box["x0"] + box["y1"] - box["y0"]) * F.lit(1e-9)
+    one_side = (F.least(*sides) > slack) | (F.greatest(*sides) < -slack)
+    return ~(apart | one_side)
+
+
+def zone_cover(zones: DataFrame) -> DataFrame:
+    """(zone_id, level, cx, cy, edges, odd): cells of 4 ** level that a zone fills (``edges`` NULL) or that its border touches.
+
+    A quadtree of each zone's own: it starts with the smallest cells of which four hold the zone, and cells on the
+    border are cut until few edges touch them. A border cell keeps the edges that can decide about its points: those
+    that reach its rows and do not lie wholly left of it. Of those wholly right of it that cross all its rows only the
+    number counts, modulo two (``odd``).
+    """
+    ring = zones.filter(F.size("polygon") >= 3).select("zone_id", polygon_edges(F.col("polygon")).alias("edges"))
+    low = {axis: F.array_min(F.col(f"edges.{axis}i")) for axis in "xy"}
+    high = {axis: F.array_max(F.col(f"edges.{axis}i")) for axis in "xy"}
+    widest = F.greatest(high["x"] - low["x"], high["y"] - low["y"], F.lit(1e-12))
+    level = F.ceil(F.log(widest) / math.log(4.0)).cast("int")
+    boxed = ring.withColumns({"level": level, "odd": F.lit(0), "_x0": low["x"], "_x1": high["x"], "_y0": low["y"], "_y1": high["y"]})
+    now = boxed.select(
+        "zone_id", "level", "edges", "odd", F.explode(F.sequence(_cell(F.col("_x0"), F.col("level")), _cell(F.col("_x1"), F.col("level")))).alias("cx"), "_y0", "_y1",
+    ).select("zone_id", "level", "edges", "odd", "cx", F.explode(F.sequence(_cell(F.col("_y0"), F.col("level")), _cell(F.col("_y1"), F.col("level")))).alias("cy"))
+    settled = None
+    for k in range(ZONE_ROUNDS + 1):
+        size = F.pow(F.lit(4.0), F.col("level"))
+        slack = size * F.lit(1e-9) + F.abs(F.col("cx") + F.col("cy")) * size * F.lit(1e-15)
+        box = {"x0": F.col("cx") * size - slack, "x1": (F.col("cx") + 1) * size + slack, "y0": F.col("cy") * size - slack, "y1": (F.col("cy") + 1) * size + slack}
+        band = F.filter("edges", lambda e: (F.greatest(e["yi"], e["yj"]) >= F.col("_by0")) & (F.least(e["yi"], e["yj"]) <= F.col("_by1")) & (F.greatest(e["xi"], e["xj"]) >= F.col("_bx0")))
+        passed = F.filter("edges", lambda e: (F.least(e["yi"], e["yj"]) <= F.col("_by0")) & (F.greatest(e["yi"], e["yj"]) > F.col("_by1")) & (F.least(e["xi"], e["xj"]) > F.col("_bx1")))
+        near = now.withColumns({f"_b{n}": v for n, v in box.items()}).withColumn("edges", band).withColumn("_passed", passed)
+        near = near.withColumns({"odd": (F.col("odd") + F.size("_passed")) % 2, "edges": F.filter("edges", lambda e: ~F.array_contains("_passed", e))})
+        near = near.withColumn("_touching", F.size(F.filter("edges", lambda e: _touches(e, {n: F.col(f"_b{n}") for n in box}))))
+        centre = inside_edges((F.col("cx") + 0.5) * size, (F.col("cy") + 0.5) * size, "edges", F.col("odd"))
+        known = cut_lineage(near.withColumn("_inside", centre).select("zone_id", "level", "cx", "cy", "edges", "odd", "_touching", "_inside"))
+        few = (F.col("_touching") <= ZONE_EDGES) & (F.size("edges") <= 4 * ZONE_EDGES) & F.lit(k > 0)
+        done = (F.col("_touching") == 0) | few | F.lit(k == ZONE_ROUNDS)
+        ready = known.filter(done & ((F.col("_touching") > 0) | F.col("_inside")))
+        ready = ready.select("zone_id", "level", "cx", "cy", F.when(F.col("_touching") > 0, F.col("edges")).alias("edges"), "odd")
+        settled = ready if settled is None else settled.union(ready)
+        more = known.filter(~done)
+        if k == ZONE_ROUNDS or more.isEmpty():
+            return settled
+        part = F.explode(F.sequence(F.lit(0), F.lit(3)))
+        now = more.select("zone_id", (F.col("level") - 1).alias("level"), "edges", "odd", F.col("cx") * 4, F.col("cy") * 4).toDF("zone_id", "level", "edges", "odd", "cx", "cy")
+        now = now.withColumn("_p", part).withColumn("cx", F.col("cx") + F.col("_p")).withColumn("_p", part).withColumn("cy", F.col("cy") + F.col("_p")).drop("_p")
+
+
+def points_in_zones(points: DataFrame, zones: DataFrame, x: str = "lon", y: str = "lat") -> DataFrame:
     """Points with the ``zone_id`` of every zone that holds them.
 
     ``zones`` is (zone_id, polygon array<struct(lon, lat)>); rings under three vertices hold nothing.
-    Zones are cut into square buckets by their bounding box, points fall into one bucket, and
-    an equi-join replaces the pairwise test.
+    Every zone is covered by cells of its own size (``zone_cover``). Points meet cells in an equi-join, once for each
+    level in use; inside a filled cell they are settled, only border cells are tested, against their few edges.
     """
-    boxed = zones.filter(F.size("polygon") >= 3).select("zone_id", polygon_edges(F.col("polygon")).alias("edges")).select(
-        "zone_id", "edges",
-        F.array_min(F.transform("edges", lambda e: e["xi"])).alias("x0"),
-        F.array_max(F.transform("edges", lambda e: e["xi"])).alias("x1"),
-        F.array_min(F.transform("edges", lambda e: e["yi"])).alias("y0"),
-        F.array_max(F.transform("edges", lambda e: e["yi"])).alias("y1"),
-    )
-    if tile is None:
-        # One number from one aggregate: the largest zone is at most 17 buckets wide.
-        widest = boxed.agg(F.max(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))).alias("w")).first()["w"]
-        tile = (widest or 16.0) / 16.0 or 1.0
-    cut = boxed.withColumn("_tx", F.explode(F.sequence(F.floor(F.col("x0") / tile), F.floor(F.col("x1") / tile))))
-    cut = cut.withColumn("_ty", F.explode(F.sequence(F.floor(F.col("y0") / tile), F.floor(F.col("y1") / tile))))
-    placed = points.withColumns({"_tx": F.floor(F.col(x) / tile), "_ty": F.floor(F.col(y) / tile)})
-    met = placed.join(cut, ["_tx", "_ty"])
-    boxed_in = F.col(x).between(F.col("x0"), F.col("x1")) & F.col(y).between(F.col("y0"), F.col("y1"))
-    return met.filter(boxed_in & inside_edges(x, y, "edges")).drop("_tx", "_ty", "edges", "x0", "x1", "y0", "y1")
+    cover = cut_lineage(zone_cover(zones))
+    levels = [r["level"] for r in cover.select("level").distinct().collect()]  # one for each power of four between the smallest and the largest cell
+    if not levels:
+        return points.join(zones.select("zone_id").limit(0), F.lit(True))
+    placed = points.withColumn("level", F.explode(F.array(*map(F.lit, sorted(levels)))))
+    placed = placed.withColumns({"cx": _cell(F.col(x), F.col("level")), "cy": _cell(F.col(y), F.col("level"))})
+    met = placed.join(cover, ["level", "cx", "cy"])
+    return met.filter(F.col("edges").isNull() | inside_edges(x, y, "edges", F.col("odd"))).drop("level", "cx", "cy", "edges", "odd")
 
 
 def zone_bounds(zones: DataFrame) -> DataFrame:
@@ -292,3 +345,69 @@ def nearest_by_degrees(points: DataFrame, k: int, levels: int = 13) -> DataFrame
     answers = near.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= k).drop("_k")
     asking = points.select("id", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))
     return asking.join(answers, ["_lat", "_lon"]).select("id", "other", "d2")
+
+
+def nearest_between(left: DataFrame, right: DataFrame, right_id: str, out: str = "nearest_km", out_id: str = "nearest_id",
+                    depth: int = 12, leaf: int = 32) -> DataFrame:
+    """``left`` (lat, lon, ...) with the great-circle distance to the nearest point of ``right`` (id, lat, lon), and its id.
+
+    Exact, without a search radius. A count pyramid holds the cells of the right side, each with the bounds of its points
+    and one of them. A round opens the cells that a left spot still has to look into: the point of a cell bounds the answer
+    from above, its bounds from below, and cells that cannot hold a nearer point fall out. Cells of at most ``leaf`` spots
+    are left to one equi-join at the end. Points on one spot count once on both sides. Equal distances give the
+    lowest id; left rows without a position, and all rows when the right side is empty, get NULL.
+    """
+    spots = right.filter("lat is not null and lon is not null").groupBy("lat", "lon").agg(F.min(right_id).alias("_id"))
+    spots = cut_lineage(spots)
+    extent = spots.agg(F.min("lat").alias("s"), F.max("lat").alias("n"), F.min("lon").alias("w"), F.max("lon").alias("e"), F.count(F.lit(1)).alias("count")).first()
+    kind = dict(right.dtypes)[right_id]
+    if not extent["count"]:
+        return left.withColumns({out: F.lit(None).cast("double"), out_id: F.lit(None).cast(kind)})
+    high, wide = max(extent["n"] - extent["s"], 1e-9), max(extent["e"] - extent["w"], 1e-9)
+    depth = min(depth, max(1, math.ceil(math.log(max(2, extent["count"]), 4)) + 4))
+    finest = 4**depth
+
+    def fine(axis: str, base: float, span: float) -> Column:
+        return F.least(F.lit(finest - 1), F.floor((F.col(axis) - base) / span * finest)).cast("long")
+
+    placed = spots.withColumns({"_y": fine("lat", extent["s"], high), "_x": fine("lon", extent["w"], wide)})
+    at = placed.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(depth)))).withColumns(
+        {axis: F.floor(F.col(axis) / F.pow(F.lit(4.0), F.lit(depth) - F.col("level"))) for axis in ("_y", "_x")})
+    cells = at.groupBy("level", "_y", "_x").agg(
+        F.count(F.lit(1)).alias("n"), F.min("lat").alias("s"), F.max("lat").alias("t"), F.min("lon").alias("w"), F.max("lon").alias("e"),
+        F.min(F.struct("lat", "lon")).alias("one"),
+    )
+    cells = cut_lineage(cells.withColumn("leaf", (F.col("n") <= leaf) | (F.col("level") == depth)))
+    above = (F.floor(F.col(axis) / 4).alias(f"_up{axis}") for axis in ("_y", "_x"))
+    children = cells.select("*", *above).withColumn("_parent", F.col("level") - 1)
+
+    d_lat = F.radians(F.greatest(F.col("s") - F.col("_lat"), F.col("_lat") - F.col("t"), F.lit(0.0)))
+    turn = F.abs(F.pmod(F.col("_lon") - (F.col("w") + F.col("e")) / 2 + 180.0, F.lit(360.0)) - 180.0) - (F.col("e") - F.col("w")) / 2
+    d_lon = F.greatest(turn, F.lit(0.0))
+    # the nearest point of a box lies on its nearer meridian; a whole meridian circle is no farther
+    across = F.asin(F.least(F.lit(1.0), F.cos(F.radians("_lat")) * F.sin(F.radians(F.least(d_lon, F.lit(180.0))))))
+    least = F.greatest(d_lat, across, F.lit(0.0)) * EARTH_RADIUS_KM * (1 - 1e-9) - 1e-9
+    most = haversine_km("_lat", "_lon", "one.lat", "one.lon") * (1 + 1e-9) + 1e-9
+    asked = left.filter("lat is not null and lon is not null").select(F.col("lat").alias("_lat"), F.col("lon").alias("_lon")).distinct()
+    root = cells.filter("level = 0").select("_y", "_x", "leaf")
+    now = cut_lineage(asked.crossJoin(F.broadcast(root)).withColumns({"level": F.lit(0), "low": F.lit(0.0), "best": F.lit(float("inf"))}))  # one root cell
+    names = ["_lat", "_lon", "level", "_y", "_x", "leaf", "low", "best"]
+    per_spot = Window.partitionBy("_lat", "_lon")
+    waiting = [now.filter("leaf").select(names)]
+    for level in range(depth):
+        if now.filter("not leaf").isEmpty():
+            break
+        keys = now.filter("not leaf").select("_lat", "_lon", "best", F.col("level").alias("_parent"), F.col("_y").alias("_up_y"), F.col("_x").alias("_up_x"))
+        opened = keys.join(children.filter(F.col("level") == level + 1), ["_parent", "_up_y", "_up_x"])
+        opened = opened.withColumns({"low": least, "best": F.least(F.min(most).over(per_spot), F.col("best"))}).filter("low <= best")
+        now = cut_lineage(opened.select(names))
+        waiting.append(now.filter("leaf").select(names))
+    ends = waiting[0]
+    for part in waiting[1:]:
+        ends = ends.union(part)
+    ends = ends.withColumn("best", F.min("best").over(per_spot)).filter("low <= best").select("_lat", "_lon", "level", "_y", "_x")
+    held = at.join(cells.filter("leaf").select("level", "_y", "_x"), ["level", "_y", "_x"])
+    near = ends.join(held, ["level", "_y", "_x"]).select("_lat", "_lon", F.struct(haversine_km("_lat", "_lon", "lat", "lon").alias("km"), F.col("_id").alias("id")).alias("_p"))
+    found = near.groupBy("_lat", "_lon").agg(F.min("_p").alias("_p"))
+    met = left.join(found, (left["lat"] == found["_lat"]) & (left["lon"] == found["_lon"]), "left")
+    return met.select(*left.columns, F.col("_p.km").alias(out), F.col("_p.id").alias(out_id))

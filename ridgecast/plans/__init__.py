@@ -22,25 +22,34 @@ from ridgecast.operators.terrain import scout, top_candidates
 from ridgecast.session import cut_lineage
 
 
-def coverage_report(signal: DataFrame, grid: Grid, threshold: float, target: float, block: int = 4) -> DataFrame:
+def coverage_report(
+    signal: DataFrame, grid: Grid, threshold: float, target: float, block: int = 4,
+    zones: DataFrame | None = None, zone_target: bool = False,
+) -> DataFrame:
     """One row per selected site with the coverage of the combined raster beside it.
 
     Combines all sites, thresholds, measures the covered share, builds the site-by-cell
-    matrix and picks sites greedily until the target share of cells is covered.
+    matrix and picks sites greedily until the target share of cells is covered. With ``zones``
+    (zone_id, polygon) the covered share is that of the pixels in any zone, and ``total_pixels`` says how many these
+    are; with ``zone_target`` sites are also picked for the cells of the zones alone.
     """
     clean = cov.clean_signal(signal)
-    mask = cov.combine(clean, "best").select("row", "col", (F.col("rssi") >= F.lit(float(threshold))).alias("covered"))
-    share = cov.covered_fraction(mask, total=grid.width * grid.height).first()
+    heard = cut_lineage(cov.at_threshold(clean, threshold).select("site_id", "row", "col"))
+    mask = heard.select("row", "col").distinct().withColumn("covered", F.lit(True))
+    runs = None if zones is None else cut_lineage(cov.merged_runs(cov.zone_runs(zones, grid)))
+    share = cov.covered_fraction(mask, total=grid.width * grid.height) if runs is None else cov.zone_fraction(mask, runs)
     n_cells = cov.block_cells(grid, block)
-    picks = greedy_picks(cov.coverage_matrix(clean, grid, threshold, block), target_cells=target_count(target, n_cells))
+    matrix = heard.select("site_id", cov.cell_id(grid, block).alias("cell_id")).distinct()
+    cells = None
+    if runs is not None and zone_target:
+        cells = cut_lineage(cov.run_cells(runs, grid, block))
+        n_cells = cells.count()
+    picks = greedy_picks(matrix, target_cells=target_count(target, n_cells), cells=cells)
     selection = selection_frame(signal.sparkSession, picks)
-    return selection.withColumns(
-        {
-            "selected_fraction": F.col("covered_after") / F.lit(float(n_cells)),
-            "covered_pixels": F.lit(share["covered_cells"]).cast("long"),
-            "covered_fraction": F.lit(share["covered_fraction"]),
-        }
-    )
+    found = share.select(F.col("covered_cells").alias("covered_pixels"), F.col("total_cells").alias("total_pixels"), "covered_fraction")
+    rest = ["covered_pixels", *(["total_pixels"] if runs is not None else []), "covered_fraction"]
+    chosen = F.lit(0.0) if not n_cells else F.col("covered_after") / F.lit(float(n_cells))
+    return selection.withColumn("selected_fraction", chosen).crossJoin(F.broadcast(found.select(*rest)))  # one row
 
 
 def candidate_matrix(

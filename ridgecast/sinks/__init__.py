@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ridgecast.functions.geo import Grid, round_half_up
 from ridgecast.functions.text import fixed_text, number_text, xml_escape
+from ridgecast.operators.agreement import pass_counts
 from ridgecast.operators.coverage import downsample_mask, masked_export
-from ridgecast.operators.spatial import pairs_within
+from ridgecast.operators.spatial import nearest_between
+from ridgecast.session import cut_lineage
 
 
 def _json_number(value: Column) -> Column:
@@ -218,6 +220,28 @@ def validation_lines(results: DataFrame) -> DataFrame:
     return results.select("site_id", F.when(F.col("error").isNotNull(), bad).otherwise(fine).alias("line"))
 
 
+def validation_report(results: DataFrame, generated: str) -> DataFrame:
+    """(pos, line) of the whole report: title, time ``generated``, totals, then the numbered sites by site_id.
+
+    Numbers are counted range by range, with what earlier ranges hold added.
+    """
+    spark = results.sparkSession
+    stored = cut_lineage(validation_lines(results).repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "site_id")
+                         .sortWithinPartitions("site_id").withColumn("_m", F.monotonically_increasing_id()))
+    held = stored.groupBy(F.shiftright("_m", 33).alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
+    starts = held.select("_p", before.alias("_before"))  # one row a range
+    within = F.col("_m").bitwiseAND((1 << 33) - 1)
+    numbered = stored.withColumn("_p", F.shiftright("_m", 33)).join(F.broadcast(starts), "_p").select((F.col("_before") + within + 1).alias("_i"), "line")
+    head = pass_counts(results)
+    total, rule = F.col("total").cast("string"), F.lit("=" * 60)
+    lines = [rule, F.lit("Coverage Validation Report"), F.lit(f"Generated: {generated}"), F.concat(F.lit("Sites validated: "), total), rule,
+             F.concat(F.lit("Passed: "), F.col("passed").cast("string"), F.lit("/"), total), F.concat(F.lit("Failed: "), F.col("failed").cast("string"), F.lit("/"), total), F.lit("")]
+    top = head.select(F.posexplode(F.array(*lines)).alias("pos", "line")).select(F.col("pos").cast("long").alias("pos"), "line")
+    text = F.concat(F.lit("  ["), F.col("_i").cast("string"), F.lit("] "), F.col("line"))
+    return top.union(numbered.select((F.col("_i") + 7).alias("pos"), text.alias("line")))
+
+
 def write_lines(lines: DataFrame, column: str, path: str) -> None:
     lines.select(F.col(column).alias("value")).write.mode("overwrite").text(path)
 
@@ -228,14 +252,13 @@ def write_masked_raster(signal: DataFrame, threshold: float, path: str) -> None:
     spread.write.mode("overwrite").partitionBy("site_id").parquet(path)
 
 
-def candidate_scores(candidates: DataFrame, uncovered: DataFrame, search_km: float) -> DataFrame:
-    """Candidates with distance to the nearest uncovered point within ``search_km`` and an infrastructure flag.
+def candidate_scores(candidates: DataFrame, uncovered: DataFrame) -> DataFrame:
+    """Candidates with the distance to the nearest uncovered point, however far it is, and an infrastructure flag.
 
-    ``candidates`` is (site_id, lat, lon, elev, notes), ``uncovered`` (poi_id, lat, lon).
+    ``candidates`` is (site_id, lat, lon, elev, notes), ``uncovered`` (poi_id, lat, lon). Without uncovered points
+    the distance is NULL.
     """
-    near = pairs_within(candidates, uncovered, search_km, {"site_id": "site_id"}, {"poi_id": "poi_id"})
-    nearest = near.groupBy("site_id").agg(F.min("distance_km").alias("nearest_poi_km"))
-    scored = candidates.join(nearest, "site_id", "left")
+    scored = nearest_between(candidates, uncovered, "poi_id", "nearest_poi_km", "nearest_poi")
     return scored.withColumns(
         {
             "nearest_poi_km": round_half_up("nearest_poi_km", 6),

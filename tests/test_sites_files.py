@@ -128,10 +128,34 @@ def test_agreement_values(spark):
     assert [row[k] for k in ("tp", "tn", "fp", "fn")] == [4, 4, 4, 4]
     assert [row[k] for k in ag.METRICS] == [0.5, 0.5, 0.5, 0.5, 0.3333] and row["rating"] == "poor"
     names = spark.createDataFrame([(1, "a"), (2, "b")], "site_id long, name string")
-    counts = ag.pass_counts(ag.validate_sites(names, p, r)).first()
+    size = spark.createDataFrame([(1, 4, 4)], "site_id long, width long, height long")
+    counts = ag.pass_counts(ag.validate_sites(names, p, r, size, size)).first()
     assert tuple(counts) == (2, 0, 2)
 
 
+def test_validation_of_sizes_and_report(spark):
+    """A raster of another size is an error row, sparse pixels are not; the report ends with numbered sites."""
+    good = [(s, r, c, -80.0) for s in range(1, 7) for r in range(4) for c in range(4) if s != 5]
+    pixels = spark.createDataFrame(good, "site_id long, row int, col int, rssi double")
+    sparse = pixels.filter("site_id <> 2 or row < 3")
+    names = spark.createDataFrame([(k, f"s{k}") for k in range(1, 8)], "site_id long, name string")
+    schema = "site_id long, width long, height long"
+    ours = spark.createDataFrame([(k, 4, 4) for k in (1, 2, 3, 4, 5, 6)], schema)
+    theirs = spark.createDataFrame([(1, 4, 4), (2, 4, 4), (3, 4, 5), (4, 2, 8), (5, 4, 4), (7, 4, 4)], schema)
+    results = ag.validate_sites(names, pixels, sparse, ours, theirs)
+    got = {r["site_id"]: r for r in results.collect()}
+    assert [got[k]["error"] for k in range(1, 8)] == [
+        None, None, "Shape mismatch: predicted length 16 vs reference length 20", "Shape mismatch: predicted 4 x 4 vs reference 2 x 8",
+        "No valid (finite) pixels to compare", "Reference raster not found", "Predicted raster not found"]
+    assert got[2]["jaccard"] == 1.0 and got[3]["jaccard"] is None and {r["site_id"]: r["same_shape"] for r in ag.shape_check(ours, theirs).collect()} == {
+        1: True, 2: True, 3: False, 4: False, 5: True, 6: None, 7: None}
+    lines = [r["line"] for r in sinks.validation_report(results, "now").orderBy("pos").collect()]
+    assert lines[:9] == ["=" * 60, "Coverage Validation Report", "Generated: now", "Sites validated: 7", "=" * 60, "Passed: 2/7", "Failed: 5/7", "",
+                         "  [1] s1: PASS (F1=1.000, Jaccard=1.000, Accuracy=1.000)"]
+    assert lines[-1] == "  [7] s7: ERROR - Predicted raster not found" and len(lines) == 15
+    assert [r["line"] for r in sinks.validation_report(results.filter("false"), "now").orderBy("pos").collect()][5] == "Passed: 0/0"
+
+
 def test_grid_and_tiles(spark):
     box = spark.createDataFrame([(0.0, 0.0, 2.0, 2.0), (1.0, 1.0, 1.0, 2.0)], "west double, south double, east double, north double")
     names = sorted(r["name"] for r in candidate_grid(box, 111.32, "Test").collect())
