@@ -15,23 +15,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ridgecast.llm import exchange, tables
-from ridgecast.llm.graph import components, cross_pairs, leader_pairs, near, open_blocks, top_pairs
+from ridgecast.llm.graph import components, cross_pairs, leader_pairs, near, open_blocks
 from ridgecast.llm.text import chunks, mix, with_columns
-from ridgecast.session import cut_lineage
+from ridgecast.session import cut_lineage, forget
 
 CHARS = 5
 #: Two lines link when 100 * shared shingles >= PERCENT * all shingles of both.
 PERCENT = 80
-#: A pair at the threshold meets in some band with a chance of 1 - (1 - 0.8 ** ROWS) ** BANDS = 0.9996.
-BANDS, ROWS = 20, 5
+#: Each band joins ROWS of HASHES minima, all used about equally often. Lines that are not alike seldom meet in a band
+#: of seven, and a pair at the threshold meets in some band with a chance of 0.997, one at 0.85 with 0.9999.
+BANDS, ROWS, HASHES = 32, 7, 100
 BLANK = " \t\n\x0b\x0c\r"
 HAS_WORD = r"[^\x20\x09-\x0D]"
 
 _draw = np.random.default_rng(71)
-_A = _draw.integers(0, 2**31, BANDS * ROWS, np.uint32) * np.uint32(2) + np.uint32(1)
-_B = _draw.integers(0, 2**32, BANDS * ROWS, np.uint32)
+_A = _draw.integers(0, 2**31, HASHES, np.uint32) * np.uint32(2) + np.uint32(1)
+_B = _draw.integers(0, 2**32, HASHES, np.uint32)
 _PLACE = _draw.integers(0, 2**63, 16, np.uint64) * np.uint64(2) + np.uint64(1)
 
+_SEEDS = np.arange(1, BANDS + 1, dtype=np.uint64) * _PLACE[15]
+_CHOSEN: list[np.ndarray] = []
+while len(_CHOSEN) < BANDS:
+    _CHOSEN += np.split(_draw.permutation(HASHES)[: HASHES // ROWS * ROWS], HASHES // ROWS)
+_CHOSEN = _CHOSEN[:BANDS]
+
 
 def line_key(line: bytes) -> int:
     """What Spark's ``xxhash64`` gives for the line as a string."""
@@ -62,15 +69,15 @@ def band_prints(lines: list[str], k: int = CHARS) -> np.ndarray:
     """One 64-bit print per line and band."""
     h, starts = shingle_hashes(lines, k)
     h = (h >> np.uint64(32)).astype(np.uint32)
-    out = np.empty((len(lines), BANDS), np.uint64)
+    least = np.empty((HASHES, len(lines)), np.uint64)
     scratch = np.empty_like(h)
-    for band in range(BANDS):
-        total = np.full(len(lines), band + 1, np.uint64) * _PLACE[15]
-        for row in range(ROWS):
-            np.multiply(h, _A[band * ROWS + row], out=scratch)
-            scratch += _B[band * ROWS + row]
-            total += np.minimum.reduceat(scratch, starts).astype(np.uint64) * _PLACE[row]
-        out[:, band] = mix(total)
+    for k in range(HASHES):
+        np.multiply(h, _A[k], out=scratch)
+        scratch += _B[k]
+        least[k] = np.minimum.reduceat(scratch, starts)
+    out = np.empty((len(lines), BANDS), np.uint64)
+    for band, chosen in enumerate(_CHOSEN):
+        out[:, band] = mix((least[chosen] * _PLACE[:ROWS, None]).sum(0) + _SEEDS[band])
     return out
 
 
@@ -96,9 +103,17 @@ def _packed_bands(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(lambda batches: exchange.by_print(entries(batches), n), exchange.PACKED)
 
 
+#: A row's id and a 128-bit print of its text: what two rows of one id and other texts are told apart by.
+ROW = ["doc_id", "_p", "_q"]
+
+
+def with_prints(docs: DataFrame) -> DataFrame:
+    return docs.withColumns({"_p": F.xxhash64("text"), "_q": F.xxhash64(F.lit(7), "text")})
+
+
 def lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, line, key) of every line with a word; rows without an id have no lines."""
-    split = docs.filter("doc_id is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    """(ROW, line_no, line, key) of every line with a word; rows without an id have no lines."""
+    split = with_prints(docs.filter("doc_id is not null")).select(*ROW, F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     return split.filter(F.col("line").rlike(HAS_WORD)).withColumn("key", F.xxhash64("line"))
 
 
@@ -159,31 +174,37 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def line_components(docs: DataFrame) -> DataFrame:
     """(key, component) of the lines that link to a different one.
 
-    Each line is tried with one leader of its bands, then with the largest component it meets there, then with
-    all lines of its bands in other components.
+    Each line is tried with the leader of most of its bands. Lines that resemble their leader are one group with it; then
+    lines of one band and different groups are tried, those of its largest group only with the rest. All links that
+    hold go into one union of components.
     """
     nodes = cut_lineage(exchange.ranked_nodes(exchange.shared(_packed_bands(docs), repeats=True)))
     blocks = nodes.select(F.explode("keys").alias("key"), "node", "rank")
-    found = lines(docs).join(tables.maybe_broadcast(nodes.select(F.col("node").alias("key")), 16), "key", "left_semi")
+    found = lines(docs).join(tables.maybe_broadcast(nodes.select(F.col("node").alias("key")), 48), "key", "left_semi")
     texts = cut_lineage(described(found.groupBy("key").agg(F.first("line").alias("line"))))
-    labels = cut_lineage(components(cut_lineage(verified(leader_pairs(blocks), texts))))
-    tried = cut_lineage(top_pairs(open_blocks(blocks, labels)))
-    labels = cut_lineage(components(labels.toDF("a", "b").union(cut_lineage(verified(tried, texts)))))
+    led = cut_lineage(verified(leader_pairs(blocks), texts))
+    above = led.select(F.col("b").alias("a"), F.col("a").alias("top"))
+    labels = cut_lineage(led.join(above, "a", "left").select(F.col("b").alias("node"), F.coalesce("top", "a").alias("component")))
     facts = texts.select(F.col("key").alias("node"), "n", "alone", "bits").join(nodes.select("node", "keys"), "node")
     more = cut_lineage(verified(cross_pairs(open_blocks(blocks, labels), facts, PERCENT), texts))
-    return (components(labels.toDF("a", "b").union(more)) if more.take(1) else labels).toDF("key", "component")
+    joined = cut_lineage(components(led.union(more)).toDF("key", "component"))
+    forget(nodes, texts, led, labels, more)
+    return joined
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, gone): the numbers of the lines that repeat an earlier line of their component."""
+    """(ROW, gone): the numbers of the lines that repeat an earlier line of their component."""
     docs = docs.select("doc_id", "text")
-    labels = cut_lineage(line_components(docs))
-    place = lines(docs).select("doc_id", "line_no", "key")
-    grouped = place.join(tables.maybe_broadcast(labels, 24), "key", "left").select("doc_id", "line_no", F.coalesce("component", "key").alias("g"))
+    labels = line_components(docs)
+    place = lines(docs).select(*ROW, "line_no", "key")
+    grouped = place.join(tables.maybe_broadcast(labels, 48), "key", "left").select(*ROW, "line_no", F.coalesce("component", "key").alias("g"))
     grouped = cut_lineage(grouped)
-    first = grouped.groupBy("g").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    later = grouped.join(first, "g").filter("struct(doc_id, line_no) != first")
-    return later.groupBy("doc_id").agg(F.collect_set("line_no").alias("gone"))
+    spot = F.struct(*ROW, "line_no")
+    first = cut_lineage(grouped.groupBy("g").agg(F.min(spot).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
+    later = grouped.join(tables.maybe_broadcast(first, 96), "g").filter(spot != F.col("first"))
+    gone = cut_lineage(later.groupBy(*ROW).agg(F.collect_set("line_no").alias("gone")))
+    forget(labels, grouped, first)
+    return gone
 
 
 MADE = "n_lines bigint, n_removed bigint"
@@ -194,14 +215,18 @@ def line_dedup(docs: DataFrame) -> DataFrame:
 
     Order is by doc_id, then line. Blank lines stay. A document may end up empty; no row is dropped. Null
     texts and rows without a doc_id pass unchanged and take part in nothing. Rows that repeat one doc_id and text
-    count as one occurrence. Input columns named as a made column are replaced.
+    count as one occurrence; rows of one doc_id and other texts are documents of their own, in the order of their
+    prints. Input columns named as a made column are replaced.
     """
-    gone = cut_lineage(removed_lines(docs))
-    size = gone.agg(F.sum(F.size("gone") + 4)).first()[0] or 0
+    gone = removed_lines(docs)
+    size = gone.agg(F.sum(F.size("gone") + 8)).first()[0] or 0
     held = F.broadcast(gone) if 16 * size <= tables.BROADCAST_BYTES else gone
     source, schema = tables.appended(docs, MADE)
-    mark = "gone" + "_" * max(map(len, docs.columns))  # no input column has this name
-    joined = source.join(held.withColumnRenamed("gone", mark), "doc_id", "left").select(*source.columns, mark)
+    tail = "_" * max(map(len, docs.columns))  # no input column has such names
+    mark, p, q = f"gone{tail}", f"p{tail}", f"q{tail}"
+    marked = source.withColumns({p: F.xxhash64("text"), q: F.xxhash64(F.lit(7), "text")})
+    names = {"gone": mark, "_p": p, "_q": q}
+    joined = marked.join(held.withColumnsRenamed(names), ["doc_id", p, q], "left").select(*source.columns, mark)
     out_schema = tables.arrow(schema)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,4 +244,5 @@ def line_dedup(docs: DataFrame) -> DataFrame:
 
 
 def stage(docs: DataFrame) -> DataFrame:
+    """``line_dedup`` for a pipeline: the same rows and columns, texts without repeated lines."""
     return line_dedup(docs).select(*docs.columns)
