@@ -221,3 +221,21 @@ def test_pipeline(spark, tmp_path):
         assert docs.count() > 0.5 * before.count()
     assert corpus_pipeline.run(spark, sf_dir).select("doc_id").distinct().count() == docs.count()
     assert docs.agg(F.sum("n_chars")).first()[0] > 0
+
+
+def test_suffix_dedup_of_two_texts_on_one_id(spark):
+    """Rows of one doc_id and other texts lose only what a smaller doc_id has; equal rows are one document."""
+    draw = random.Random(9)
+    a, b, c = (" ".join(draw.choices(WORDS, k=40)) for _ in range(3))
+    rows = [(0, a), (1, f"{a} and more"), (1, f"other {b}"), (1, f"other {b}"), (1, f"{b} again"), (2, f"{b} {c}"), (3, c), (2, c[:60])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = sorted((r.doc_id, bytes(r.kept)) for r in suffix_dedup.suffix_dedup(docs).collect())
+
+    def left(k, text):
+        raw = text.encode()
+        seen = {t.encode()[i : i + 50] for d, t in rows if d < k for i in range(len(t.encode()) - 49)}
+        gone = {j for i in range(len(raw) - 49) if raw[i : i + 50] in seen for j in range(i, i + 50)}
+        return bytes(x for i, x in enumerate(raw) if i not in gone)
+
+    assert got == sorted((k, left(k, t)) for k, t in rows)
+    assert (1, f"other {b}".encode()) in got
