@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 # Rasters whose decoded blocks stay below this size may be broadcast.
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -53,6 +55,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_and_count(df: DataFrame, condition: str = "true") -> tuple[DataFrame, int]:
+    """``cut_lineage``, and how many rows meet a condition, counted while they are written.
+
+    A plan that is known to be empty has nothing to observe; then the stored table is asked.
+    """
+    seen = Observation()
+    stored = cut_lineage(df.observe(seen, F.count_if(F.expr(condition)).alias("n")))
+    try:
+        return stored, seen.get["n"]
+    except Py4JJavaError:
+        return stored, stored.filter(condition).count()
+
+
 def forget(*tables: DataFrame) -> None:
     """Deletes tables that ``cut_lineage`` stored, once nothing reads them any more."""
     for df in tables:

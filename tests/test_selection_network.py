@@ -166,3 +166,62 @@ def test_bridging_equals_brute_force(spark):
         costs.append((d[a] + d[b], c))
     want = min(costs)
     assert ([(r["cost"], r["candidate"]) for r in best] or [(math.inf, None)])[0][0] == want[0]
+
+
+@pytest.mark.parametrize("few", [3, 10_000])
+def test_forest_of_many_tasks(spark, monkeypatch, few):
+    """Edges thinned task by task, with rounds of contraction as long as too many are left."""
+    monkeypatch.setattr(net, "FINISH_EDGES", few)
+    rng = random.Random(8)
+    n = 60
+    edges = [(a, b, float(rng.randint(1, 9))) for a in range(n) for b in range(a + 1, n) if rng.random() < 0.08] + [(5, 5, 0.1)]
+    members = spark.createDataFrame([(i,) for i in range(n + 2)], "site_id long")
+    tree, comps = net.spanning_forest(members, links(spark, edges).repartition(5))
+    want, roots = kruskal(n + 2, [e for e in edges if e[0] != e[1]])
+    assert sorted((r["src"], r["dst"]) for r in tree.collect()) == sorted(want)
+    lowest = {r: min(i for i in range(n + 2) if roots[i] == r) for r in set(roots)}
+    assert {r["site_id"]: r["component"] for r in comps.collect()} == {i: lowest[roots[i]] for i in range(n + 2)}
+    none, alone = net.spanning_forest(members, links(spark, edges).filter("false"))
+    assert none.count() == 0 and alone.filter("site_id = component").count() == n + 2
+
+
+def walk(peaks, km):
+    """(ord, lat, lon) kept one after another."""
+    kept = []
+    for k, lat, lon in sorted(peaks):
+        def far(other):
+            p, q = math.radians(lat), math.radians(other[1])
+            h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(other[2] - lon) / 2) ** 2
+            return 2 * 6371.0 * math.asin(math.sqrt(min(1.0, h))) >= km
+        if all(far(o) for o in kept):
+            kept.append((k, lat, lon))
+    return {k for k, _, _ in kept}
+
+
+def rounds_of(monkeypatch):
+    made = []
+    whole = net.cut_lineage
+    monkeypatch.setattr(net, "cut_lineage", lambda df: made.append(1) or whole(df))
+    return made
+
+
+def test_suppression_of_a_long_chain(spark, monkeypatch):
+    """10,000 peaks that ascend along a line, each near the next two, take few rounds, not thousands."""
+    chain = [(k, 10.0, 20.0 + k * 0.004) for k in range(10_000)]
+    frame = spark.createDataFrame(chain, "ord long, lat double, lon double").repartition(6)
+    made = rounds_of(monkeypatch)
+    got = {r["ord"] for r in net.suppress_by_distance(frame, 1.0).collect()}
+    step = next(k for k in range(1, 9) if 2 * 6371.0 * math.asin(math.cos(math.radians(10.0)) * math.sin(math.radians(0.002 * k))) >= 1.0)
+    assert got == set(range(0, 10_000, step)) and len(made) <= 4
+
+
+@pytest.mark.parametrize("cell", [5, 20_000])
+def test_suppression_everywhere(spark, monkeypatch, cell):
+    monkeypatch.setattr(net, "CELL_PEAKS", cell)
+    rng = random.Random(cell)
+    spots = [(rng.uniform(-90, 90), rng.uniform(-180, 180)) for _ in range(60)] + [(rng.gauss(89.9, 0.2) % 90, rng.uniform(-180, 180)) for _ in range(80)]
+    spots += [(rng.gauss(5, 0.3), (rng.gauss(180, 0.3) + 180) % 360 - 180) for _ in range(200)] + [(1.0, 1.0)] * 5
+    peaks = [(k, *p) for k, p in enumerate(rng.sample(spots, len(spots)))]
+    frame = spark.createDataFrame(peaks, "ord long, lat double, lon double").repartition(3)
+    assert {r["ord"] for r in net.suppress_by_distance(frame, 25.0).collect()} == walk(peaks, 25.0)
+    assert net.suppress_by_distance(frame.filter("false"), 25.0).count() == 0 and net.suppress_by_distance(frame, 0.0).count() == len(peaks)
