@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -54,9 +54,7 @@ def greedy_picks(
 
     while not done():
         chosen = [p[1] for p in picks]
-        gains = remaining.groupBy("site_id").agg(F.count(F.lit(1)).alias("gain"))
-        if chosen:
-            gains = gains.filter(~F.col("site_id").isin(chosen))
+        gains = remaining.groupBy("site_id").agg(F.count(F.lit(1)).alias("gain"))  # a picked site has no cell left
         linked = F.lit(0)
         if links is not None and chosen:
             reached = links.filter(F.col("src").isin(chosen)).select(F.col("dst").alias("site_id")).distinct()
@@ -127,6 +125,66 @@ def greedy_picks(
     return picks
 
 
+def greedy_runs(matrix: DataFrame, goals: dict[int, tuple[int | None, int | None]], batch: int = 16) -> dict[int, list[tuple[int, int, int, int]]]:
+    """Exact greedy orders of several runs in one loop: run to (rank, site_id, gain, covered_after).
+
+    ``matrix`` is (run, site_id, cell_id), ``goals`` the cells to cover and the sites to pick at most, by run. The state,
+    cells that are left, is keyed by run; a pass continues every run that is not done, as ``greedy_picks`` does with one, so
+    there are as many passes as the longest run needs. At most 2 ** batch rows a run come back.
+    """
+    spark = matrix.sparkSession
+    remaining = cut_lineage(matrix.select(F.col("run").cast("int").alias("run"), "site_id", "cell_id").distinct())
+    picks: dict[int, list[tuple[int, int, int, int]]] = {run: [] for run in goals}
+
+    def open_still(run: int) -> bool:
+        cells, sites = goals[run]
+        covered = picks[run][-1][3] if picks[run] else 0
+        return not (cells is not None and covered >= cells or sites is not None and len(picks[run]) >= sites)
+
+    live = {run for run in goals if open_still(run)}
+    order = Window.partitionBy("run").orderBy(F.desc("gain"), "site_id")
+    while live:
+        gains = remaining.groupBy("run", "site_id").agg(F.count(F.lit(1)).alias("gain"))
+        found = gains.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= batch + 1).collect()
+        tops: dict[int, list] = {run: [] for run in live}
+        for r in sorted(found, key=lambda r: r["_k"]):
+            if r["run"] in live:
+                tops[r["run"]].append((r["site_id"], r["gain"]))
+        live = {run for run in live if tops[run]}
+        if not live:
+            break
+        rows = [(run, site, 1 << i) for run in live for i, (site, _) in enumerate(tops[run][:batch])]
+        slots = F.broadcast(spark.createDataFrame(rows, "run int, site_id long, bit long"))
+        reach = remaining.join(slots, ["run", "site_id"]).groupBy("run", "cell_id").agg(F.bit_or("bit").alias("mask"))
+        counted: dict[int, dict[int, int]] = {run: {} for run in live}
+        for r in reach.groupBy("run", "mask").agg(F.count(F.lit(1)).alias("n")).collect():
+            counted[r["run"]][r["mask"]] = r["n"]
+        taken = []
+        for run in sorted(live):
+            ids = [site for site, _ in tops[run][:batch]]
+            outside = tops[run][batch] if len(tops[run]) > batch else None
+            masks = np.array(list(counted[run]), dtype=np.int64)
+            counts = np.array(list(counted[run].values()), dtype=np.int64)
+            free = dict(enumerate(ids))
+            while free and open_still(run):
+                gain, site, i = max((int(counts[(masks >> i) & 1 == 1].sum()), -site, i) for i, site in free.items())
+                site = -site
+                if gain == 0 or len(free) < len(ids) and outside is not None and (gain, -site) < (outside[1], -outside[0]):
+                    break  # a site outside may give more now; it never gives more than it did
+                covered = picks[run][-1][3] if picks[run] else 0
+                picks[run].append((len(picks[run]) + 1, site, gain, covered + gain))
+                taken.append((run, site))
+                del free[i]
+                counts = np.where((masks >> i) & 1 == 1, 0, counts)
+        live = {run for run in live if open_still(run)}
+        if live:
+            chosen = F.broadcast(spark.createDataFrame(taken, "run int, site_id long"))
+            gone = remaining.join(chosen, ["run", "site_id"]).select("run", "cell_id").distinct()
+            kept = remaining.filter(F.col("run").isin(list(live))).join(gone, ["run", "cell_id"], "left_anti")
+            remaining = cut_lineage(kept.select("run", "site_id", "cell_id"))
+    return picks
+
+
 def target_count(target: float, n_cells: int) -> int:
     return math.ceil(target * n_cells)
 
@@ -182,45 +240,45 @@ def distinct_scenarios(scenarios: DataFrame) -> DataFrame:
     return first.select("name", "s.*").select(*scenarios.columns)
 
 
+def _scenario_runs(scenarios: DataFrame, matrix: DataFrame | None, matrix_at) -> tuple[list, dict[float | None, int], DataFrame]:
+    """The distinct scenarios, the number of each run, and the matrices of all runs: one for every threshold, or one for all."""
+    kept = distinct_scenarios(scenarios).orderBy("pos").collect()
+    numbers = {key: n for n, key in enumerate(dict.fromkeys(s["threshold"] if matrix_at else None for s in kept))}
+    whole = None
+    for key, n in numbers.items():
+        part = (matrix_at(key) if matrix_at else matrix).select(F.lit(n).alias("run"), "site_id", "cell_id")
+        whole = part if whole is None else whole.union(part)
+    return kept, numbers, whole
+
+
 def sensitivity_min_sites(scenarios: DataFrame, n_cells: int, matrix: DataFrame | None = None, matrix_at=None) -> DataFrame:
     """(pos, name, n_sites, covered_fraction, status) per scenario.
 
     With ``matrix`` every scenario reuses it and only its target matters; the picks for a
     lower target are a prefix of those for a higher one, so a single greedy run serves all.
-    With ``matrix_at(threshold)`` each distinct threshold gets its own matrix and run.
+    With ``matrix_at(threshold)`` each distinct threshold has its own matrix and run; all runs advance in one loop.
     """
-    spark = scenarios.sparkSession
-    kept = distinct_scenarios(scenarios).orderBy("pos").collect()
-    groups: dict[float | None, list] = {}
-    for s in kept:
-        groups.setdefault(s["threshold"] if matrix_at else None, []).append(s)
+    kept, numbers, whole = _scenario_runs(scenarios, matrix, matrix_at)
+    need = {s["pos"]: target_count(s["target"], n_cells) for s in kept}
+    goals = {n: (max(need[s["pos"]] for s in kept if not matrix_at or s["threshold"] == key), None) for key, n in numbers.items()}
+    runs = greedy_runs(whole, goals) if kept else {}
     out = []
-    for threshold, members in groups.items():
-        source = matrix_at(threshold) if matrix_at else matrix
-        goal = max(target_count(s["target"], n_cells) for s in members)
-        picks = greedy_picks(source, target_cells=goal)
-        for s in members:
-            need = target_count(s["target"], n_cells)
-            used = [p for p in picks if p[3] - p[2] < need]
-            covered = used[-1][3] if used else 0
-            out.append((s["pos"], s["name"], len(used), covered / n_cells if n_cells else 0.0,
-                        "Optimal" if covered >= need else "Feasible"))
-    return spark.createDataFrame(out, "pos int, name string, n_sites long, covered_fraction double, status string")
+    for s in kept:
+        used = [p for p in runs[numbers[s["threshold"] if matrix_at else None]] if p[3] - p[2] < need[s["pos"]]]
+        covered = used[-1][3] if used else 0
+        out.append((s["pos"], s["name"], len(used), covered / n_cells if n_cells else 0.0, "Optimal" if covered >= need[s["pos"]] else "Feasible"))
+    return scenarios.sparkSession.createDataFrame(out, "pos int, name string, n_sites long, covered_fraction double, status string")
 
 
 def sensitivity_max_coverage(scenarios: DataFrame, n_cells: int, n_sites: int, matrix: DataFrame | None = None, matrix_at=None) -> DataFrame:
     """As above for a fixed number of sites, which is capped at the sites the matrix has."""
-    spark = scenarios.sparkSession
-    kept = distinct_scenarios(scenarios).orderBy("pos").collect()
-    runs: dict[float | None, list] = {}
+    kept, numbers, whole = _scenario_runs(scenarios, matrix, matrix_at)
+    runs = greedy_runs(whole, {n: (None, n_sites) for n in numbers.values()}) if kept else {}
     out = []
     for s in kept:
-        key = s["threshold"] if matrix_at else None
-        if key not in runs:
-            runs[key] = greedy_picks(matrix_at(key) if matrix_at else matrix, max_sites=n_sites)
-        picks = runs[key]
+        picks = runs[numbers[s["threshold"] if matrix_at else None]]
         out.append((s["pos"], s["name"], len(picks), picks[-1][3] / n_cells if picks else 0.0, "Optimal"))
-    return spark.createDataFrame(out, "pos int, name string, n_sites long, covered_fraction double, status string")
+    return scenarios.sparkSession.createDataFrame(out, "pos int, name string, n_sites long, covered_fraction double, status string")
 
 
 def scenario_spread(results: DataFrame) -> DataFrame:

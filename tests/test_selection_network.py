@@ -225,3 +225,36 @@ def test_suppression_everywhere(spark, monkeypatch, cell):
     frame = spark.createDataFrame(peaks, "ord long, lat double, lon double").repartition(3)
     assert {r["ord"] for r in net.suppress_by_distance(frame, 25.0).collect()} == walk(peaks, 25.0)
     assert net.suppress_by_distance(frame.filter("false"), 25.0).count() == 0 and net.suppress_by_distance(frame, 0.0).count() == len(peaks)
+
+
+@pytest.mark.parametrize("batch", [2, 16])
+def test_runs_advance_together(spark, monkeypatch, batch):
+    """Runs over several matrices equal single ones, and the loop is as long as the longest of them."""
+    rng = random.Random(batch)
+    sites = {run: [rng.sample(range(60), rng.randint(1, 9)) for _ in range(25)] for run in range(3)}
+    rows = [(run, s, c) for run, table in sites.items() for s, cells in enumerate(table) for c in cells]
+    goals = {0: (50, None), 1: (20, None), 2: (None, 7)}
+    passes = []
+    whole = sel.cut_lineage
+    monkeypatch.setattr(sel, "cut_lineage", lambda df: passes.append(1) or whole(df))
+    picks = sel.greedy_runs(spark.createDataFrame(rows, "run int, site_id long, cell_id long"), goals, batch)
+    together = len(passes)
+    assert [p[1] for p in picks[0]] == brute_greedy(sites[0], 50) and [p[1] for p in picks[1]] == brute_greedy(sites[1], 20)
+    assert [p[1] for p in picks[2]] == brute_greedy(sites[2], 60)[:7]
+    alone = []
+    for run, goal in goals.items():
+        passes.clear()
+        sel.greedy_runs(spark.createDataFrame([r for r in rows if r[0] == run], "run int, site_id long, cell_id long"), {run: goal}, batch)
+        alone.append(len(passes))
+    assert together == max(alone)
+    assert sel.greedy_runs(spark.createDataFrame([], "run int, site_id long, cell_id long"), {0: (5, None)}) == {0: []}
+
+
+def test_rethreshold_and_fixed_number(spark):
+    rng = random.Random(4)
+    tables = {t: [rng.sample(range(30), 5) for _ in range(10)] for t in (-90.0, -80.0)}
+    scen = spark.createDataFrame([(0, "a", -90.0, 0.9), (1, "b", -80.0, 0.5), (2, "c", -90.0, 0.3)], sel.SCENARIO_SCHEMA)
+    got = {r["name"]: r["n_sites"] for r in sel.sensitivity_min_sites(scen, 30, matrix_at=lambda t: matrix(spark, tables[t])).collect()}
+    assert got == {"a": len(brute_greedy(tables[-90.0], 27)), "b": len(brute_greedy(tables[-80.0], 15)), "c": len(brute_greedy(tables[-90.0], 9))}
+    fixed = {r["name"]: r["n_sites"] for r in sel.sensitivity_max_coverage(scen, 30, 3, matrix_at=lambda t: matrix(spark, tables[t])).collect()}
+    assert fixed == {"a": 3, "b": 3, "c": 3}
