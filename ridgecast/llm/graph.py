@@ -74,6 +74,20 @@ def top_pairs(rows: DataFrame) -> DataFrame:
     return _closest(rows.filter("c != top").join(inside, "key").select("node", "a"))
 
 
+def hooked(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (node, component) after links (a, b), each the only one of its b: what b belonged to goes to a's component.
+
+    Nodes of one component are linked; those of two may be, as a component that others went to can go on itself.
+    """
+    own, other = (labels.select(F.col("node").alias(m), F.col("component").alias(f"{m}_c")) for m in "ab")
+    ends = links.join(own, "a", "left").join(other, "b", "left").select(F.coalesce("b_c", "b").alias("component"), F.coalesce("a_c", "a").alias("to"))
+    moved = ends.filter("component != to").groupBy("component").agg(F.min("to").alias("to"))
+    alone = moved.select(F.col("component").alias("node"), "component").join(labels.select("node"), "node", "left_anti")
+    every = labels.union(alone).join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    above = moved.select(F.col("component"), F.col("to").alias("over"))  # one step further, where a's component goes on
+    return every.join(above, "component", "left").select("node", F.coalesce("over", "component").alias("component"))
+
+
 def near(percent: int, x: str, y: str) -> str:
     """SQL: whether two sets can have that Jaccard similarity, by size and by a lower bound of their difference.
 

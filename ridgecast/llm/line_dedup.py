@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ridgecast.llm import exchange, tables
-from ridgecast.llm.graph import components, cross_pairs, leader_pairs, near, open_blocks
+from ridgecast.llm.graph import components, cross_pairs, hooked, leader_pairs, near, open_blocks, top_pairs
 from ridgecast.llm.text import chunks, mix, with_columns
 from ridgecast.session import cut_lineage, forget
 
@@ -23,8 +23,8 @@ CHARS = 5
 #: Two lines link when 100 * shared shingles >= PERCENT * all shingles of both.
 PERCENT = 80
 #: Each band joins ROWS of HASHES minima, all used about equally often. Lines that are not alike seldom meet in a band
-#: of seven, and a pair at the threshold meets in some band with a chance of 0.997, one at 0.85 with 0.9999.
-BANDS, ROWS, HASHES = 32, 7, 100
+#: of seven, and a pair at the threshold meets in some band with a chance of 0.996, one at 0.85 with 0.9998.
+BANDS, ROWS, HASHES = 32, 7, 84
 BLANK = " \t\n\x0b\x0c\r"
 HAS_WORD = r"[^\x20\x09-\x0D]"
 
@@ -86,7 +86,7 @@ def _packed_bands(docs: DataFrame) -> DataFrame:
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         met: set[int] = set()
-        for _, texts in chunks(batches, 1 << 19):
+        for _, texts in chunks(batches, 1 << 17):
             new: dict[int, str] = {}
             for text in texts:
                 for line in (text or "").split("\n"):
@@ -174,21 +174,22 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def line_components(docs: DataFrame) -> DataFrame:
     """(key, component) of the lines that link to a different one.
 
-    Each line is tried with the leader of most of its bands. Lines that resemble their leader are one group with it; then
-    lines of one band and different groups are tried, those of its largest group only with the rest. All links that
-    hold go into one union of components.
+    Each line is tried with the leader of most of its bands, then with one line of the largest group that it meets there.
+    Lines that resemble the one they were tried with are of its group; then lines of one band and different groups are
+    tried, those of the largest group only with the rest. All links that hold go into one union of components.
     """
     nodes = cut_lineage(exchange.ranked_nodes(exchange.shared(_packed_bands(docs), repeats=True)))
     blocks = nodes.select(F.explode("keys").alias("key"), "node", "rank")
     found = lines(docs).join(tables.maybe_broadcast(nodes.select(F.col("node").alias("key")), 48), "key", "left_semi")
     texts = cut_lineage(described(found.groupBy("key").agg(F.first("line").alias("line"))))
     led = cut_lineage(verified(leader_pairs(blocks), texts))
-    above = led.select(F.col("b").alias("a"), F.col("a").alias("top"))
-    labels = cut_lineage(led.join(above, "a", "left").select(F.col("b").alias("node"), F.coalesce("top", "a").alias("component")))
+    labels = cut_lineage(hooked(led.select(F.col("b").alias("node"), F.col("a").alias("component")).limit(0), led))
+    tried = cut_lineage(verified(cut_lineage(top_pairs(open_blocks(blocks, labels))), texts))
+    groups = cut_lineage(hooked(labels, tried))
     facts = texts.select(F.col("key").alias("node"), "n", "alone", "bits").join(nodes.select("node", "keys"), "node")
-    more = cut_lineage(verified(cross_pairs(open_blocks(blocks, labels), facts, PERCENT), texts))
-    joined = cut_lineage(components(led.union(more)).toDF("key", "component"))
-    forget(nodes, texts, led, labels, more)
+    more = cut_lineage(verified(cross_pairs(open_blocks(blocks, groups), facts, PERCENT), texts))
+    joined = cut_lineage(components(led.union(tried).union(more)).toDF("key", "component"))
+    forget(nodes, texts, led, labels, tried, groups, more)
     return joined
 
 
@@ -221,26 +222,19 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     gone = removed_lines(docs)
     size = gone.agg(F.sum(F.size("gone") + 8)).first()[0] or 0
     held = F.broadcast(gone) if 16 * size <= tables.BROADCAST_BYTES else gone
-    source, schema = tables.appended(docs, MADE)
+    source, _ = tables.appended(docs, MADE)
     tail = "_" * max(map(len, docs.columns))  # no input column has such names
     mark, p, q = f"gone{tail}", f"p{tail}", f"q{tail}"
     marked = source.withColumns({p: F.xxhash64("text"), q: F.xxhash64(F.lit(7), "text")})
     names = {"gone": mark, "_p": p, "_q": q}
     joined = marked.join(held.withColumnsRenamed(names), ["doc_id", p, q], "left").select(*source.columns, mark)
-    out_schema = tables.arrow(schema)
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece, texts in chunks(batches):
-            kept, total, removed = [], [], []
-            for text, marks in zip(texts, piece.column(piece.schema.get_field_index(mark)).to_pylist(), strict=True):
-                parts = (text or "").split("\n")
-                total.append(sum(1 for p in parts if p.strip(BLANK)))
-                removed.append(len(marks or ()))
-                away = set(marks or ())
-                kept.append(text if not away else "\n".join(p for k, p in enumerate(parts) if k not in away))
-            yield with_columns(piece, {"text": kept, "n_lines": total, "n_removed": removed}, out_schema)
-
-    return joined.mapInArrow(cut, schema)
+    parts = F.split("text", "\n")
+    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), mark)  # line numbers; a row with marks has a line at least
+    kept = F.when(F.col(mark).isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda k: F.get(parts, k)), "\n"))
+    n_lines = F.coalesce(F.size(F.filter(parts, lambda x: x.rlike(HAS_WORD))), F.lit(0)).cast("bigint")
+    n_removed = F.coalesce(F.size(mark), F.lit(0)).cast("bigint")
+    made = {"text": kept, "n_lines": F.when(F.col("text").isNull(), F.lit(0)).otherwise(n_lines), "n_removed": F.when(F.col(mark).isNull(), F.lit(0)).otherwise(n_removed)}
+    return joined.select(*[made.pop(c.lower()).alias(c) if c.lower() == "text" else F.col(c) for c in source.columns], *[v.alias(n) for n, v in made.items()])
 
 
 def stage(docs: DataFrame) -> DataFrame:
