@@ -27,7 +27,7 @@ def buckets(df: DataFrame, to_a_partition: int = 4) -> int:
     return to_a_partition * tables.partitions(df.sparkSession)
 
 
-def _ids(a: np.ndarray) -> bytes:
+def pack_ids(a: np.ndarray) -> bytes:
     """Whole numbers as differences in the narrowest type that holds them all."""
     d = np.diff(a)
     low, high = (int(d.min()), int(d.max())) if len(d) else (0, 0)
@@ -35,7 +35,8 @@ def _ids(a: np.ndarray) -> bytes:
     return bytes([width]) + a[:1].tobytes() + d.astype(f"<i{width}").tobytes()
 
 
-def _read_ids(raw: bytes) -> np.ndarray:
+def unpack_ids(raw: bytes) -> np.ndarray:
+    """What ``pack_ids`` packed."""
     out = np.frombuffer(raw, "<i8", 1, 1)
     return np.concatenate((out, np.frombuffer(raw, f"<i{raw[0]}", -1, 9))).cumsum()
 
@@ -50,7 +51,7 @@ def _rows(bucket: np.ndarray, owners: np.ndarray, prints: np.ndarray, counts: np
     counts = None if counts is None else counts[order]
     edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
     for part in range(0, len(edges) - 1, 512):
-        rows = [(int(bucket[a]), _ids(owners[a:b]), prints[a:b].tobytes(), b"" if counts is None else counts[a:b].tobytes())
+        rows = [(int(bucket[a]), pack_ids(owners[a:b]), prints[a:b].tobytes(), b"" if counts is None else counts[a:b].tobytes())
                 for a, b in zip(edges[part : part + 512].tolist(), edges[part + 1 : part + 513].tolist())]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _PACKED.types, strict=True)], schema=_PACKED)
 
@@ -85,7 +86,7 @@ def _buckets(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[tuple[int
     rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
     for bucket, group in groupby(rows, key=lambda r: r[0]):
         _, owners, prints, counts = zip(*group)
-        yield (bucket, np.concatenate([_read_ids(o) for o in owners]), np.concatenate([np.frombuffer(p, kind) for p in prints]),
+        yield (bucket, np.concatenate([unpack_ids(o) for o in owners]), np.concatenate([np.frombuffer(p, kind) for p in prints]),
                np.frombuffer(b"".join(counts), np.int32))
 
 

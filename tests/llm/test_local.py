@@ -138,6 +138,6 @@ def test_arc_lengths_rule(version):
 
 def test_packed_ids_and_line_keys():
     for a in ([5], [-3, 2**40, 7], list(range(300))):
-        assert exchange._read_ids(exchange._ids(np.array(a, np.int64))).tolist() == a
+        assert exchange.unpack_ids(exchange.pack_ids(np.array(a, np.int64))).tolist() == a
     same = line_dedup.band_prints(["abcd", "abcd", "xyz", "a longer line of text"])
     assert (same[0] == same[1]).all() and (same[0] != same[2]).all()
