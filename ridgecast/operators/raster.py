@@ -8,10 +8,15 @@ equi-join row instead of four, and focal filters need no further shuffle.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ridgecast.functions.geo import (
     Grid,
@@ -323,20 +328,63 @@ def _disc_expressions(grid: Grid, radius: int, size: int) -> tuple[str, str, str
     return at.replace("k div", "cast(k as int) div"), peak, peak.replace("array_max", "array_min")
 
 
-def focal_extremes(pixels: DataFrame, grid: Grid, radius: int, value: str = "elev", size: int = 32) -> DataFrame:
+def _running_max(rows: np.ndarray, width: int) -> np.ndarray:
+    """Maximum over ``width`` cells from each cell on, along rows: block prefixes and suffixes, two passes whatever the width."""
+    n = rows.shape[1]
+    padded = np.full((rows.shape[0], -(-n // width) * width), -np.inf)
+    padded[:, :n] = rows
+    blocks = padded.reshape(rows.shape[0], -1, width)
+    prefix = np.maximum.accumulate(blocks, 2).reshape(padded.shape)
+    suffix = np.maximum.accumulate(blocks[:, :, ::-1], 2)[:, :, ::-1].reshape(padded.shape)
+    return np.maximum(suffix[:, : n - width + 1], prefix[:, width - 1 : n])
+
+
+def _disc_max(cells: np.ndarray, radius: int) -> np.ndarray:
+    """Maximum over a disc around every cell that has the whole disc inside: a look at one run a row, 2 * radius + 1 in all."""
+    size = cells.shape[0] - 2 * radius
+    runs: dict[int, np.ndarray] = {}
+    out = np.full((size, size), -np.inf)
+    for dr in range(-radius, radius + 1):
+        half = math.isqrt(radius * radius - dr * dr)
+        if half not in runs:
+            runs[half] = _running_max(cells, 2 * half + 1)
+        row, col = radius + dr, radius - half
+        np.maximum(out, runs[half][row : row + size, col : col + size], out=out)
+    return out
+
+
+def focal_extremes(pixels: DataFrame, grid: Grid, radius: int, value: str = "elev", size: int | None = None) -> DataFrame:
     """(row, col, value, focal_max, focal_min) over a disc; missing pixels are ignored.
 
-    One shuffle builds blocks with a halo of ``radius``; the disc is then a few array slices.
+    One shuffle builds blocks with a halo of ``radius``; blocks grow with the radius, so halos at most triple a block's
+    side until it is 512 pixels. Inside a block every run of a disc's row comes from running maxima, so a pixel costs one lookup for
+    each row of the disc.
     """
+    size = size or max(32, min(512, radius))
     blocks = to_blocks(pixels, grid, value, size, lead=radius, trail=radius)
-    at, high, low = _disc_expressions(grid, radius, size)
-    present = f"filter(sequence(0, {size * size - 1}), k -> get(vals, cast({at} as int)) is not null)"
-    each = blocks.select("brow", "bcol", "vals", F.explode(F.expr(present)).alias("k"))
-    return each.select(
-        F.expr(f"cast(brow * {size} + k div {size} as int)").alias("row"),
-        F.expr(f"cast(bcol * {size} + k % {size} as int)").alias("col"),
-        F.expr(f"get(vals, cast({at} as int))").alias(value), F.expr(high).alias("focal_max"), F.expr(low).alias("focal_min"),
-    )
+    stride = size + 2 * radius
+    kind = T.StructField(value, dict((f.name, f.dataType) for f in pixels.schema)[value])
+    fields = [T.StructField("row", T.IntegerType()), T.StructField("col", T.IntegerType()), kind]
+    schema = T.StructType([*fields, *(T.StructField(n, kind.dataType) for n in ("focal_max", "focal_min"))])
+    out = to_arrow_schema(schema)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                brow, bcol = (batch.column(c)[k].as_py() for c in (0, 1))
+                found = batch.column(2)[k].values.cast(pa.float64()).to_numpy(zero_copy_only=False)  # missing pixels are NaN
+                cells = np.full(stride * stride, np.nan)
+                cells[: len(found)] = found
+                cells = cells.reshape(stride, stride)
+                missing = np.isnan(cells)
+                high = _disc_max(np.where(missing, -np.inf, cells), radius)
+                low = -_disc_max(np.where(missing, -np.inf, -cells), radius)
+                own = cells[radius : radius + size, radius : radius + size]
+                r, c = np.nonzero(~np.isnan(own))
+                columns = (r + brow * size, c + bcol * size, own[r, c], high[r, c], low[r, c])
+                yield pa.RecordBatch.from_arrays([pa.array(v).cast(f.type) for v, f in zip(columns, out, strict=True)], schema=out)
+
+    return blocks.select("brow", "bcol", "vals").mapInArrow(work, schema)
 
 
 def local_maxima(pixels: DataFrame, grid: Grid, radius: int, value: str = "elev", size: int = 64) -> DataFrame:

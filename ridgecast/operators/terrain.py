@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +17,7 @@ from ridgecast.functions.geo import (
 )
 from ridgecast.operators.network import suppress_by_distance
 from ridgecast.operators.raster import BlockRaster, local_maxima, valid_elevation
+from ridgecast.operators.rays import fold_rays
 from ridgecast.operators.spatial import nearest_by_degrees, sample_lattice
 from ridgecast.session import cut_lineage
 
@@ -51,17 +53,18 @@ def profiles(links: DataFrame, raster: BlockRaster, n: int = PROFILE_SAMPLES, ke
     """Per link: elevations (0 where missing) and distances as arrays of ``n``, total distance, valid-sample statistics."""
     with_total = links.withColumn("distance_km", haversine_km("lat1", "lon1", "lat2", "lon2"))
     slim = with_total.select(*keys, "lat1", "lon1", "lat2", "lon2", "distance_km")
-    sampled = link_samples(slim, raster, n)
-    entry = F.struct("i", F.coalesce("elev", F.lit(0.0)).alias("z"), (F.col("distance_km") * F.col("frac")).alias("d"))
-    folded = sampled.groupBy(*keys, "distance_km").agg(
-        F.sort_array(F.collect_list(entry)).alias("_p"),
-        F.coalesce(F.max("elev"), F.lit(0.0)).alias("max_elev"),
-        F.coalesce(F.min("elev"), F.lit(0.0)).alias("min_elev"),
-        F.coalesce(F.avg("elev"), F.lit(0.0)).alias("avg_elev"),
-    )
+    fractions = even_fractions(n)
+    parts = fold_rays(slim, raster, fractions, (*keys, "distance_km"), (), None)
+    pieces = F.arrays_zip("i", "z")
+    folded = parts.groupBy(*keys, "distance_km").agg(F.sort_array(F.flatten(F.collect_list(pieces))).alias("_p")).withColumn("_z", F.col("_p.z"))
+    known = F.filter("_z", lambda v: v.isNotNull())
+    total = F.aggregate(known, F.lit(0.0), lambda x, y: x + y)
+    steps = F.array(*[F.lit(f) for f in fractions])
     return folded.select(
-        *keys, "distance_km", F.col("_p.z").alias("elevations"), F.col("_p.d").alias("distances_km"),
-        "max_elev", "min_elev", "avg_elev",
+        *keys, "distance_km", F.transform("_z", lambda v: F.coalesce(v, F.lit(0.0))).alias("elevations"),
+        F.transform(steps, lambda f: f * F.col("distance_km")).alias("distances_km"),
+        F.coalesce(F.array_max(known), F.lit(0.0)).alias("max_elev"), F.coalesce(F.array_min(known), F.lit(0.0)).alias("min_elev"),
+        F.when(F.size(known) > 0, total / F.size(known)).otherwise(F.lit(0.0)).alias("avg_elev"),
     )
 
 
@@ -69,44 +72,43 @@ def line_of_sight(links: DataFrame, raster: BlockRaster, n: int = PROFILE_SAMPLE
     """(src, dst, los_clear): terrain plus 4/3-earth drop stays under the straight line between ground heights.
 
     ``links`` is (src, dst, lat1, lon1, elev1, lat2, lon2, elev2, distance_km). Missing terrain
-    counts as 0 m, the tolerance is 1e-9 m, links under a metre are clear.
+    counts as 0 m, the tolerance is 1e-9 m, links under a metre are clear; links without a height at an end are not judged.
     """
+    def clear(link: dict[str, np.ndarray], frac: np.ndarray, z: np.ndarray) -> np.ndarray:
+        metres = frac * link["distance_km"] * 1000.0
+        sight = link["elev1"] + frac * (link["elev2"] - link["elev1"])
+        free = np.where(np.isnan(z), 0.0, z) + metres * metres / (2.0 * EFFECTIVE_RADIUS_M) <= sight + 1e-9
+        return np.where(link["distance_km"] * 1000.0 < 1, 1.0, np.where(np.isnan(sight), np.nan, free))
+
     inner = [i / (n - 1) for i in range(1, n - 1)]
-    sampled = sample_at(densify(links, inner), raster)
-    metres = F.col("frac") * F.col("distance_km") * 1000.0
-    drop = metres * metres / (2.0 * EFFECTIVE_RADIUS_M)
-    sight = F.col("elev1") + F.col("frac") * (F.col("elev2") - F.col("elev1"))
-    clear = (F.col("distance_km") * 1000.0 < 1) | (F.coalesce("elev", F.lit(0.0)) + drop <= sight + 1e-9)
-    return sampled.groupBy("src", "dst").agg(F.bool_and(clear).alias("los_clear"))
+    parts = fold_rays(links, raster, inner, ("src", "dst"), ("elev1", "elev2", "distance_km"), clear)
+    return parts.groupBy("src", "dst").agg((F.min("value") > 0).alias("los_clear"))
 
 
 def viewshed_rank(peaks: DataFrame, raster: BlockRaster, box: tuple[float, float, float, float], density: int = 50) -> DataFrame:
     """(site_id, viewshed_rank): share of an n x n lattice over the box that the ground at the peak sees.
 
     Nine inner points per ray; missing terrain blocks, compare is strict. A peak off the
-    raster sees nothing.
+    raster sees nothing. The lattice is one for all peaks, so its heights are looked up once.
     """
     west, south, east, north = box
-    own = sample_at(peaks.select("site_id", "lat", "lon"), raster, "elev1")
-    framed = own.select(
-        "site_id", "elev1", F.col("lat").alias("lat1"), F.col("lon").alias("lon1"),
-        F.lit(west).alias("west"), F.lit(south).alias("south"), F.lit(east).alias("east"), F.lit(north).alias("north"),
-    )
-    rays = sample_lattice(framed, density).select(
-        "site_id", "sample", "elev1", "lat1", "lon1", F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), "lat", "lon"
-    )
-    ends = sample_at(rays, raster, "elev2").drop("lat", "lon")
-    # Rays that end on missing terrain, or start on it, are settled before their inner points are made.
-    known = ends.filter("elev1 is not null and elev2 is not null").withColumn(
-        "_m", haversine_km("lat1", "lon1", "lat2", "lon2") * 1000.0
-    )
-    tasks = int(known.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    known = known.repartition(tasks, "site_id", "sample")  # also the key of the fold below
-    walked = sample_at(densify(known, [k / 10 for k in range(1, 10)]), raster)
-    metres = F.col("frac") * F.col("_m")
-    sight = F.col("elev1") + F.col("frac") * (F.col("elev2") - F.col("elev1"))
-    free = F.coalesce(F.col("elev") + metres * metres / (2.0 * EFFECTIVE_RADIUS_M) <= sight, F.lit(False))
-    seen = walked.groupBy("site_id", "sample").agg(F.bool_and((F.col("_m") < 1) | free).alias("visible"))
+    own = sample_at(peaks.select("site_id", "lat", "lon"), raster, "elev1").filter("elev1 is not null")
+    frame = peaks.sparkSession.range(1).select(F.lit(west).alias("west"), F.lit(south).alias("south"), F.lit(east).alias("east"), F.lit(north).alias("north"))
+    lattice = sample_at(sample_lattice(frame, density).select("sample", "lat", "lon"), raster, "elev2").filter("elev2 is not null")
+    goals = lattice.agg(F.collect_list(F.struct("sample", F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), "elev2")).alias("_g"))  # density squared entries
+    tasks = int(peaks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    starts = own.select("site_id", "elev1", F.col("lat").alias("lat1"), F.col("lon").alias("lon1")).repartition(tasks, "site_id")
+    rays = starts.crossJoin(F.broadcast(goals)).select("*", F.inline("_g")).drop("_g")
+
+    def free(ray: dict[str, np.ndarray], frac: np.ndarray, z: np.ndarray) -> np.ndarray:
+        whole = ray["arc"] * EARTH_RADIUS_KM * 1000.0
+        metres = frac * whole
+        sight = ray["elev1"] + frac * (ray["elev2"] - ray["elev1"])
+        with np.errstate(invalid="ignore"):
+            return (whole < 1) | (z + metres * metres / (2.0 * EFFECTIVE_RADIUS_M) <= sight)
+
+    parts = fold_rays(rays, raster, [k / 10 for k in range(1, 10)], ("site_id", "sample"), ("elev1", "elev2"), free)
+    seen = parts.groupBy("site_id", "sample").agg((F.min("value") > 0).alias("visible"))
     share = seen.groupBy("site_id").agg((F.count_if("visible") / F.lit(float(density * density))).alias("viewshed_rank"))
     return peaks.select("site_id").join(share, "site_id", "left").select(
         "site_id", F.coalesce("viewshed_rank", F.lit(0.0)).alias("viewshed_rank")
@@ -141,8 +143,8 @@ def ordered_peaks(found: DataFrame, grid: Grid, value: str = "elev") -> DataFram
 
 def _lowest_on_paths(paths: DataFrame, raster: BlockRaster, n: int) -> DataFrame:
     """(ord, saddle): per peak the highest of the path minima; paths without terrain do not count."""
-    walked = sample_at(densify(paths, even_fractions(n)), raster, "z", "strict")
-    lows = walked.groupBy("ord", "target").agg(F.min("z").alias("low"))
+    lows = fold_rays(paths, raster, even_fractions(n), ("ord", "target"), (), lambda path, frac, z: z, "strict")
+    lows = lows.groupBy("ord", "target").agg(F.min("value").alias("low"))
     return lows.groupBy("ord").agg(F.max("low").alias("saddle"))
 
 

@@ -1,6 +1,7 @@
 """Blocks, focal filters, hilltops, path loss against numpy and published values."""
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -139,3 +140,16 @@ def test_page_counts_absent_pixels_as_zero(spark):
     page = rs.resample_page(one, grid, 36, -83, 20).collect()
     assert len(page) == 400 and all(r["elev"] is not None for r in page)
     assert max(r["elev"] for r in page) > 0 and sum(r["elev"] == 0 for r in page) > 390
+
+
+@pytest.mark.parametrize("radius", [1, 3, 100])
+def test_focal_extremes_of_any_radius(spark, radius):
+    rng = random.Random(radius)
+    h, w = 70, 90
+    cells = {(r, c): float(rng.randint(0, 500)) for r in range(h) for c in range(w) if rng.random() > 0.1}
+    frame = spark.createDataFrame([(r, c, z) for (r, c), z in cells.items()], "row int, col int, elev double")
+    got = {(r["row"], r["col"]): (r["elev"], r["focal_max"], r["focal_min"]) for r in rs.focal_extremes(frame, Grid(0.1, 0.0, -0.1, 1.0, w, h), radius).collect()}
+    assert set(got) == set(cells)
+    for r, c in rng.sample(sorted(cells), 60):
+        near = [z for (i, j), z in cells.items() if (i - r) ** 2 + (j - c) ** 2 <= radius * radius]
+        assert got[r, c] == (cells[r, c], max(near), min(near))
