@@ -274,11 +274,11 @@ def viewshed_sql(tops: str, n: int) -> str:
       ranks as materialized (select t.site_id, coalesce(count(*) filter (visible), 0) / {float(n * n)} as viewshed_rank from {tops} t left join seen s on s.site_id = t.site_id group by 1)"""
 
 
-@query("job4_viewshed_rank", f"with {peaks_sql(5)}, tops as materialized (select ord as site_id, -0.0003::DOUBLE * row + 35.80::DOUBLE as lat, 0.0003::DOUBLE * col + -82.90::DOUBLE as lon from summits), {viewshed_sql('tops', 12)} select site_id, {rnd('viewshed_rank')} as viewshed_rank from ranks", ("rough", "dims"))
+@query("job4_viewshed_rank", f"with {peaks_sql(5)}, tops as materialized (select ord as site_id, -0.0003::DOUBLE * row + 35.80::DOUBLE as lat, 0.0003::DOUBLE * col + -82.90::DOUBLE as lon from summits), {viewshed_sql('tops', 50)} select site_id, {rnd('viewshed_rank')} as viewshed_rank from ranks", ("rough", "dims"))
 def _viewshed(spark, sf):
     tops = peaks(spark, sf).select(F.col("ord").alias("site_id"), "lat", "lon")
     grid = fx.fine_grid(spark, sf)
-    return ter.viewshed_rank(tops, fine_raster(spark, sf, "rough"), grid.bounds, 12).withColumns(r6("viewshed_rank"))
+    return ter.viewshed_rank(tops, fine_raster(spark, sf, "rough"), grid.bounds, 50).withColumns(r6("viewshed_rank"))
 
 
 def renamed(sql: str, prefix: str, *names: str) -> str:
@@ -289,20 +289,20 @@ def renamed(sql: str, prefix: str, *names: str) -> str:
 
 
 SCOUT = f"""{peaks_sql(5)}, {HIGHER}, {PROMINENCE.replace('ends as', 'pends as').replace('arcs', 'parcs').replace('from ends', 'from pends').replace('steps', 'psteps')}, {hilltop_sql(20.0, ROUGH_KM, 120)},
-  hills as materialized (select ord as site_id, row, col, elev, lat, lon, prominence from k120), {renamed(viewshed_sql('hills', 12), 'v', 'own', 'ends', 'arcs', 'rays', 'met')},
-  scouted as materialized (select h.*, viewshed_rank from hills h join ranks using (site_id) order by viewshed_rank desc, site_id limit 20)"""
+  hills as materialized (select ord as site_id, row, col, elev, lat, lon, prominence from k120), {renamed(viewshed_sql('hills', 50), 'v', 'own', 'ends', 'arcs', 'rays', 'met')},
+  scouted as materialized (select h.*, viewshed_rank from hills h join ranks using (site_id) )"""
 
 
 @query("job9_scout", f"with {SCOUT} select site_id, row::BIGINT as row, col::BIGINT as col, {rnd('prominence', 3)} as prominence, {rnd('viewshed_rank')} as viewshed_rank from scouted", ("rough", "dims"))
 def _scout(spark, sf):
-    best = ter.scout(dem(spark, sf, "rough"), fx.fine_grid(spark, sf), None, 20.0, 20, 12, ROUGH_KM)
+    best = ter.scout(dem(spark, sf, "rough"), fx.fine_grid(spark, sf), None, 20.0, None, 50, ROUGH_KM)
     return best.select("site_id", "row", "col", round_half_up("prominence", 3).alias("prominence"), round_half_up("viewshed_rank", 6).alias("viewshed_rank"))
 
 
-@query("agg13_visible_fraction", f"with {peaks_sql(8)}, tops as materialized (select ord as site_id, -0.0003::DOUBLE * row + 35.80::DOUBLE as lat, 0.0003::DOUBLE * col + -82.90::DOUBLE as lon from summits), {viewshed_sql('tops', 20)} select site_id, {rnd('viewshed_rank')} as viewshed_rank from ranks", ("rough", "dims"))
+@query("agg13_visible_fraction", f"with {peaks_sql(8)}, tops as materialized (select ord as site_id, -0.0003::DOUBLE * row + 35.80::DOUBLE as lat, 0.0003::DOUBLE * col + -82.90::DOUBLE as lon from summits), {viewshed_sql('tops', 50)} select site_id, {rnd('viewshed_rank')} as viewshed_rank from ranks", ("rough", "dims"))
 def _visible(spark, sf):
     tops = peaks(spark, sf, 8).select(F.col("ord").alias("site_id"), "lat", "lon")
-    return ter.viewshed_rank(tops, fine_raster(spark, sf, "rough"), fx.fine_grid(spark, sf).bounds, 20).withColumns(r6("viewshed_rank"))
+    return ter.viewshed_rank(tops, fine_raster(spark, sf, "rough"), fx.fine_grid(spark, sf).bounds, 50).withColumns(r6("viewshed_rank"))
 
 
 @query("srt3_top_candidates", """select site_id, viewshed_rank from (select c_custkey as site_id, floor(abs(c_acctbal)) % 97 / 97.0::DOUBLE as viewshed_rank from customer) c order by viewshed_rank desc, site_id limit 50""")
@@ -373,12 +373,12 @@ FS_SWEEP = """{sweep}, px as (select *, floor((lat2 - 35.805) / (-0.51::DOUBLE /
   far as (select site_id, row, col, {km} as d from kept),
   swept as materialized (select site_id, row, col, rssi from own, dims where row >= 0 and row < w and col >= 0 and col < w union all
     select site_id, row, col, floor((22.0 - floor((32.45 + 20 * log10(907.0::DOUBLE) + 20 * log10(d)) * 10 + 0.5) / 10 + 0.0 - 0.5) * 10 + 0.5) / 10 from far)"""
-FREE_SWEEP = FS_SWEEP.format(sweep=SWEEP.format(n=24, radials=24, sites="sites"), sites="sites", km=haversine("lat", "lon", "lat2", "lon2"))
+FREE_SWEEP = FS_SWEEP.format(sweep=SWEEP.format(n=150, radials=360, sites="sites"), sites="sites", km=haversine("lat", "lon", "lat2", "lon2"))
 
 
 @query("job5_sweep_free_space", f"with {FREE_SWEEP} select site_id, row, col, rssi from swept", ("sites", "dims"))
 def _free_sweep(spark, sf):
-    return sw.coverage_sweep(fx.fixture(spark, sf, "sites"), fx.region_grid(spark, sf), params_with(), 5.0, 24)
+    return sw.coverage_sweep(fx.fixture(spark, sf, "sites"), fx.region_grid(spark, sf), params_with())
 
 
 @query("snk7_transmitter_pixels", f"with {FREE_SWEEP} select site_id, row, col, rssi from own, dims where row >= 0 and row < w and col >= 0 and col < w", ("sites", "dims"))
@@ -402,21 +402,21 @@ GAPS = f"""{{swept}}, cells as (select s.site_id, s.lat as lat1, s.lon as lon1,
   pairs_h as materialized (select site_id, row, col, max(v) filter (side = 'l') as lv, max(v) filter (side = 'r') as rv from hits group by 1, 2, 3),
   filled as materialized (select p.site_id, p.row, p.col, case when lv is not null and rv is not null then lv + (rv - lv) * least(1, greatest(0, (bear - la) / (case when ra - la < 0 then ra - la + 360 else ra - la end))) else coalesce(lv, rv) end as rssi
     from pairs_h p join slots s using (site_id, row, col) union all select site_id, row, col, rssi from swept)"""
-SWEEP_GAPS = GAPS.format(swept=FREE_SWEEP, sites="sites", km=5.0, radials=24)
+SWEEP_GAPS = GAPS.format(swept=FREE_SWEEP, sites="sites", km=30.0, radials=360)
 
 
 @query("jn13_radial_probes", f"with {SWEEP_GAPS} select site_id, row, col, lv as left_rssi, rv as right_rssi from pairs_h", ("sites", "dims"))
 def _probes(spark, sf):
     grid, points = fx.region_grid(spark, sf), fx.fixture(spark, sf, "sites")
-    swept = cut_lineage(sw.coverage_sweep(points, grid, params_with(), 5.0, 24))
-    return sw.radial_probes(points, swept, grid, 5.0, 24).select("site_id", "row", "col", "left_rssi", "right_rssi")
+    swept = cut_lineage(sw.coverage_sweep(points, grid, params_with()))
+    return sw.radial_probes(points, swept, grid, 30.0).select("site_id", "row", "col", "left_rssi", "right_rssi")
 
 
 @query("job6_gap_fill", f"with {SWEEP_GAPS} select site_id, row, col, {rnd('rssi', 4)} as rssi from filled", ("sites", "dims"))
 def _fill(spark, sf):
     grid, points = fx.region_grid(spark, sf), fx.fixture(spark, sf, "sites")
-    swept = cut_lineage(sw.coverage_sweep(points, grid, params_with(), 5.0, 24))
-    return sw.fill_gaps(points, swept, grid, 5.0, 24).withColumn("rssi", round_half_up("rssi", 4))
+    swept = cut_lineage(sw.coverage_sweep(points, grid, params_with()))
+    return sw.fill_gaps(points, swept, grid, 30.0).withColumn("rssi", round_half_up("rssi", 4))
 
 
 # --- plans ---------------------------------------------------------------------------
