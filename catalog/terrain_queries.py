@@ -427,23 +427,22 @@ def sites_as_candidates(spark, sf):
     return fx.fixture(spark, sf, "sites").withColumn("viewshed_rank", F.col("site_id") * 37 % 101 / F.lit(101.0))
 
 
-CANDIDATES = "chosen as materialized (select * from sites order by (site_id * 37 % 101) / 101.0::DOUBLE desc, site_id limit 50)"
+CANDIDATES = "chosen as materialized (select * from sites)"
 CHOSEN_GAPS = GAPS.format(
-    swept=FS_SWEEP.format(sweep=SWEEP.format(n=24, radials=24, sites="chosen"), sites="chosen", km=haversine("lat", "lon", "lat2", "lon2")),
-    sites="chosen", km=5.0, radials=24,
+    swept=FS_SWEEP.format(sweep=SWEEP.format(n=150, radials=360, sites="chosen"), sites="chosen", km=haversine("lat", "lon", "lat2", "lon2")),
+    sites="chosen", km=30.0, radials=360,
 )
 
 
 @query("job11_candidate_matrix", f"with {CANDIDATES}, {CHOSEN_GAPS} select distinct site_id, (row // 4) * ceil(w / 4.0)::BIGINT + col // 4 as cell_id from filled cross join dims where rssi >= -82", ("sites", "dims"))
 def _candidate_matrix(spark, sf):
     grid = fx.region_grid(spark, sf)
-    return plans.candidate_matrix(sites_as_candidates(spark, sf), grid, params_with(), 5.0, -82.0, 24, 50)[0]
+    return plans.candidate_matrix(sites_as_candidates(spark, sf), grid, params_with(), threshold=-82.0)[0]
 
 
 def planned(spark, sf):
     return plans.mesh_plan(
-        dem(spark, sf, "rough"), fx.fine_grid(spark, sf), params_with(), max_km=1.6, threshold=-70.0,
-        target=0.8, n_radials=72, min_prominence=20.0, density=12, min_distance_km=ROUGH_KM, max_peaks=60, top_n=20,
+        dem(spark, sf, "rough"), fx.fine_grid(spark, sf), params_with(), threshold=-70.0, min_prominence=20.0, min_distance_km=ROUGH_KM,
     )
 
 
@@ -456,11 +455,11 @@ def fine(sql: str) -> str:
 
 
 PLAN_SWEEP = fine(GAPS.format(
-    swept=FS_SWEEP.format(sweep=SWEEP.format(n=8, radials=72, sites="chosen"), sites="chosen", km=haversine("lat", "lon", "lat2", "lon2")),
-    sites="chosen", km=1.6, radials=72,
+    swept=FS_SWEEP.format(sweep=SWEEP.format(n=150, radials=360, sites="chosen"), sites="chosen", km=haversine("lat", "lon", "lat2", "lon2")),
+    sites="chosen", km=30.0, radials=360,
 ))
 PLAN_LINKS = f"""lends as materialized (select * from (select a.site_id as src, b.site_id as dst, a.lat as lat1, a.lon as lon1, a.elev as elev1, b.lat as lat2, b.lon as lon2, b.elev as elev2,
-    {haversine('a.lat', 'a.lon', 'b.lat', 'b.lon')} as km from scouted a join scouted b on a.site_id < b.site_id) q where km <= 1.6 and km >= 0.001),
+    {haversine('a.lat', 'a.lon', 'b.lat', 'b.lon')} as km from scouted a join scouted b on a.site_id < b.site_id) q where km <= 30 and km >= 0.001),
   larcs as materialized (select *, km / 6371.0::DOUBLE as arc from lends), lsteps as (select *, i / 99.0::DOUBLE as frac from larcs cross join range(1, 99) t(i)),
   lz as materialized (select * from {bilinear_sql(pixel_sql(slerp_sql('lsteps', 'frac'), FINE, 'src, dst, frac, arc, km, elev1, elev2'), 'rough', 'z')} q),
   links as materialized (select src, dst, {rnd('max(km)', 1)} as distance_km, bool_and(arc * 6371000 < 1 or coalesce(z, 0) + pow(frac * arc * 6371000, 2) / (2 * 6371000.0::DOUBLE * 4 / 3) <= elev1 + frac * (elev2 - elev1) + 1e-9) as los_clear from lz group by 1, 2)"""
@@ -470,7 +469,7 @@ SUMMARY = """picks as materialized (select * from p20 where rank > 0), inner_lin
   comps as (select count(distinct c) as k from (select site_id, min(node) as c from reach group by 1) m)"""
 
 
-@query("job13_mesh_plan_free_space", f"""with recursive {SCOUT.replace('limit 20)', 'limit 60)')}, {PLAN_LINKS}, chosen as materialized (select * from scouted order by viewshed_rank desc, site_id limit 20), {PLAN_SWEEP},
+@query("job13_mesh_plan_free_space", f"""with recursive {SCOUT}, {PLAN_LINKS}, chosen as materialized (select * from scouted), {PLAN_SWEEP},
   matrix as materialized (select distinct site_id, (row // 4) * ceil(w / 4.0)::BIGINT + col // 4 as cell_id from filled cross join dims where rssi >= -70),
   ncell as materialized (select (ceil(w / 4.0) * ceil(w / 4.0))::BIGINT as n from dims), {greedy_sql(20, '< (select ceil(0.8 * n) from ncell)', 'gain + 0.3 * {n} * linked', flags=True)}, {SUMMARY}
   select count(*) as n_sites, {rnd('max(covered_after) / (select n from ncell)::DOUBLE')} as covered_fraction, {rnd('1 - max(covered_after) / (select n from ncell)::DOUBLE')} as gap_fraction,
