@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ridgecast.llm import exchange, tables
-from ridgecast.llm.graph import components, cross_pairs, hooked, leader_pairs, near, open_blocks, top_pairs
+from ridgecast.llm.graph import components, cross_pairs, hooked, leader_pairs, open_blocks, top_pairs
 from ridgecast.llm.text import chunks, mix, with_columns
 from ridgecast.session import cut_lineage, forget
 
@@ -117,10 +117,6 @@ def lines(docs: DataFrame) -> DataFrame:
     return split.filter(F.col("line").rlike(HAS_WORD)).withColumn("key", F.xxhash64("line"))
 
 
-def shingles(line: str) -> set[str]:
-    return {line[i : i + CHARS] for i in range(max(1, len(line) - CHARS + 1))}
-
-
 def shingle_prints(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """A whole number from 0 up for each distinct shingle of each line, and where each line starts."""
     h, starts = shingle_hashes(lines)
@@ -149,25 +145,23 @@ def described(texts: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b) of line keys whose character shingles are similar enough, compared as strings."""
+    """Pairs (a, b) of line keys whose sets of character shingles are similar enough, counted over all of both lines."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for piece, left in chunks(batches, text="line_a"):
+            a, b = (piece.column(k).to_pylist() for k in (0, 1))
+            found = dict(zip(a, left, strict=True)) | dict(zip(b, piece.column(3).to_pylist(), strict=True))
+            prints, starts = shingle_prints(list(found.values()))
+            sets = dict(zip(found, np.split(prints, starts[1:])))
             same = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                s, t = shingles(x), shingles(y)
-                both = len(s & t)
+            for x, y in zip(a, b):
+                s, t = sets[x], sets[y]
+                both = len(np.intersect1d(s, t, assume_unique=True))
                 same.append(100 * both >= PERCENT * (len(s) + len(t) - both))
-            yield batch.filter(pa.array(same, pa.bool_())).select(["a", "b"])
-
-    facts = ["n", "alone", "bits"]
-    x, y = (texts.select(F.col("key").alias(m), *[F.col(c).alias(f"{m}_{c}") for c in facts]) for m in "ab")
-    near_pairs = cut_lineage(pairs.join(x, "a").join(y, "b").filter(near(PERCENT, "a_", "b_")).select("a", "b"))
-    # few pairs are left, so few lines have to move
-    ends = near_pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    some = texts.select("key", "line").join(tables.maybe_broadcast(ends, 16), "key", "left_semi")
-    lines_of = (some.select(F.col("key").alias(m), F.col("line").alias(f"line_{m}")) for m in "ab")
-    rows = near_pairs.join(next(lines_of), "a").join(next(lines_of), "b")
+            yield piece.select(["a", "b"]).filter(pa.array(same, pa.bool_()))
+
+    lines_of = (texts.select(F.col("key").alias(m), F.col("line").alias(f"line_{m}")) for m in "ab")
+    rows = pairs.join(next(lines_of), "a").join(next(lines_of), "b")
     return rows.select("a", "b", "line_a", "line_b").mapInArrow(work, "a bigint, b bigint")
 
 
@@ -222,19 +216,26 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     gone = removed_lines(docs)
     size = gone.agg(F.sum(F.size("gone") + 8)).first()[0] or 0
     held = F.broadcast(gone) if 16 * size <= tables.BROADCAST_BYTES else gone
-    source, _ = tables.appended(docs, MADE)
+    source, schema = tables.appended(docs, MADE)
     tail = "_" * max(map(len, docs.columns))  # no input column has such names
     mark, p, q = f"gone{tail}", f"p{tail}", f"q{tail}"
     marked = source.withColumns({p: F.xxhash64("text"), q: F.xxhash64(F.lit(7), "text")})
     names = {"gone": mark, "_p": p, "_q": q}
     joined = marked.join(held.withColumnsRenamed(names), ["doc_id", p, q], "left").select(*source.columns, mark)
-    parts = F.split("text", "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), mark)  # line numbers; a row with marks has a line at least
-    kept = F.when(F.col(mark).isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda k: F.get(parts, k)), "\n"))
-    n_lines = F.coalesce(F.size(F.filter(parts, lambda x: x.rlike(HAS_WORD))), F.lit(0)).cast("bigint")
-    n_removed = F.coalesce(F.size(mark), F.lit(0)).cast("bigint")
-    made = {"text": kept, "n_lines": F.when(F.col("text").isNull(), F.lit(0)).otherwise(n_lines), "n_removed": F.when(F.col(mark).isNull(), F.lit(0)).otherwise(n_removed)}
-    return joined.select(*[made.pop(c.lower()).alias(c) if c.lower() == "text" else F.col(c) for c in source.columns], *[v.alias(n) for n, v in made.items()])
+    out_schema = tables.arrow(schema)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece, texts in chunks(batches):
+            kept, total, removed = [], [], []
+            for text, marks in zip(texts, piece.column(piece.schema.get_field_index(mark)).to_pylist(), strict=True):
+                parts = (text or "").split("\n")
+                total.append(sum(1 for p in parts if p.strip(BLANK)))
+                removed.append(len(marks or ()))
+                away = set(marks or ())
+                kept.append(text if not away else "\n".join(p for k, p in enumerate(parts) if k not in away))
+            yield with_columns(piece, {"text": kept, "n_lines": total, "n_removed": removed}, out_schema)
+
+    return joined.mapInArrow(cut, schema)
 
 
 def stage(docs: DataFrame) -> DataFrame:
