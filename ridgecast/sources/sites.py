@@ -132,9 +132,68 @@ def parse_features(features: DataFrame) -> DataFrame:
     return with_unique_names(parsed, "name", ["file"], "feature_no")
 
 
+FEATURE_SCHEMA = "type string, geometry struct<type string, coordinates array<double>>, properties map<string,string>"
+FEATURES_OPEN = r'"features"\s*:\s*\['
+
+
+def _running(rows: DataFrame, totals: dict[str, Column], keys: tuple[str, ...] = ("file", "_block")) -> DataFrame:
+    """Rows with, for each name, the sum of a column over all earlier rows of the file: block totals added up, then counted on inside a block."""
+    made = rows.withColumns({f"_v_{n}": c for n, c in totals.items()})
+    blocks = made.groupBy(*keys).agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in totals])
+    upto = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    bases = blocks.select(*keys, *[F.coalesce(F.sum(f"_t_{n}").over(upto), F.lit(0)).alias(f"_b_{n}") for n in totals])
+    inside = Window.partitionBy(*keys).orderBy("_id").rowsBetween(Window.unboundedPreceding, -1)
+    met = made.join(bases, list(keys))
+    found = {n: F.col(f"_b_{n}") + F.coalesce(F.sum(f"_v_{n}").over(inside), F.lit(0)) for n in totals}
+    return met.withColumns(found).drop(*[f"_{k}_{n}" for n in totals for k in "vb"])
+
+
+def geojson_features(spark: SparkSession, path: str) -> DataFrame:
+    """(file, feature_no, feature): the text of every feature of FeatureCollection files, which many tasks read together.
+
+    A file is read in pieces that end with a closing brace, split by split. Whether a piece begins inside a string is the number
+    of quotes before it; how deep it begins is the number of braces and brackets before it, strings left out. Both are
+    sums over earlier pieces, added up block by block. A feature ends where a brace closes inside the features array
+    alone. A file without such an array, or that nowhere says it is a FeatureCollection, fails.
+    """
+    raw = spark.read.option("lineSep", "}").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"), "value",
+    )
+    raw = cut_lineage(raw)
+    plain = F.regexp_replace("value", r"\\.", "")
+
+    def count(text: Column, sign: str) -> Column:
+        return F.length(text) - F.length(F.replace(text, F.lit(sign), F.lit("")))
+
+    quoted = _running(raw.withColumn("_plain", plain), {"quotes": count(F.col("_plain"), '"')})
+    within = F.col("quotes") % 2 == 1
+    # text outside strings: what follows the quote that ends an open string, without whole strings and without one that stays open
+    rest = F.when(within, F.regexp_extract("_plain", r'(?s)^[^"]*"(.*)$', 1)).otherwise(F.col("_plain"))
+    outside = F.regexp_replace(F.regexp_replace(rest, r'"[^"]*"', ""), r'"[^"]*$', "")
+    ends_outside = (F.col("quotes") + count(F.col("_plain"), '"')) % 2 == 0
+    marked = quoted.withColumns({"_out": outside, "_ends": ends_outside})
+    opened, shut = count(F.col("_out"), "{"), F.col("_ends").cast("int")
+    brackets = count(F.col("_out"), "[") - count(F.col("_out"), "]")
+    placed = cut_lineage(_running(marked, {"depth": opened - shut, "arrays": brackets, "opens": F.col("value").rlike(FEATURES_OPEN).cast("int")}))
+    opens = F.col("opens") + F.col("value").rlike(FEATURES_OPEN).cast("int")
+    after = {"_depth": F.col("depth") + opened - shut, "_arrays": F.col("arrays") + brackets}
+    ended = F.col("_ends") & (F.col("_depth") == 1) & (F.col("_arrays") == 1) & (opens > 0)
+    leaves = (F.col("arrays") == 1) & (F.col("depth") == 1) & (F.col("opens") > 0) & F.col("_out").rlike(r"^\s*\]")
+    flagged = placed.withColumns(after).withColumns({"_end": ended, "_leave": leaves})
+    numbered = _running(flagged, {"done": F.col("_end").cast("int"), "left": F.col("_leave").cast("int")})
+    rows = cut_lineage(numbered.filter((F.col("left") == 0) & ~F.col("_leave")).select("file", (F.col("done") + 1).alias("feature_no"), "_block", "_id", "value", "_end"))
+    wrong = raw.groupBy("file").agg(F.max(F.col("value").rlike(r'"type"\s*:\s*"FeatureCollection"')).alias("right"), F.max(F.col("value").rlike(FEATURES_OPEN)).alias("list"))
+    fault = F.raise_error(F.lit("Invalid GeoJSON: expected FeatureCollection"))
+    wrong.filter("not right or not list").limit(1).select(fault.cast("string").alias("fault")).collect()
+    texts = rows.groupBy("file", "feature_no").agg(F.max("_end").alias("_end"), F.array_sort(F.collect_list(F.struct("_block", "_id", "value"))).alias("_p"))
+    joined = F.array_join(F.transform("_p", lambda p: p["value"]), "}")
+    body = F.when(F.col("feature_no") == 1, F.regexp_replace(joined, "(?s)^.*?" + FEATURES_OPEN, "")).otherwise(joined)
+    return texts.filter("_end").select("file", "feature_no", F.concat(F.regexp_replace(body, r"^[\s,]+", ""), F.lit("}")).alias("feature"))
+
+
 def read_sites_geojson(spark: SparkSession, path: str) -> DataFrame:
-    raw = spark.read.schema(GEOJSON_SCHEMA).json(path, multiLine=True)
-    return parse_geojson(raw.select(F.col("_metadata.file_path").alias("file"), "type", "features"))
+    parsed = geojson_features(spark, path).withColumn("f", F.from_json("feature", FEATURE_SCHEMA))
+    return parse_features(parsed.select("file", "feature_no", "f.type", "f.geometry", "f.properties"))
 
 
 ELEMENT_SCHEMA = (

@@ -173,3 +173,33 @@ def test_stretch_equals_sorted_array(spark, n):
     got = cov.percentile_stretch(spark.createDataFrame([(v,) for v in values] + [(None,)], "elev double"), "elev").first()
     want = (values[0], values[-1]) if n <= 10 else (values[int(n * 0.02)], values[int(n * 0.98)])
     assert (got["n_values"], got["p_low"], got["p_high"]) == (n, *want)
+
+
+def test_a_feature_collection_read_by_many_tasks(spark, tmp_path):
+    """One file in many splits: braces, quotes and backslashes in texts, nested members, objects and arrays beside the features."""
+    names = ["plain", "bra{ce", "clo}se}", 'quo"te', "back\\slash", 'both\\"}{', "[list]", "é ü", "", "x" * 300]
+    features = []
+    for k in range(240):
+        props = {"name": f"{names[k % len(names)]} {k // 3}", "elevation_m": k, "notes": names[(k * 7) % len(names)], "more": {"a": [{"b": 1}, {"c": "}"}]}}
+        geometry = {"type": "Point", "coordinates": [k * 0.5 - 60, k * 0.25 - 30]} if k % 9 else {"type": "LineString", "coordinates": []}
+        features.append({"type": "Feature", "properties": props, "geometry": geometry})
+    whole = {"crs": {"type": "name", "properties": {"name": "features"}}, "other": [{"type": "Feature"}], "type": "FeatureCollection", "features": features, "later": [{"type": "Feature"}], "end": {"a": {}}}
+    for name, text in (("one.json", json.dumps(whole)), ("pretty.json", json.dumps(whole, indent=2, ensure_ascii=False)), ("none.json", '{"type": "FeatureCollection", "features": []}')):
+        (tmp_path / name).write_text(text, encoding="utf-8")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        for name in ("one.json", "pretty.json"):
+            assert spark.read.option("lineSep", "}").text(str(tmp_path / name)).rdd.getNumPartitions() > 5
+            got = src.geojson_features(spark, str(tmp_path / name)).orderBy("feature_no").collect()
+            assert [r["feature_no"] for r in got] == list(range(1, 241)) and [json.loads(r["feature"]) for r in got] == features
+            sites = src.read_sites_geojson(spark, str(tmp_path / name)).collect()
+            assert len(sites) == sum(1 for f in features if f["geometry"]["type"] == "Point")
+            assert {r["feature_no"]: r["lon"] for r in sites} == {k + 1: f["geometry"]["coordinates"][0] for k, f in enumerate(features) if k % 9}
+        assert src.geojson_features(spark, str(tmp_path / "none.json")).count() == 0
+        assert src.geojson_features(spark, str(tmp_path)).count() == 480
+        (tmp_path / "bad.json").write_text('{"type": "Feature"}')
+        with pytest.raises(PySparkException, match="FeatureCollection"):
+            src.read_sites_geojson(spark, str(tmp_path / "bad.json"))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
