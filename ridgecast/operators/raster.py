@@ -265,10 +265,17 @@ def resample(source: DataFrame, source_grid: Grid, target: Grid, value: str, key
     return located.select(*keys, "row", "col", value).filter(F.col(value).isNotNull())
 
 
+def _page_span(start: float, step: float, low: int, size: int) -> tuple[int, int]:
+    """First and last row (or column) of a raster that a page from ``low`` degrees, one degree wide, can look at."""
+    ends = sorted((v - start) / step for v in (low, low + 1))
+    return tuple(max(0, min(size - 1, v)) for v in (math.floor(ends[0]) - 1, math.ceil(ends[1]) + 1))
+
+
 def resample_page(raster: DataFrame, grid: Grid, page_north: int, page_west: int, samples: int, value: str = "elev") -> DataFrame:
     """One 1-degree page of rounded elevations, (page_row south to north, page_col east to west).
 
-    Positions are clamped to the raster, nodata counts as 0, values stay in -500..9000.
+    Positions are clamped to the raster, nodata counts as 0, values stay in -500..9000. Only the part of the raster that
+    the page covers is read and filled.
     """
     spark = raster.sparkSession
     step = 1.0 / samples
@@ -281,7 +288,13 @@ def resample_page(raster: DataFrame, grid: Grid, page_north: int, page_west: int
             "_sr": F.greatest(F.lit(0.0), F.least(sr, F.lit(float(grid.height - 1)))),
         }
     )
-    pixels = pixel_frame(spark, grid).select("row", "col").join(raster, ["row", "col"], "left")  # absent is nodata too
+    rows = _page_span(grid.f, grid.e, page_north - 1, grid.height)
+    cols = _page_span(grid.c, grid.a, page_west, grid.width)
+    n = cols[1] - cols[0] + 1
+    k = F.col("id")
+    pixels = spark.range((rows[1] - rows[0] + 1) * n).select((F.floor(k / n) + rows[0]).cast("int").alias("row"), (k % n + cols[0]).cast("int").alias("col"))
+    near = raster.filter(F.col("row").between(*rows) & F.col("col").between(*cols))
+    pixels = pixels.join(near, ["row", "col"], "left")  # absent is nodata too
     filled = pixels.withColumn(value, F.coalesce(valid_elevation(value, -10000.0), F.lit(0.0)))
     sampled = BlockRaster.of(filled, grid, value).bilinear(frame, "_sr", "_sc", value, "expanded")
     clipped = F.greatest(F.lit(-500.0), F.least(F.lit(9000.0), F.coalesce(F.col(value), F.lit(0.0))))

@@ -202,8 +202,13 @@ ELEMENT_SCHEMA = (
 
 
 def read_map_elements(spark: SparkSession, path: str) -> DataFrame:
-    """Map elements from JSON lines, with their position in the extract."""
-    return spark.read.schema(ELEMENT_SCHEMA).json(path).withColumn("element_pos", F.monotonically_increasing_id())
+    """Map elements from JSON lines, with their position: the line in the file, on top of the lines of files before it by name."""
+    lines = cut_lineage(numbered_lines(spark, path))
+    upto = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = lines.groupBy("file").agg((F.max("line_no") + 1).alias("_n"))
+    starts = sizes.select("file", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_start"))  # one row a file
+    placed = lines.filter(F.trim("value") != "").join(starts, "file")
+    return placed.select(F.from_json("value", ELEMENT_SCHEMA).alias("e"), (F.col("_start") + F.col("line_no")).alias("element_pos")).select("e.*", "element_pos")
 
 
 def tag_label(tags: str = "tags") -> Column:
@@ -252,16 +257,15 @@ def elements_to_sites(elements: DataFrame) -> DataFrame:
 def elements_with_tags(elements: DataFrame, tag_specs: DataFrame, box: tuple[float, float, float, float]) -> DataFrame:
     """Nodes and ways inside west, south, east, north that meet any tag condition.
 
-    ``tag_specs`` is a request of a few conditions and is turned into one filter, so an element
-    is read once whatever the number of conditions.
+    ``tag_specs`` (key, value) is a request of a few conditions; they come to the elements as one row, so an element
+    is read once whatever the number of conditions. No conditions meet nothing.
     """
     west, south, east, north = box
-    wanted = [(r["key"], r["value"]) for r in tag_specs.select("key", "value").collect()]
     lat, lon = element_position()
-    hit = F.lit(False)
-    for key, value in wanted:
-        hit = hit | F.coalesce(F.try_element_at("tags", F.lit(key)) == value, F.lit(False))
-    return elements.filter(hit & lat.between(south, north) & lon.between(west, east))
+    wanted = tag_specs.select("key", "value").distinct().agg(F.collect_list(F.struct("key", "value")).alias("_wanted"))
+    near = elements.filter(lat.between(south, north) & lon.between(west, east)).crossJoin(F.broadcast(wanted))  # one row
+    hit = F.exists("_wanted", lambda w: F.coalesce(F.try_element_at("tags", w["key"]) == w["value"], F.lit(False)))
+    return near.filter(hit).drop("_wanted")
 
 
 def append_sites(*tables: DataFrame) -> DataFrame:

@@ -203,3 +203,22 @@ def test_a_feature_collection_read_by_many_tasks(spark, tmp_path):
             src.read_sites_geojson(spark, str(tmp_path / "bad.json"))
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_element_positions_in_files(spark, tmp_path):
+    """Positions follow the lines of the files, whatever the splits, and the conditions of a request come as a table."""
+    for name, first in (("a.json", 0), ("b.json", 100)):
+        lines = [json.dumps({"type": "node", "id": first + k, "lat": 1.0, "lon": 2.0 + k / 100, "tags": {"amenity": "school" if k % 3 else "clinic"}}) for k in range(100)]
+        (tmp_path / name).write_text("\n".join(lines[:50]) + "\n\n" + "\n".join(lines[50:]) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1024")
+    try:
+        elements = src.read_map_elements(spark, str(tmp_path))
+        got = [(r["element_pos"], r["id"]) for r in elements.orderBy("element_pos").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == [(k + (k >= 50) + 101 * f, k + 100 * f) for f in (0, 1) for k in range(100)]
+    specs = spark.createDataFrame([("amenity", "clinic"), ("amenity", "clinic"), ("x", "y")], "key string, value string")
+    found = src.elements_with_tags(elements, specs, (2.0, 0.0, 2.305, 2.0))
+    assert sorted(r["id"] for r in found.collect()) == [k + f for f in (0, 100) for k in range(0, 31, 3)]
+    assert src.elements_with_tags(elements, specs.filter("false"), (2.0, 0.0, 3.0, 2.0)).count() == 0
