@@ -189,6 +189,7 @@ def line_components(docs: DataFrame) -> DataFrame:
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """(ROW, gone): the numbers of the lines that repeat an earlier line of their component."""
+    tables.bound_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     labels = line_components(docs)
     place = lines(docs).select(*ROW, "line_no", "key")
