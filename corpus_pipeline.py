@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ridgecast.llm import decontaminate, line_dedup, ngram_join, packing, quality, queries
-from ridgecast.llm.tables import table
+from ridgecast.llm.tables import bound_batches, table
 from ridgecast.session import cut_lineage
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)  # for this stage and those behind it: whole texts travel to Python and back
     return quality.stage(docs)
 
 
